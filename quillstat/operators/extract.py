@@ -206,6 +206,7 @@ def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame |
         F.when(failed, None).otherwise(byline).alias("byline"),
         F.when(failed, None).otherwise(section).alias("section"),
         "byline_rule",
+        F.col("section_value").alias("section_tag"), "section_rule",
         F.when(failed, F.lit("failed")).otherwise(F.lit("ok")).alias("status"),
         "error",
     ] + (["full_text"] if full_text else [])
@@ -218,3 +219,77 @@ def full_text_col(story_text, html) -> Column:
     """X-10: tokens of the story text when known, else of the tag-stripped HTML."""
     return F.coalesce(F.when(_c(story_text).isNotNull(), token_string(story_text)),
                       F.when(_c(html).isNotNull(), token_string(strip_tags(html))))
+
+
+# ---------------------------------------------------------------------------
+# X-8 legacy rule table: first rule in file order whose tag is present
+# ---------------------------------------------------------------------------
+
+LEGACY_FIELDS = [
+    T.StructField("foundwith", T.StringType()),
+    T.StructField("byline", T.StringType()),
+    T.StructField("status", T.StringType()),
+]
+
+
+def _legacy_fn(per_media: dict[str, list[tuple]], html_col: str):
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            fw, bl, st = [], [], []
+            for mid, html in zip(pdf["media_id"], pdf[html_col]):
+                lst = per_media.get(mid)
+                f = b = None
+                if not lst:
+                    s = "Not included"
+                else:
+                    try:
+                        page = htmldom.Page(html or "")
+                        s = "Included not found"
+                        for tag, attr, value in lst:
+                            i = htmldom.find_first(page, tag, attr, value)
+                            if i >= 0:
+                                b = page.attrs[i]["content"] if tag == "meta" else page.text(i)
+                                f = f"{tag}[{attr}={value}]"
+                                s = "found"
+                                break
+                    except Exception as e:
+                        f = b = None
+                        s = type(e).__name__
+                fw.append(f)
+                bl.append(b)
+                st.append(s)
+            out = pdf.drop(columns=[html_col])
+            out["foundwith"] = pd.Series(fw, index=pdf.index, dtype=object)
+            out["byline"] = pd.Series(bl, index=pdf.index, dtype=object)
+            out["status"] = pd.Series(st, index=pdf.index, dtype=object)
+            yield out
+    return scan
+
+
+def legacy_extract(stories: DataFrame, pages: DataFrame, legacy_rules: DataFrame | None = None) -> DataFrame:
+    """Stories ⋈ pages → (story columns, foundwith, byline, status). status is 'found',
+    'Included not found', 'Not included' (media without rules) or an exception type."""
+    if legacy_rules is None:
+        rows = R.legacy_rule_rows()
+    else:
+        rows = [tuple(r) for r in collect_small(
+            legacy_rules.select("media_id", "tag", "attr", "value", "priority"))]
+    per: dict[str, list[tuple]] = {}
+    for mid, tag, attr, value, prio in sorted(rows, key=lambda r: r[4]):
+        per.setdefault(mid, []).append((tag, attr, value))
+    joined = stories.join(pages.select("stories_id", "html"), "stories_id", "left")
+    keep = [f for f in joined.schema.fields if f.name != "html"]
+    return joined.mapInPandas(_legacy_fn(per, "html"), T.StructType(keep + LEGACY_FIELDS))
+
+
+def route(legacy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SNK-2: (found rows, failed rows with reason) from one legacy result."""
+    found = legacy.where(F.col("status") == "found").select("media_id", "url", "stories_id", "foundwith", "byline")
+    failed = legacy.where(F.col("status") != "found").select("media_id", "url", "stories_id",
+                                                             F.col("status").alias("reason"))
+    return found, failed
+
+
+def extraction_summary(legacy: DataFrame) -> DataFrame:
+    """A-10: stories per (media_id, status, foundwith)."""
+    return legacy.groupBy("media_id", "status", "foundwith").agg(F.count(F.lit(1)).alias("n_stories"))

@@ -227,11 +227,14 @@ def page_layer1_sql(idc: str) -> dict[str, str]:
     }
 
 
+MENTION_SQL = "'<p>' || f2 || ' ' || l3 || ' met ' || f3 || ' ' || l2 || ' and ' || f1 || ' ' || l1 || ' on Monday.</p>'"
+
+
 def html_sql(html_col: str) -> str:
     bh, bb = byline_snippets_sql()
     sh, sb = section_snippets_sql()
-    return (f"replace(replace({html_col}, '</head>', {bh} || {sh} || '</head>'), "
-            f"'<body>', '<body>' || {bb} || {sb})")
+    return (f"replace(replace(replace({html_col}, '</head>', {bh} || {sh} || '</head>'), "
+            f"'<body>', '<body>' || {bb} || {sb}), '<article>', '<article>' || mention)")
 
 
 # --- Spark side ------------------------------------------------------------
@@ -254,9 +257,11 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw page HTML per story with the byline/section tags injected (stories_id, html)."""
     p = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("stories_id"), "html")
-    p = with_byline(p, "stories_id", ["stories_id", "html"])
+    names = [F.expr(v).alias(k) for k, v in name_cols_sql("stories_id").items()]
     layer1 = [F.expr(v).alias(k) for k, v in page_layer1_sql("stories_id").items()]
-    return (p.select("stories_id", "html", "byline", *layer1)
+    return (p.select("stories_id", "html", *names)
+            .select("stories_id", "html", F.expr(byline_sql("stories_id")).alias("byline"),
+                    F.expr(MENTION_SQL).alias("mention"), *layer1)
             .select("stories_id", F.expr(html_sql("html")).alias("html")))
 
 
@@ -288,9 +293,11 @@ def stories_sql() -> str:
 
 def pages_sql() -> str:
     l1 = ", ".join(f"{v} AS {k}" for k, v in page_layer1_sql("stories_id").items())
-    base = byline_from_sql("stories_id", "stories_id, html", "(SELECT page_id AS stories_id, html FROM pages)")
+    names = ", ".join(f"{v} AS {k}" for k, v in name_cols_sql("stories_id").items())
+    l0 = f"(SELECT page_id AS stories_id, html, {names} FROM pages)"
     return (f"(SELECT stories_id, {html_sql('html')} AS html FROM "
-            f"(SELECT stories_id, html, byline, {l1} FROM {base} AS b) AS l1)")
+            f"(SELECT stories_id, html, {byline_sql('stories_id')} AS byline, {MENTION_SQL} AS mention, {l1} "
+            f"FROM {l0} AS l0) AS l1)")
 
 
 def story_bylines_sql() -> str:
@@ -310,3 +317,81 @@ def name_gender_sql() -> str:
 def media_sql() -> str:
     vals = ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in rules.MEDIA)
     return f"(SELECT * FROM (VALUES {vals}) AS t(media_id, media_name, outlet))"
+
+
+# --- further derived inputs: media set, override sheet, label sheet, gazetteer ----
+
+# FIXED VALUES (test projection; invented): members of media set 1.
+MEDIA_SET_1 = ["1", "2", "6", "7", "1150", "314", "27502"]
+OVERRIDE_GENDERS = ["male", "female", "unknown", "ignore", "Female"]
+
+
+def media_set(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, m) for m in MEDIA_SET_1], "media_sets_id int, media_id string")
+
+
+def media_set_sql() -> str:
+    vals = ", ".join(f"(1, {q(m)})" for m in MEDIA_SET_1)
+    return f"(SELECT * FROM (VALUES {vals}) AS t(media_sets_id, media_id))"
+
+
+def _override_cols(idc: str) -> dict[str, str]:
+    return {
+        "org": f"replace({pick(idc, [m[1] for m in rules.MEDIA])}, ' ', '+')",
+        "name": "lower(f1) || '+' || lower(l1)",
+        "count": "CAST(c_nationkey AS BIGINT)",
+        "gender": pick(idiv(idc, 11), OVERRIDE_GENDERS),
+        "row_no": f"CAST({idc} AS BIGINT)",
+    }
+
+
+def override_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manual override sheet rows (org, name, count, gender, row_no), one per customer."""
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    names = [F.expr(v).alias(k) for k, v in name_cols_sql("c_custkey").items()]
+    return (c.select("c_custkey", "c_nationkey", *names)
+            .select(*[F.expr(v).alias(k) for k, v in _override_cols("c_custkey").items()]))
+
+
+def override_sheet_sql() -> str:
+    names = ", ".join(f"{v} AS {k}" for k, v in name_cols_sql("c_custkey").items())
+    cols = ", ".join(f"{v} AS {k}" for k, v in _override_cols("c_custkey").items())
+    return f"(SELECT {cols} FROM (SELECT c_custkey, c_nationkey, {names} FROM customer) AS l0)"
+
+
+def _label_cols(idc: str) -> dict[str, str]:
+    return {
+        "media_id": media_id_sql(idc),
+        "stories_id": idc,
+        "url": f"'story/' || CAST({idc} AS STRING)",
+        "byline_extracted_label": "coalesce(byline, '')",
+        "is_correct": f"(CASE ({idc}) % 4 WHEN 0 THEN 'n' WHEN 1 THEN 'Y' ELSE 'y' END)",
+        "byline_corrected": (f"(CASE ({idc}) % 3 WHEN 0 THEN upper(coalesce(byline, '')) "
+                             f"WHEN 1 THEN coalesce(byline, '') || ' Jr' ELSE '' END)"),
+        "n_names": f"CAST(({idc}) % 3 + 1 AS STRING)",
+    }
+
+
+def eval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hand-label sheet rows, one per story page (header rows already dropped)."""
+    b = story_bylines(spark, sf_dir)
+    return b.select(*[F.expr(v).alias(k) for k, v in _label_cols("stories_id").items()])
+
+
+def eval_labels_sql() -> str:
+    cols = ", ".join(f"{v} AS {k}" for k, v in _label_cols("stories_id").items())
+    return f"(SELECT {cols} FROM {story_bylines_sql()} AS b)"
+
+
+def gazetteer_rows() -> list[tuple]:
+    """People names to look for in text: every first name with every surname."""
+    return [(f"{f} {s}",) for f in FIRST_NAMES for s in SURNAMES]
+
+
+def gazetteer(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(gazetteer_rows(), "name string")
+
+
+def gazetteer_sql() -> str:
+    vals = ", ".join(f"({q(n)})" for (n,) in gazetteer_rows())
+    return f"(SELECT * FROM (VALUES {vals}) AS t(name))"
