@@ -19,11 +19,15 @@ from quillstat.operators.reports import opinion_filter
 
 
 def ngrams(tok: Column, n: int) -> Column:
-    """All n-grams of a token array, joined by one space."""
-    last = F.size(tok) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last),
-                                         lambda i: F.array_join(F.slice(tok, i, n), " "))
-                  ).otherwise(F.array().cast("array<string>"))
+    """All n-grams of a token array, joined by one space.
+
+    Built from n shifted slices combined element-wise (``zip_with``): the token
+    array is an argument, evaluated once, never re-evaluated inside a lambda."""
+    length = F.greatest(F.size(tok) - n + 1, F.lit(0))
+    acc = F.slice(tok, F.lit(1), length)
+    for k in range(1, n):
+        acc = F.zip_with(acc, F.slice(tok, F.lit(k + 1), length), lambda x, y: F.concat(x, F.lit(" "), y))
+    return acc
 
 
 INLINE_MAX = 50_000
@@ -43,8 +47,9 @@ def gazetteer_mentions(docs: DataFrame, people: DataFrame, key: str = "stories_i
         sizes = sorted({len(n.split(" ")) for n in names}) or [1]
     else:
         sizes = sorted(r.k for r in people.select(F.size(F.split("name", " ")).alias("k")).distinct().collect())
-    tok = tokens(F.col(text_col))
-    grams = F.concat(*[ngrams(tok, n) for n in sizes])
+    # materialise the tokens once (referenced by every n-gram size)
+    docs = docs.select(key, tokens(F.col(text_col)).alias("_tok"))
+    grams = F.concat(*[ngrams(F.col("_tok"), n) for n in sizes])
     if small:
         hits = docs.select(key, F.explode(F.filter(grams, lambda g: g.isin(names) if names else F.lit(False)))
                            .alias("gram"))

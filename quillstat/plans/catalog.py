@@ -369,11 +369,11 @@ def gender_rollup(spark, sf):
 
 def _q_mentions() -> str:
     text = q_token_string(q_strip_tags("html"))
-    t = Q.tokens("full_text")
-    bigrams = f"list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1])"
+    bigrams = "list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1])"
     return (f"(SELECT stories_id, gram AS name, count(*) AS count FROM "
             f"(SELECT stories_id, unnest({bigrams}) AS gram FROM "
-            f"(SELECT stories_id, {text} AS full_text FROM {D.pages_sql()} AS p) AS t) AS g "
+            f"(SELECT stories_id, {Q.tokens('full_text')} AS tk FROM "
+            f"(SELECT stories_id, {text} AS full_text FROM {D.pages_sql()} AS p) AS t0) AS t) AS g "
             f"WHERE gram IN (SELECT name FROM {D.gazetteer_sql()} AS z) GROUP BY stories_id, gram)")
 
 
@@ -457,3 +457,115 @@ FROM (SELECT count(*) FILTER (WHERE correct = 'y')
       FROM {_q_eval()} AS v) AS t""")
 def eval_accuracy(spark, sf):
     return E.accuracy(_evaluated(spark, sf))
+
+
+# =============================================================================
+# Legacy rule table: extraction, two-way routing, summary (X-8, J-3, SNK-2, A-10)
+# =============================================================================
+
+def _q_legacy() -> str:
+    per: dict[str, list[tuple]] = {}
+    for mid, tag, attr, value, prio in R.legacy_rule_rows():
+        per.setdefault(mid, []).append((tag, attr, value))
+    st_w, fw_w, by_w = [], [], []
+    for mid, lst in per.items():
+        s_i, f_i, b_i = [], [], []
+        for tag, attr, value in lst:
+            v = Q._re_escape(value)
+            if attr == "class":
+                open_rx = f'<{tag} {attr}="([^"]* )?{v}( [^"]*)?"'
+            else:
+                open_rx = f'<{tag} {attr}="{v}"'
+            det = f"regexp_matches(p.html, {D.q(open_rx + '[ >/]')})"
+            label = D.q(f"{tag}[{attr}={value}]")
+            if tag == "meta":
+                content_rx = D.q(open_rx + ' content="([^"]*)"')
+                has = f"regexp_matches(p.html, {content_rx})"
+                s_i.append(f"WHEN {det} THEN CASE WHEN {has} THEN 'found' ELSE 'KeyError' END")
+                f_i.append(f"WHEN {det} THEN CASE WHEN {has} THEN {label} END")
+                grp = 3 if attr == "class" else 1
+                b_i.append(f"WHEN {det} THEN CASE WHEN {has} THEN regexp_extract(p.html, {content_rx}, {grp}) END")
+            else:
+                text_rx = D.q(open_rx + "[^>]*>([^<]*)<")
+                grp = 3 if attr == "class" else 1
+                s_i.append(f"WHEN {det} THEN 'found'")
+                f_i.append(f"WHEN {det} THEN {label}")
+                b_i.append(f"WHEN {det} THEN regexp_extract(p.html, {text_rx}, {grp})")
+        st_w.append(f"WHEN {D.q(mid)} THEN (CASE {' '.join(s_i)} ELSE 'Included not found' END)")
+        fw_w.append(f"WHEN {D.q(mid)} THEN (CASE {' '.join(f_i)} END)")
+        by_w.append(f"WHEN {D.q(mid)} THEN (CASE {' '.join(b_i)} END)")
+    return (f"(SELECT s.media_id, s.url, s.stories_id, "
+            f"CASE s.media_id {' '.join(fw_w)} END AS foundwith, "
+            f"CASE s.media_id {' '.join(by_w)} END AS byline, "
+            f"CASE s.media_id {' '.join(st_w)} ELSE 'Not included' END AS status "
+            f"FROM {D.stories_sql()} AS s LEFT JOIN {D.pages_sql()} AS p ON s.stories_id = p.stories_id)")
+
+
+def _legacy(spark, sf):
+    return X.legacy_extract(D.stories(spark, sf), D.pages(spark, sf))
+
+
+@query("legacy_found", f"""
+SELECT media_id, url, stories_id, foundwith, byline FROM {_q_legacy()} AS l WHERE status = 'found'""")
+def legacy_found(spark, sf):
+    return X.route(_legacy(spark, sf))[0]
+
+
+@query("legacy_failed", f"""
+SELECT media_id, url, stories_id, status AS reason FROM {_q_legacy()} AS l WHERE status <> 'found'""")
+def legacy_failed(spark, sf):
+    return X.route(_legacy(spark, sf))[1]
+
+
+@query("extraction_summary", f"""
+SELECT media_id, status, foundwith, count(*) AS n_stories FROM {_q_legacy()} AS l
+GROUP BY media_id, status, foundwith""")
+def extraction_summary(spark, sf):
+    return X.extraction_summary(_legacy(spark, sf))
+
+
+# =============================================================================
+# Sinks and sources round trip, stream ingest (SNK-1, SRC-9, U-1, SRC-2)
+# =============================================================================
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from quillstat.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("month_union", f"""
+SELECT media_id, stories_id, {DAY} AS publish_day, byline, female, male, unknown, section, is_opinion
+FROM {q_articles()} AS a""")
+def month_union(spark, sf):
+    """Articles written as month CSV files (text form, 'None' for null) and read back
+    from the list of month folders as one table."""
+    from quillstat.sources import readers, sinks
+    out = _scratch(spark, "months")
+    sinks.write_articles(articles(spark, sf), out, fmt="csv")
+    months = [r.m for r in spark.read.option("header", True).csv(out).select(
+        F.col("publish_month").cast("string").alias("m")).distinct().collect()]
+    back = readers.read_month_files(spark, [f"{out}/publish_month={m}" for m in sorted(months)])
+    return back.select("media_id", "stories_id", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_day"),
+                       "byline", "female", "male", "unknown", "section", "is_opinion")
+
+
+@query("stream_ingest", f"""
+SELECT media_id, stories_id, {DAY} AS publish_day, url FROM {D.stories_sql()} AS s""")
+def stream_ingest(spark, sf):
+    """Story drops by closed month ranges (neighbouring drops share their edge day) are
+    ingested as a stream; each story comes out once."""
+    from quillstat.streaming import ingest
+    st = D.stories(spark, sf)
+    src, sink, ck = _scratch(spark, "drops"), _scratch(spark, "ingested"), _scratch(spark, "ingest-ckpt")
+    month = F.date_trunc("month", F.col("publish_date"))
+    first_next = F.add_months(month, 1).cast("timestamp")
+    # every story goes to its month's drop; a story on the 1st also goes to the previous drop
+    edge = st.where(F.col("publish_date") == month).withColumn("drop", F.date_format(F.add_months(month, -1), "yyyy-MM"))
+    main = st.withColumn("drop", F.date_format(month, "yyyy-MM"))
+    drops = main.unionByName(edge).where(F.col("publish_date") <= first_next)
+    drops.repartition("drop").write.partitionBy("drop").parquet(src)
+    q = ingest.ingest(spark, f"{src}/*", sink, ck)
+    q.awaitTermination()
+    return spark.read.schema(st.schema).parquet(sink).select(
+        "media_id", "stories_id", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_day"), "url")
