@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstat.functions.text import PUNCT_CLASS, _c, count_sub, has_sub, strip_ws, tokens
+from quillstat.functions.text import PUNCT_CLASS, _c, count_sub, has_sub, let, strip_ws, tokens
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: ordered clean-up rewrites applied to a lower-cased person name.
@@ -72,9 +72,8 @@ def full_names(col) -> Column:
     are at least two spaces); pieces that still hold a delimiter are split again.
     Null, digits, or a single 'surname, name' give an empty array."""
     raw = _c(col)
-    b = F.lower(strip_ws(raw))
-    return (F.when(raw.isNull() | b.rlike("[0-9]"), _empty())
-            .otherwise(_full_names_level(b, 1)))
+    return let(F.lower(strip_ws(raw)), lambda b: F.when(raw.isNull() | b.rlike("[0-9]"), _empty())
+               .otherwise(_full_names_level(b, 1)))
 
 
 def _needs_split(p: Column) -> Column:
@@ -88,7 +87,8 @@ def _full_names_level(b: Column, depth: int) -> Column:
         leaf = F.array(strip_extras(strip_ws(p)))
         if depth >= 3:  # three levels exhaust ';' → ' and ' → ','
             return leaf
-        return F.when(_needs_split(p), _full_names_level(F.lower(strip_ws(p)), depth + 1)).otherwise(leaf)
+        return F.when(_needs_split(p), let(F.lower(strip_ws(p)), lambda q: _full_names_level(q, depth + 1))
+                      ).otherwise(leaf)
 
     parts = (F.when(has_sub(b, ";"), F.split(b, ";"))
              .when(has_sub(b, " and "), F.split(b, " and "))
@@ -102,10 +102,10 @@ def _full_names_level(b: Column, depth: int) -> Column:
 def first_name_of_full(col, drop_last: bool = True) -> Column:
     """First token without a '.' and longer than one char; the last token (surname)
     is not a candidate unless ``drop_last`` is False. Null when none."""
-    t = tokens(_c(col))
-    cand = F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))) if drop_last else t
-    ok = F.filter(cand, lambda x: ~x.contains(".") & (F.length(x) != 1))
-    return F.try_element_at(ok, F.lit(1))
+    def first(t: Column) -> Column:
+        cand = F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))) if drop_last else t
+        return F.try_element_at(F.filter(cand, lambda x: ~x.contains(".") & (F.length(x) != 1)), F.lit(1))
+    return let(tokens(_c(col)), first)
 
 
 def first_name_of_reversed(col) -> Column:
@@ -122,13 +122,15 @@ def first_names(col) -> Column:
     Null or any digit → empty.
     """
     raw = _c(col)
-    b = strip_ws(raw)
-    spaces, commas, conj = count_sub(b, " "), count_sub(b, ","), count_sub(b, " and ")
-    a1 = F.when((commas == 0) & (conj == 0), F.array(first_name_of_full(b))).otherwise(_empty())
-    a2 = F.when(conj > 0, F.transform(F.split(b, " and "), lambda p: first_name_of_full(strip_ws(p)))) \
-        .otherwise(_empty())
-    a3 = F.when((spaces < 3) & (commas == 1), F.array(first_name_of_reversed(b))).otherwise(_empty())
-    return F.when(raw.isNull() | raw.rlike("[0-9]"), _empty()).otherwise(F.concat(a1, a2, a3))
+
+    def body(b: Column) -> Column:
+        spaces, commas, conj = count_sub(b, " "), count_sub(b, ","), count_sub(b, " and ")
+        a1 = F.when((commas == 0) & (conj == 0), F.array(first_name_of_full(b))).otherwise(_empty())
+        a2 = F.when(conj > 0, F.transform(F.split(b, " and "), lambda p: first_name_of_full(strip_ws(p)))) \
+            .otherwise(_empty())
+        a3 = F.when((spaces < 3) & (commas == 1), F.array(first_name_of_reversed(b))).otherwise(_empty())
+        return F.concat(a1, a2, a3)
+    return F.when(raw.isNull() | raw.rlike("[0-9]"), _empty()).otherwise(let(strip_ws(raw), body))
 
 
 def drop_punct(col) -> Column:

@@ -29,6 +29,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a Column -> Column function).
+
+    Catalyst does not share a sub-expression that is repeated inside conditional
+    branches; binding it as the single element of a ``transform`` does."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_ws(col) -> Column:
     """Python ``str.strip()``: Spark ``trim`` only removes spaces."""
     return F.regexp_replace(_c(col), r"^\s+|\s+$", "")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions.names import drop_punct, first_names, plus_to_space, space_to_plus
-from quillstat.functions.text import _c, ascii_fold, strip_ws
+from quillstat.functions.text import _c, ascii_fold, let, strip_ws
 from quillstat.operators.joins import small_side
 from quillstat.sources.rules import OVERRIDE_LABELS
 
@@ -70,18 +70,18 @@ def byline_gender(df: DataFrame, names: DataFrame, byline_col: str = "byline",
 
 
 def guess(first_name: Column, sets: tuple[list[str], list[str]]) -> Column:
+    """Gender label of a first name (null or not in the table → unknown)."""
     fem, mal = sets
-    n = F.lower(first_name)
-    return (F.when(first_name.isNull(), F.lit("unknown"))
-            .when(_in(n, fem), F.lit("female")).when(_in(n, mal), F.lit("male")).otherwise(F.lit("unknown")))
+    return let(F.lower(first_name), lambda n: F.when(_in(n, fem), F.lit("female"))
+               .when(_in(n, mal), F.lit("male")).otherwise(F.lit("unknown")))
 
 
 def single_name_gender(col, sets: tuple[list[str], list[str]]) -> Column:
     """Gender of one person's name: blank → unknown; only the first extracted first name counts."""
-    name = _c(col)
-    s = strip_ws(name)
-    n0 = F.try_element_at(first_names(s), F.lit(1))
-    return F.when(name.isNull() | (F.length(s) == 0), F.lit("unknown")).otherwise(guess(n0, sets))
+    def body(s: Column) -> Column:
+        n0 = F.try_element_at(first_names(s), F.lit(1))
+        return F.when(s.isNull() | (F.length(s) == 0), F.lit("unknown")).otherwise(guess(n0, sets))
+    return let(strip_ws(_c(col)), body)
 
 
 def single_name_gender_ascii(col, sets: tuple[list[str], list[str]]) -> Column:
