@@ -41,7 +41,7 @@ def read_stories(spark: SparkSession, path: str) -> DataFrame:
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """SRC-4: stored pages '<dir>/<stories_id>.html' → (stories_id, html), one row per file."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     sid = F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]+)\.html?$", 1)
     return df.select(sid.cast("long").alias("stories_id"), F.col("value").alias("html"))
 
