@@ -173,6 +173,62 @@ def scan_pages(df: DataFrame, rules_df: DataFrame | None = None, html_col: str =
     return df.mapInPandas(fn, T.StructType(keep + SCAN_FIELDS))
 
 
+HIT_TYPE = T.ArrayType(T.StructType([
+    T.StructField("outlet", T.StringType()),
+    T.StructField("byline_value", T.StringType()),
+    T.StructField("byline_rule", T.IntegerType()),
+    T.StructField("section_value", T.StringType()),
+    T.StructField("section_rule", T.IntegerType()),
+    T.StructField("error", T.StringType()),
+]))
+
+
+def _page_hits_fn(byline_rules: dict, section_rules: dict, html_col: str):
+    outlets = sorted(set(byline_rules) | set(section_rules))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cb = _compile(byline_rules)
+        cs = _compile(section_rules)
+        for pdf in batches:
+            col = []
+            for html in pdf[html_col]:
+                if html is None:
+                    col.append(None)
+                    continue
+                hits = []
+                try:
+                    page = htmldom.Page(html)
+                except Exception as e:  # unparsable page: every outlet fails the same way
+                    col.append([{"outlet": o, "byline_value": None, "byline_rule": None, "section_value": None,
+                                 "section_rule": None, "error": type(e).__name__} for o in outlets])
+                    continue
+                for o in outlets:
+                    try:
+                        bv, br = _first_hit(page, cb.get(o, []))
+                        sv, sr = _first_hit(page, cs.get(o, []))
+                        err = None
+                    except Exception as e:  # e.g. the chosen element lacks the attribute
+                        bv = br = sv = sr = None
+                        err = type(e).__name__
+                    hits.append({"outlet": o, "byline_value": bv, "byline_rule": br, "section_value": sv,
+                                 "section_rule": sr, "error": err})
+                col.append(hits)
+            out = pdf.drop(columns=[html_col])
+            out["hits"] = pd.Series(col, index=pdf.index, dtype=object)
+            yield out
+    return scan
+
+
+def page_hits(pages: DataFrame, rules_df: DataFrame | None = None, html_col: str = "html") -> DataFrame:
+    """Pages → same rows without the HTML plus ``hits``: for EVERY outlet with rules, the
+    first byline and section-tag hit. The page is parsed once, where it is read; only
+    these small structs travel to the story join (the HTML is never shuffled)."""
+    rows = _rule_rows(rules_df)
+    fn = _page_hits_fn(_by_outlet(rows, "byline"), _by_outlet(rows, "section_tag"), html_col)
+    keep = [f for f in pages.schema.fields if f.name != html_col]
+    return pages.mapInPandas(fn, T.StructType(keep + [T.StructField("hits", HIT_TYPE)]))
+
+
 def with_outlet(stories: DataFrame, media: DataFrame | None = None) -> DataFrame:
     """Attach media_name/outlet by media_id (left join; unknown ids get null outlet)."""
     if media is None:
@@ -193,10 +249,16 @@ def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame |
     Unknown outlets and stories without a page give byline '' and section ''.
     """
     st = with_outlet(stories, media)
-    joined = st.join(pages.select("stories_id", "html"), "stories_id", "left")
+    pg = pages.select("stories_id", "html")
     if full_text:
-        joined = joined.withColumn("full_text", full_text_col(F.lit(None).cast("string"), F.col("html")))
-    out = scan_pages(joined, rules_df)
+        pg = pg.withColumn("full_text", full_text_col(F.lit(None).cast("string"), F.col("html")))
+    hits = page_hits(pg, rules_df)
+    out = st.join(hits, "stories_id", "left")
+    hit = F.try_element_at(F.filter("hits", lambda h: h["outlet"] == F.col("outlet")), F.lit(1))
+    out = out.select(*st.columns, *(["full_text"] if full_text else []),
+                     hit["byline_value"].alias("byline_value"), hit["byline_rule"].alias("byline_rule"),
+                     hit["section_value"].alias("section_value"), hit["section_rule"].alias("section_rule"),
+                     hit["error"].alias("error"))
     failed = F.col("error").isNotNull()
     url_section = section_from_url(F.col("outlet"), F.col("url"), rules_df)
     section = F.coalesce(url_section, F.col("section_value"), F.lit(""))
@@ -225,26 +287,30 @@ def full_text_col(story_text, html) -> Column:
 # X-8 legacy rule table: first rule in file order whose tag is present
 # ---------------------------------------------------------------------------
 
-LEGACY_FIELDS = [
+LEGACY_HIT_TYPE = T.ArrayType(T.StructType([
+    T.StructField("media_id", T.StringType()),
     T.StructField("foundwith", T.StringType()),
     T.StructField("byline", T.StringType()),
     T.StructField("status", T.StringType()),
-]
+]))
 
 
 def _legacy_fn(per_media: dict[str, list[tuple]], html_col: str):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fw, bl, st = [], [], []
-            for mid, html in zip(pdf["media_id"], pdf[html_col]):
-                lst = per_media.get(mid)
-                f = b = None
-                if not lst:
-                    s = "Not included"
-                else:
+            col = []
+            for html in pdf[html_col]:
+                try:
+                    page = htmldom.Page(html or "")
+                except Exception as e:
+                    col.append([{"media_id": m, "foundwith": None, "byline": None, "status": type(e).__name__}
+                                for m in per_media])
+                    continue
+                hits = []
+                for mid, lst in per_media.items():
+                    f = b = None
+                    s = "Included not found"
                     try:
-                        page = htmldom.Page(html or "")
-                        s = "Included not found"
                         for tag, attr, value in lst:
                             i = htmldom.find_first(page, tag, attr, value)
                             if i >= 0:
@@ -252,23 +318,23 @@ def _legacy_fn(per_media: dict[str, list[tuple]], html_col: str):
                                 f = f"{tag}[{attr}={value}]"
                                 s = "found"
                                 break
-                    except Exception as e:
+                    except Exception as e:  # e.g. a meta tag without content
                         f = b = None
                         s = type(e).__name__
-                fw.append(f)
-                bl.append(b)
-                st.append(s)
+                    hits.append({"media_id": mid, "foundwith": f, "byline": b, "status": s})
+                col.append(hits)
             out = pdf.drop(columns=[html_col])
-            out["foundwith"] = pd.Series(fw, index=pdf.index, dtype=object)
-            out["byline"] = pd.Series(bl, index=pdf.index, dtype=object)
-            out["status"] = pd.Series(st, index=pdf.index, dtype=object)
+            out["hits"] = pd.Series(col, index=pdf.index, dtype=object)
             yield out
     return scan
 
 
 def legacy_extract(stories: DataFrame, pages: DataFrame, legacy_rules: DataFrame | None = None) -> DataFrame:
     """Stories ⋈ pages → (story columns, foundwith, byline, status). status is 'found',
-    'Included not found', 'Not included' (media without rules) or an exception type."""
+    'Included not found', 'Not included' (media without rules) or an exception type.
+
+    Pages are scanned where they are read, for every media id of the rule table; only
+    the small hit structs are joined to the stories."""
     if legacy_rules is None:
         rows = R.legacy_rule_rows()
     else:
@@ -277,9 +343,15 @@ def legacy_extract(stories: DataFrame, pages: DataFrame, legacy_rules: DataFrame
     per: dict[str, list[tuple]] = {}
     for mid, tag, attr, value, prio in sorted(rows, key=lambda r: r[4]):
         per.setdefault(mid, []).append((tag, attr, value))
-    joined = stories.join(pages.select("stories_id", "html"), "stories_id", "left")
-    keep = [f for f in joined.schema.fields if f.name != "html"]
-    return joined.mapInPandas(_legacy_fn(per, "html"), T.StructType(keep + LEGACY_FIELDS))
+    hits = pages.select("stories_id", "html").mapInPandas(
+        _legacy_fn(per, "html"), T.StructType([T.StructField("stories_id", T.LongType()),
+                                               T.StructField("hits", LEGACY_HIT_TYPE)]))
+    j = stories.join(hits, "stories_id", "left")
+    hit = F.try_element_at(F.filter("hits", lambda h: h["media_id"] == F.col("media_id")), F.lit(1))
+    has_rules = F.col("media_id").isin(list(per))
+    return j.select(*stories.columns, hit["foundwith"].alias("foundwith"), hit["byline"].alias("byline"),
+                    F.when(~has_rules | F.col("media_id").isNull(), F.lit("Not included"))
+                    .otherwise(F.coalesce(hit["status"], F.lit("Included not found"))).alias("status"))
 
 
 def route(legacy: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -31,6 +31,10 @@ class Page(HTMLParser):
         self.close()
         n = len(self._text)
         self.end = [n if e is None else e for e in self.end]
+        # element indices by tag, in document order: rules only look at their own tag
+        self.by_tag: dict[str, list[int]] = {}
+        for i, t in enumerate(self.tags):
+            self.by_tag.setdefault(t, []).append(i)
 
     def _add(self, tag, attrs) -> int:
         i = len(self.tags)
@@ -97,7 +101,7 @@ def _step_ok(page: Page, i: int, step: tuple) -> bool:
 def select_first(page: Page, steps: list[tuple]) -> int:
     """Index of the first element in document order matching the steps, or -1."""
     last = steps[-1]
-    for i in range(len(page.tags)):
+    for i in page.by_tag.get(last[0], ()):
         if not _step_ok(page, i, last):
             continue
         k, j = len(steps) - 2, page.parent[i]
@@ -113,9 +117,7 @@ def select_first(page: Page, steps: list[tuple]) -> int:
 def find_first(page: Page, tag: str, attr: str, value: str) -> int:
     """``find(tag, {attr: value})``: exact value, or one of the classes for ``class``."""
     tag, attr = tag.lower(), attr.lower()
-    for i in range(len(page.tags)):
-        if page.tags[i] != tag:
-            continue
+    for i in page.by_tag.get(tag, ()):
         have = page.attrs[i].get(attr)
         if have is None:
             continue
