@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions.text import strip_ws
+from quillstat.operators.joins import small_side
 
 
 def _norm(c: Column) -> Column:
@@ -49,9 +50,14 @@ def evaluate(labels: DataFrame, extracted: DataFrame) -> DataFrame:
     byline_corrected, n_names. ``extracted``: media_id, stories_id, byline,
     female, male, unknown.
     """
-    ex = extracted.select("media_id", "stories_id", F.coalesce("byline", F.lit("")).alias("extracted"),
+    ex = extracted.select(F.col("media_id").alias("_mid"), "stories_id",
+                          F.coalesce("byline", F.lit("")).alias("extracted"),
                           (F.col("female") + F.col("male") + F.col("unknown")).alias("n_found"))
-    j = labels.join(ex, ["media_id", "stories_id"], "inner")
+    # hand labels are few: broadcast them when the bounded count says so; joining on the
+    # story key keeps the extraction's existing partitioning either way
+    lab = small_side(labels, max_rows=1_000_000)
+    j = ex.join(lab, (ex["stories_id"] == lab["stories_id"]) & (F.col("_mid") == lab["media_id"]), "inner") \
+        .drop(ex["stories_id"]).drop("_mid")
     actual = actual_byline(F.col("is_correct"), F.col("byline_extracted_label"), F.col("byline_corrected"))
     j = j.withColumn("actual", actual)
     correct = _norm(F.col("extracted")) == _norm(F.col("actual"))

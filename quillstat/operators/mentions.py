@@ -56,7 +56,10 @@ def gazetteer_mentions(docs: DataFrame, people: DataFrame, key: str = "stories_i
     else:
         ex = docs.select(key, F.explode(grams).alias("gram"))
         hits = ex.join(small_side(people.select(F.col("name").alias("gram")).distinct()), "gram", "left_semi")
-    return hits.groupBy(key, F.col("gram").alias("name")).agg(F.count(F.lit(1)).alias("count"))
+    # partition matches by the story key: the count needs no other exchange and the result
+    # is already laid out for the join with the articles on the same key
+    return (hits.repartition(key).groupBy(key, F.col("gram").alias("name"))
+            .agg(F.count(F.lit(1)).alias("count")))
 
 
 def mentioned_people(articles: DataFrame, mentions: DataFrame, gender_of: callable) -> DataFrame:
