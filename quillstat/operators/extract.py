@@ -256,6 +256,7 @@ def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame |
     out = st.join(hits, "stories_id", "left")
     hit = F.try_element_at(F.filter("hits", lambda h: h["outlet"] == F.col("outlet")), F.lit(1))
     out = out.select(*st.columns, *(["full_text"] if full_text else []),
+                     F.col("hits").isNotNull().alias("has_page"),
                      hit["byline_value"].alias("byline_value"), hit["byline_rule"].alias("byline_rule"),
                      hit["section_value"].alias("section_value"), hit["section_rule"].alias("section_rule"),
                      hit["error"].alias("error"))
@@ -270,13 +271,34 @@ def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame |
         "byline_rule",
         F.col("section_value").alias("section_tag"), "section_rule",
         F.when(failed, F.lit("failed")).otherwise(F.lit("ok")).alias("status"),
-        "error",
+        "error", "has_page",
     ] + (["full_text"] if full_text else [])
     out = out.select(*cols)
     return out.withColumn("is_opinion", F.when(F.col("status") == "ok",
                                                is_opinion("outlet", "section", compat_opinion)))
 
 
+def extract_with_fallback(stories: DataFrame, file_pages: DataFrame, archive_pages: DataFrame,
+                          rules_df: DataFrame | None = None, max_broadcast_ids: int = 5_000_000) -> DataFrame:
+    """P-3: extract from the stored file; when there is no file or it fails, from the story's
+    archived page; when that fails too, the story is dropped.
+
+    The first pass is checkpointed once (shared folder). Only the stories that need the
+    second tier are looked up among the archived pages (semi join; the id side is broadcast
+    when a bounded count allows), so those pages alone are parsed."""
+    from quillstat.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(stories.sparkSession)
+    first = extract_metadata(stories, file_pages, rules_df).checkpoint(eager=True)
+    keep1 = first.where((F.col("status") == "ok") & F.col("has_page"))
+    need = first.where((F.col("status") != "ok") | ~F.col("has_page")).select("stories_id")
+    need = small_side(need, max_rows=max_broadcast_ids)
+    again = stories.join(need, "stories_id", "left_semi")
+    pages2 = archive_pages.select("stories_id", "html").join(need, "stories_id", "left_semi")
+    second = extract_metadata(again, pages2, rules_df)
+    keep2 = second.where((F.col("status") == "ok") & F.col("has_page"))
+    return keep1.unionByName(keep2)
+
+
 def full_text_col(story_text, html) -> Column:
     """X-10: tokens of the story text when known, else of the tag-stripped HTML."""
     return F.coalesce(F.when(_c(story_text).isNotNull(), token_string(story_text)),

@@ -569,3 +569,34 @@ def stream_ingest(spark, sf):
     q.awaitTermination()
     return spark.read.schema(st.schema).parquet(sink).select(
         "media_id", "stories_id", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_day"), "url")
+
+
+# =============================================================================
+# Two-tier extraction, story total, full-text table (P-3, A-9, SNK-4 / X-10)
+# =============================================================================
+
+@query("fallback_extract", f"""
+SELECT media_id, stories_id, byline, section, byline_rule, status, is_opinion
+FROM {Q.articles_sql(fallback_pages="(SELECT page_id AS stories_id, html FROM pages)")} AS a""")
+def fallback_extract(spark, sf):
+    """Stored files = the derived pages (some fail); second tier = the raw archived pages."""
+    archive = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("stories_id"), "html")
+    a = X.extract_with_fallback(D.stories(spark, sf), D.pages(spark, sf), archive)
+    return a.select("media_id", "stories_id", "byline", "section", "byline_rule", "status", "is_opinion")
+
+
+@query("story_total", f"""
+SELECT count(*) AS n_stories FROM {D.stories_sql()} AS s
+WHERE publish_date >= TIMESTAMP '{MONTH_FROM}' AND publish_date < TIMESTAMP '{MONTH_TO}'
+  AND media_id IN ({', '.join(D.q(m) for m in SCAN_MEDIA)})""")
+def story_total(spark, sf):
+    st = S.story_scan(D.stories(spark, sf), MONTH_FROM, MONTH_TO, SCAN_MEDIA)
+    return st.agg(F.count(F.lit(1)).alias("n_stories"))
+
+
+@query("full_text_articles", f"""
+SELECT a.stories_id, a.byline, a.section, {q_token_string(q_strip_tags('p.html'))} AS full_text
+FROM {Q.articles_sql()} AS a LEFT JOIN {D.pages_sql()} AS p ON a.stories_id = p.stories_id""")
+def full_text_articles(spark, sf):
+    a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), full_text=True)
+    return a.select("stories_id", "byline", "section", "full_text")

@@ -193,8 +193,11 @@ def is_opinion(outlet: str, section: str) -> str:
             f"AND length({section}) > 0 THEN (CASE {outlet} {whens} END) END)")
 
 
-def articles_sql() -> str:
-    """Oracle for extract_metadata: stories ⋈ media ⋈ pages, regex extraction."""
+def articles_sql(fallback_pages: str | None = None) -> str:
+    """Oracle for extract_metadata: stories ⋈ media ⋈ pages, regex extraction.
+
+    ``fallback_pages``: SQL of second-tier pages; a failed story is then extracted from
+    its second-tier page instead (P-3)."""
     from quillstat.plans import derived as D
     bv, bp, bb = first_rule_value("p.html", "m.outlet", "byline")
     sv, sp, sb = first_rule_value("p.html", "m.outlet", "section_tag")
@@ -205,6 +208,19 @@ def articles_sql() -> str:
              f"LEFT JOIN {D.pages_sql()} AS p ON s.stories_id = p.stories_id")
     sec = "coalesce(usec, sval, '')"
     byl = f"CASE WHEN bval IS NULL THEN '' ELSE {clean_byline('bval')} END"
+    if fallback_pages is not None:
+        b2, p2, k2 = first_rule_value("p2.html", "outlet", "byline")
+        s2, _, k3 = first_rule_value("p2.html", "outlet", "section_tag")
+        sec2 = "coalesce(usec, sval2, '')"
+        byl2 = f"CASE WHEN bval2 IS NULL THEN '' ELSE {clean_byline('bval2')} END"
+        inner2 = (f"SELECT a.*, {b2} AS bval2, {p2} AS rule2, ({k2} OR {k3}) AS broken2, {s2} AS sval2 "
+                  f"FROM ({inner}) AS a LEFT JOIN {fallback_pages} AS p2 ON a.stories_id = p2.stories_id")
+        return (f"(SELECT media_id, stories_id, publish_date, url, media_name, outlet, "
+                f"CASE WHEN broken THEN {byl2} ELSE {byl} END AS byline, "
+                f"CASE WHEN broken THEN {sec2} ELSE {sec} END AS section, "
+                f"CASE WHEN broken THEN rule2 ELSE byline_rule END AS byline_rule, 'ok' AS status, "
+                f"CASE WHEN broken THEN {is_opinion('outlet', sec2)} ELSE {is_opinion('outlet', sec)} END "
+                f"AS is_opinion FROM ({inner2}) AS a2 WHERE NOT (broken AND coalesce(broken2, false)))")
     return (f"(SELECT media_id, stories_id, publish_date, url, media_name, outlet, "
             f"CASE WHEN broken THEN NULL ELSE {byl} END AS byline, "
             f"CASE WHEN broken THEN NULL ELSE {sec} END AS section, "
