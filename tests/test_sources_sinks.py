@@ -87,3 +87,44 @@ def test_rule_tables_shape(spark):
     assert r.where(F.col("kind") == "byline").count() == len(rules.BYLINE_RULES)
     assert rules.legacy_rules(spark).count() == 47
     assert rules.media(spark).select("media_name").distinct().count() == 9
+
+
+def test_closed_and_half_open_month(spark):
+    from quillstat.operators import sampling as S
+    df = spark.createDataFrame([(1, "2013-09-01 00:00:00"), (2, "2013-09-15 00:00:00"), (3, "2013-10-01 00:00:00")],
+                               "stories_id long, d string").withColumn("publish_date", F.to_timestamp("d"))
+    half = sorted(r.stories_id for r in S.story_scan(df, "2013-09-01", "2013-10-01").collect())
+    closed = sorted(r.stories_id for r in S.story_scan(df, "2013-09-01", "2013-10-01", closed=True).collect())
+    assert half == [1, 2] and closed == [1, 2, 3]
+
+
+def test_unmatched_media(spark):
+    from quillstat.operators import reports as RP
+    st = spark.createDataFrame([("1", 1), ("424242", 2)], "media_id string, stories_id long")
+    assert [r.stories_id for r in RP.unmatched_media(st, rules.media(spark)).collect()] == [2]
+
+
+def test_story_list_and_article_sinks(spark):
+    d = _tmp()
+    p = os.path.join(d, "list.csv")
+    with open(p, "w") as f:
+        f.write("media_id,publish_date,stories_id,url,file_name\n1,2013-08-01,7,http://x,./a/7.html\n")
+    r = readers.read_story_list(spark, p).first()
+    assert (r.media_id, r.stories_id, r.file_name) == ("1", 7, "./a/7.html")
+    arts = spark.createDataFrame(
+        [("1", 7, "2013-08-01 00:00:00", "http://x", "Ann Lee", 1, 0, 0, "opinion", True, None),
+         ("1", 8, "2013-09-02 00:00:00", "http://y", None, None, None, None, None, None, None)],
+        "media_id string, stories_id long, publish_date string, url string, byline string, female int, "
+        "male int, unknown int, section string, is_opinion boolean, full_text string"
+    ).withColumn("publish_date", F.to_timestamp("publish_date"))
+    sinks.write_articles(arts, os.path.join(d, "pq"))
+    back = spark.read.parquet(os.path.join(d, "pq"))
+    assert sorted(r.publish_month for r in back.select("publish_month").distinct().collect()) == ["2013-08", "2013-09"]
+    sinks.write_articles(arts, os.path.join(d, "csv"), fmt="csv")
+    m = readers.read_month_files(spark, [os.path.join(d, "csv", "publish_month=2013-08"),
+                                         os.path.join(d, "csv", "publish_month=2013-09")])
+    got = {r.stories_id: (r.byline, r.is_opinion) for r in m.collect()}
+    assert got == {7: ("Ann Lee", True), 8: (None, None)}
+    sinks.write_run_results(arts.select("stories_id", "byline"), arts.select("stories_id"), os.path.join(d, "runs"),
+                            "r1")
+    assert spark.read.parquet(os.path.join(d, "runs", "extracted_results")).where("run_id = 'r1'").count() == 2
