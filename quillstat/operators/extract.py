@@ -210,8 +210,9 @@ def _page_hits_fn(byline_rules: dict, section_rules: dict, html_col: str):
                     except Exception as e:  # e.g. the chosen element lacks the attribute
                         bv = br = sv = sr = None
                         err = type(e).__name__
-                    hits.append({"outlet": o, "byline_value": bv, "byline_rule": br, "section_value": sv,
-                                 "section_rule": sr, "error": err})
+                    if br is not None or sr is not None or err is not None:  # absent = nothing found
+                        hits.append({"outlet": o, "byline_value": bv, "byline_rule": br, "section_value": sv,
+                                     "section_rule": sr, "error": err})
                 col.append(hits)
             out = pdf.drop(columns=[html_col])
             out["hits"] = pd.Series(col, index=pdf.index, dtype=object)
@@ -343,7 +344,8 @@ def _legacy_fn(per_media: dict[str, list[tuple]], html_col: str):
                     except Exception as e:  # e.g. a meta tag without content
                         f = b = None
                         s = type(e).__name__
-                    hits.append({"media_id": mid, "foundwith": f, "byline": b, "status": s})
+                    if s != "Included not found":  # absent = nothing found for this media id
+                        hits.append({"media_id": mid, "foundwith": f, "byline": b, "status": s})
                 col.append(hits)
             out = pdf.drop(columns=[html_col])
             out["hits"] = pd.Series(col, index=pdf.index, dtype=object)

@@ -63,9 +63,9 @@ def _fem_male():
 
 def q_gender_counts(arr: str) -> tuple[str, str, str]:
     fem, mal = _fem_male()
-    f = f"len(list_filter({arr}, lambda g1: list_contains({fem}, lower(g1))))"
-    m = f"len(list_filter({arr}, lambda g2: list_contains({mal}, lower(g2))))"
-    return f, m, f"(len({arr}) - {f} - {m})"
+    f = f"CAST(len(list_filter({arr}, lambda g1: list_contains({fem}, lower(g1)))) AS INTEGER)"
+    m = f"CAST(len(list_filter({arr}, lambda g2: list_contains({mal}, lower(g2)))) AS INTEGER)"
+    return f, m, f"CAST(len({arr}) - {f} - {m} AS INTEGER)"
 
 
 def q_guess(first: str) -> str:
@@ -216,7 +216,7 @@ def document_tokens(spark, sf):
 # =============================================================================
 
 @query("first_names", f"""
-SELECT id, {Q.join_names(Q.first_names('byline'))} AS first_names, len({Q.first_names('byline')}) AS n_first
+SELECT id, {Q.join_names(Q.first_names('byline'))} AS first_names, CAST(len({Q.first_names('byline')}) AS INTEGER) AS n_first
 FROM {D.order_bylines_sql()} AS o""")
 def first_names(spark, sf):
     o = D.order_bylines(spark, sf).withColumn("_fn", N.first_names("byline"))
@@ -224,7 +224,7 @@ def first_names(spark, sf):
 
 
 @query("full_names", f"""
-SELECT id, {Q.join_names(Q.full_names('byline'))} AS people, len({Q.full_names('byline')}) AS n_people
+SELECT id, {Q.join_names(Q.full_names('byline'))} AS people, CAST(len({Q.full_names('byline')}) AS INTEGER) AS n_people
 FROM {D.order_bylines_sql()} AS o""")
 def full_names(spark, sf):
     o = D.order_bylines(spark, sf).withColumn("_fp", N.full_names("byline"))
@@ -355,8 +355,8 @@ def outlet_people(spark, sf):
 
 
 @query("gender_rollup", f"""
-SELECT media_name, strftime(publish_date, '%Y-%m') AS publish_month, sum(female) AS female, sum(male) AS male,
-       sum(unknown) AS unknown, count(*) AS n_articles
+SELECT media_name, strftime(publish_date, '%Y-%m') AS publish_month, CAST(sum(female) AS BIGINT) AS female,
+       CAST(sum(male) AS BIGINT) AS male, CAST(sum(unknown) AS BIGINT) AS unknown, count(*) AS n_articles
 FROM {q_articles()} AS a GROUP BY media_name, strftime(publish_date, '%Y-%m')""")
 def gender_rollup(spark, sf):
     a = articles(spark, sf).withColumn("publish_month", F.date_format("publish_date", "yyyy-MM"))
@@ -389,7 +389,7 @@ def gazetteer_mentions(spark, sf):
 
 
 @query("mentioned_people", f"""
-SELECT a.media_name, m.name, sum(m.count) AS n_mentions,
+SELECT a.media_name, m.name, CAST(sum(m.count) AS BIGINT) AS n_mentions,
        {q_single_gender("regexp_replace(strip_accents(m.name), '[^\\x00-\\x7F]', '', 'g')")} AS gender
 FROM {_q_mentions()} AS m JOIN {Q.articles_sql()} AS a ON m.stories_id = a.stories_id
 WHERE {OPINION} GROUP BY a.media_name, m.name""")
@@ -401,7 +401,7 @@ def mentioned_people(spark, sf):
 
 
 @query("mention_bylines", f"""
-SELECT a.media_name, m.name, a.mentioner, sum(m.count) AS n
+SELECT a.media_name, m.name, a.mentioner, CAST(sum(m.count) AS BIGINT) AS n
 FROM {_q_mentions()} AS m
 JOIN (SELECT stories_id, media_name, unnest({Q.full_names('byline')}) AS mentioner FROM {Q.articles_sql()} AS a0
       WHERE {OPINION}) AS a ON m.stories_id = a.stories_id
