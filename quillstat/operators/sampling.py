@@ -28,6 +28,11 @@ def story_scan(stories: DataFrame, start: str, end: str, media_ids: list[str] |
         (d >= F.lit(start).cast("timestamp")) & (d < F.lit(end).cast("timestamp"))
     if media_ids is not None:
         cond = cond & F.col("media_id").isin(list(media_ids))
+    if "publish_month" in stories.columns:
+        # redundant month bounds on the partition column: lets the scan prune partitions
+        m = F.col("publish_month")
+        cond = cond & (m >= F.date_format(F.lit(start).cast("timestamp"), "yyyy-MM")) & \
+            (m <= F.date_format(F.lit(end).cast("timestamp"), "yyyy-MM"))
     return stories.where(cond)
 
 

@@ -25,6 +25,7 @@ from quillstat.operators import sampling as S
 from quillstat.plans import derived as D
 from quillstat.plans import duck as Q
 from quillstat.sources import rules as R
+from quillstat.sources.readers import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,7 +208,7 @@ def token_string(spark, sf):
 @query("document_tokens", f"""
 SELECT doc_id, {q_token_string('text')} AS tokens FROM documents""")
 def document_tokens(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = read_table(spark, f"{sf}/documents.parquet")
     return docs.select("doc_id", TX.token_string("text").alias("tokens"))
 
 
@@ -263,7 +264,7 @@ def single_name_gender(spark, sf):
 @query("ascii_fold", f"""
 SELECT doc_id, regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g') AS folded FROM documents""")
 def ascii_fold(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = read_table(spark, f"{sf}/documents.parquet")
     return docs.select("doc_id", TX.ascii_fold("text").alias("folded"))
 
 
@@ -580,7 +581,7 @@ SELECT media_id, stories_id, byline, section, byline_rule, status, is_opinion
 FROM {Q.articles_sql(fallback_pages="(SELECT page_id AS stories_id, html FROM pages)")} AS a""")
 def fallback_extract(spark, sf):
     """Stored files = the derived pages (some fail); second tier = the raw archived pages."""
-    archive = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("stories_id"), "html")
+    archive = read_table(spark, f"{sf}/pages.parquet").select(F.col("page_id").alias("stories_id"), "html")
     a = X.extract_with_fallback(D.stories(spark, sf), D.pages(spark, sf), archive)
     return a.select("media_id", "stories_id", "byline", "section", "byline_rule", "status", "is_opinion")
 

@@ -240,10 +240,11 @@ def html_sql(html_col: str) -> str:
 # --- Spark side ------------------------------------------------------------
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from quillstat.sources.readers import read_table
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Story records (media_id, stories_id, publish_date, url), one per driver page."""
     p = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("stories_id"))
     return p.select(
@@ -254,7 +255,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw page HTML per story with the byline/section tags injected (stories_id, html)."""
     p = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("stories_id"), "html")
     names = [F.expr(v).alias(k) for k, v in name_cols_sql("stories_id").items()]
@@ -265,13 +266,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("stories_id", F.expr(html_sql("html")).alias("html")))
 
 
-def story_bylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_story_bylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byline each derived page carries (ground truth for evaluation)."""
     p = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("stories_id"))
     return with_byline(p, "stories_id", ["stories_id"])
 
 
-def order_bylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_order_bylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume input for the name operators: one byline per order (id, media_id, byline)."""
     o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     o = o.select("id", F.expr(media_id_sql("id")).alias("media_id"))
@@ -345,7 +346,7 @@ def _override_cols(idc: str) -> dict[str, str]:
     }
 
 
-def override_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_override_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manual override sheet rows (org, name, count, gender, row_no), one per customer."""
     c = _read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     names = [F.expr(v).alias(k) for k, v in name_cols_sql("c_custkey").items()]
@@ -372,9 +373,9 @@ def _label_cols(idc: str) -> dict[str, str]:
     }
 
 
-def eval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_eval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hand-label sheet rows, one per story page (header rows already dropped)."""
-    b = story_bylines(spark, sf_dir)
+    b = _build_story_bylines(spark, sf_dir)
     return b.select(*[F.expr(v).alias(k) for k, v in _label_cols("stories_id").items()])
 
 
@@ -395,3 +396,70 @@ def gazetteer(spark: SparkSession) -> DataFrame:
 def gazetteer_sql() -> str:
     vals = ", ".join(f"({q(n)})" for (n,) in gazetteer_rows())
     return f"(SELECT * FROM (VALUES {vals}) AS t(name))"
+
+
+# --- materialised inputs ------------------------------------------------------------
+#
+# The derived inputs are written once per session as parquet tables in the shared
+# checkpoint folder and every query scans those tables, as it would scan the stored
+# story/page tables of a deployment: filters and column pruning reach the parquet scan,
+# and ``stories`` is partitioned by publish_month so month ranges prune partitions.
+
+_MATERIALISED: dict[tuple, str] = {}
+
+_LAYOUT = {
+    "stories": ("publish_month", "media_id string, stories_id bigint, publish_date timestamp, url string, "
+                                 "publish_month string"),
+    "pages": (None, "stories_id bigint, html string"),
+    "story_bylines": (None, "stories_id bigint, byline string"),
+    "order_bylines": (None, "id bigint, media_id string, byline string"),
+    "override_sheet": (None, "org string, name string, count bigint, gender string, row_no bigint"),
+    "eval_labels": (None, "media_id string, stories_id bigint, url string, byline_extracted_label string, "
+                          "is_correct string, byline_corrected string, n_names string"),
+}
+
+
+def _materialised(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    import uuid
+
+    from quillstat.session import ensure_checkpoint_dir
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    part, schema = _LAYOUT[name]
+    path = _MATERIALISED.get(key)
+    if path is None:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/derived-{uuid.uuid4().hex}/{name}"
+        df = globals()[f"_build_{name}"](spark, sf_dir)
+        if part == "publish_month":
+            df = df.withColumn("publish_month", F.date_format("publish_date", "yyyy-MM"))
+            df.repartition("publish_month").write.partitionBy("publish_month").parquet(path)
+        else:
+            df.write.parquet(path)
+        _MATERIALISED[key] = path
+    out = spark.read.schema(schema).parquet(path)
+    return out.drop("publish_month") if name != "stories" else out
+
+
+def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Story records (media_id, stories_id, publish_date, url, publish_month), one per driver page."""
+    return _materialised(spark, sf_dir, "stories")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw page HTML per story with the byline/section tags injected (stories_id, html)."""
+    return _materialised(spark, sf_dir, "pages")
+
+
+def story_bylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _materialised(spark, sf_dir, "story_bylines")
+
+
+def order_bylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _materialised(spark, sf_dir, "order_bylines")
+
+
+def override_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _materialised(spark, sf_dir, "override_sheet")
+
+
+def eval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _materialised(spark, sf_dir, "eval_labels")

@@ -34,6 +34,21 @@ ARTICLE_CSV_SCHEMA = T.StructType([
 ])
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Parallelism floor for CPU-heavy per-row work (page parsing, name rules).
+
+    A scan of few large files / row groups can yield fewer partitions than there are
+    cores; then the rows are spread round-robin once. Inputs that already have enough
+    partitions (any cluster-sized table) are returned unchanged - no shuffle."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table with the parallelism floor applied."""
+    return spread(spark.read.parquet(path))
+
+
 def read_stories(spark: SparkSession, path: str) -> DataFrame:
     """SRC-1: story table (parquet, ideally partitioned by publish_month)."""
     return spark.read.schema(STORY_SCHEMA).parquet(path)
