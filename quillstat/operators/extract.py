@@ -99,15 +99,6 @@ def clean_byline(col) -> Column:
 # X-1 / X-2 / X-4 / X-8: the partition function
 # ---------------------------------------------------------------------------
 
-SCAN_FIELDS = [
-    T.StructField("byline_value", T.StringType()),
-    T.StructField("byline_rule", T.IntegerType()),
-    T.StructField("section_value", T.StringType()),
-    T.StructField("section_rule", T.IntegerType()),
-    T.StructField("error", T.StringType()),
-]
-
-
 def _compile(per: dict[str, list[tuple]]) -> dict[str, list[tuple]]:
     return {o: [(prio, htmldom.parse_selector(sel), attr, re.compile(rx) if rx else None, grp)
                 for prio, sel, attr, rx, grp in lst] for o, lst in per.items()}
@@ -132,47 +123,6 @@ def _first_hit(page, compiled: list[tuple]):
     return None, None
 
 
-def _scan_fn(byline_rules: dict, section_rules: dict, html_col: str):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cb = _compile(byline_rules)
-        cs = _compile(section_rules)
-        for pdf in batches:
-            bvs, brs, svs, srs, errs = [], [], [], [], []
-            for outlet, html in zip(pdf["outlet"], pdf[html_col]):
-                bv = br = sv = sr = err = None
-                rb, rs = cb.get(outlet, []), cs.get(outlet, [])
-                if (rb or rs) and html is not None:
-                    try:
-                        page = htmldom.Page(html)
-                        bv, br = _first_hit(page, rb)
-                        sv, sr = _first_hit(page, rs)
-                    except Exception as e:  # the story fails, the row is kept
-                        bv = br = sv = sr = None
-                        err = type(e).__name__
-                bvs.append(bv)
-                brs.append(br)
-                svs.append(sv)
-                srs.append(sr)
-                errs.append(err)
-            out = pdf.drop(columns=[html_col])
-            out["byline_value"] = pd.Series(bvs, index=pdf.index, dtype=object)
-            out["byline_rule"] = pd.array(brs, dtype="Int32")
-            out["section_value"] = pd.Series(svs, index=pdf.index, dtype=object)
-            out["section_rule"] = pd.array(srs, dtype="Int32")
-            out["error"] = pd.Series(errs, index=pdf.index, dtype=object)
-            yield out
-    return scan
-
-
-def scan_pages(df: DataFrame, rules_df: DataFrame | None = None, html_col: str = "html") -> DataFrame:
-    """Rows with ``outlet`` and HTML → same rows without the HTML plus the first
-    byline / section-tag hit (raw values, rule priority, error type)."""
-    rows = _rule_rows(rules_df)
-    fn = _scan_fn(_by_outlet(rows, "byline"), _by_outlet(rows, "section_tag"), html_col)
-    keep = [f for f in df.schema.fields if f.name != html_col]
-    return df.mapInPandas(fn, T.StructType(keep + SCAN_FIELDS))
-
-
 HIT_TYPE = T.ArrayType(T.StructType([
     T.StructField("outlet", T.StringType()),
     T.StructField("byline_value", T.StringType()),

@@ -95,18 +95,21 @@ def read_eval_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _sheet_rows(spark: SparkSession, path: str, header_rows: int, cols: dict[str, int]) -> DataFrame:
-    """Positional fields of a CSV sheet (quoted fields handled by the CSV reader), in file order."""
-    from pyspark.sql.window import Window
+    """Positional fields of a CSV sheet (quoted fields handled by the CSV reader), in file order.
+
+    ``row_no`` is the row's monotonically increasing id (file order; gaps allowed). The
+    header rows are the first rows of each file: ids below the file's smallest id plus
+    the header count (one tiny per-file aggregate, broadcast back; no window)."""
     width = max(cols.values()) + 1
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE").csv(path)
-           .select("*", F.col("_metadata.file_path").alias("_f")))
-    # line order within each sheet file (ids increase with file position); headers are per file
-    w = Window.partitionBy("_f").orderBy("_i")
-    numbered = raw.withColumn("_i", F.monotonically_increasing_id()).withColumn("row_no", F.row_number().over(w))
-    body = numbered.where(F.col("row_no") > header_rows)
-    return body.select(*[F.col(f"c{i}").alias(name) for name, i in cols.items()],
-                       (F.col("row_no") - header_rows).alias("row_no"))
+           .select("*", F.col("_metadata.file_path").alias("_f"))
+           .withColumn("_i", F.monotonically_increasing_id()))
+    from quillstat.operators.joins import small_side
+    firsts = raw.groupBy("_f").agg(F.min("_i").alias("_m"))  # one row per input file
+    firsts = small_side(firsts, max_rows=100_000, known_rows=len(raw.inputFiles()))
+    body = raw.join(firsts, "_f").where(F.col("_i") >= F.col("_m") + header_rows)
+    return body.select(*[F.col(f"c{i}").alias(name) for name, i in cols.items()], F.col("_i").alias("row_no"))
 
 
 def read_month_files(spark: SparkSession, paths: list[str]) -> DataFrame:
