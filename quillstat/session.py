@@ -55,12 +55,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    current = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the server side owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstat-ckpt-", dir="/tmp")
+    return _ensure_on_context(sc)
+
+
+def _ensure_on_context(sc) -> str:
+    current = sc.getCheckpointDir()
     if current:
         return current
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         # only reached for a session built elsewhere without the setting (tests)
         path = tempfile.mkdtemp(prefix="quillstat-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path

@@ -40,8 +40,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     A scan of few large files / row groups can yield fewer partitions than there are
     cores; then the rows are spread round-robin once. Inputs that already have enough
     partitions (any cluster-sized table) are returned unchanged - no shuffle."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no classic SparkContext (e.g. a remote session): leave the scan as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -54,6 +58,12 @@ def read_stories(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORY_SCHEMA).parquet(path)
 
 
+def stories_from_sentences(sentences: DataFrame) -> DataFrame:
+    """SRC-1 as the source queried it: one row per story = its first sentence's row.
+    The predicate is a plain column filter, so it is pushed into the parquet scan."""
+    return sentences.where(F.col("sentence_number") == 1).select("media_id", "stories_id", "publish_date", "url")
+
+
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """SRC-4: stored pages '<dir>/<stories_id>.html' → (stories_id, html), one row per file."""
     df = spark.read.text(path, wholetext=True)

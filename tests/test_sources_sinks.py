@@ -128,3 +128,9 @@ def test_story_list_and_article_sinks(spark):
     sinks.write_run_results(arts.select("stories_id", "byline"), arts.select("stories_id"), os.path.join(d, "runs"),
                             "r1")
     assert spark.read.parquet(os.path.join(d, "runs", "extracted_results")).where("run_id = 'r1'").count() == 2
+
+
+def test_stories_from_sentences(spark):
+    s = spark.createDataFrame([("1", 5, 1, "2013-08-01 00:00:00", "u"), ("1", 5, 2, "2013-08-01 00:00:00", "u")],
+                              "media_id string, stories_id long, sentence_number int, publish_date string, url string")
+    assert readers.stories_from_sentences(s).count() == 1
