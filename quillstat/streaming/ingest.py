@@ -27,7 +27,7 @@ def dedup_stories(stream: DataFrame, watermark: str = "400 days") -> DataFrame:
 
 
 def ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-           watermark: str = "400 days", max_files_per_trigger: int | None = 1) -> StreamingQuery:
+           watermark: str = "400 days", max_files_per_trigger: int | None = 1000) -> StreamingQuery:
     """Run the ingest over everything available now (restartable from its checkpoint)."""
     s = dedup_stories(story_stream(spark, source_dir, max_files_per_trigger), watermark)
     return (s.writeStream.format("parquet").option("path", sink_dir)

@@ -14,7 +14,7 @@ def test_stream_dedups_overlapping_drops(spark):
         .withColumn("publish_date", F.to_timestamp("publish_date"))
     df.write.parquet(f"{base}/src/drop=a")
     df.where(F.col("stories_id") < 10).write.parquet(f"{base}/src/drop=b")  # overlap
-    q = ingest.ingest(spark, f"{base}/src/*", f"{base}/sink", f"{base}/ckpt")
+    q = ingest.ingest(spark, f"{base}/src/*", f"{base}/sink", f"{base}/ckpt", max_files_per_trigger=1)
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/sink")
     assert out.count() == 20
