@@ -102,14 +102,20 @@ def clean_overrides(sheet: DataFrame) -> DataFrame:
     return best.select("org", "name", F.col("b.gender").alias("gender"), F.col("b.count").alias("count"))
 
 
+def prepare_overrides(sheet: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """Cleaned override sheet, size-checked ONCE for broadcasting to the name joins."""
+    return small_side(clean_overrides(sheet), max_rows=max_rows)
+
+
 def override_rejects(sheet: DataFrame) -> DataFrame:
     return sheet.where(~F.coalesce(F.col("gender").isin(OVERRIDE_LABELS), F.lit(False)))
 
 
 def org_name_gender(df: DataFrame, overrides: DataFrame, sets, org_col: str = "org",
                     name_col: str = "name", out_col: str = "gender") -> DataFrame:
-    """Manual gender for (org, name without punctuation) when present, else the guess."""
-    ov = small_side(overrides.select(F.col("org").alias("_o"), F.col("name").alias("_n"),
+    """Manual gender for (org, name without punctuation) when present, else the guess.
+    ``overrides``: output of ``prepare_overrides`` (cleaned, size-checked)."""
+    ov = (overrides.select(F.col("org").alias("_o"), F.col("name").alias("_n"),
                                      F.col("gender").alias("_manual")))
     t = df.withColumn("_np", drop_punct(F.col(name_col)))
     j = t.join(ov, (F.col(org_col) == F.col("_o")) & (F.col("_np") == F.col("_n")), "left")
@@ -119,8 +125,8 @@ def org_name_gender(df: DataFrame, overrides: DataFrame, sets, org_col: str = "o
 
 def online_org_name_gender(df: DataFrame, overrides: DataFrame, org_col: str = "org",
                            name_col: str = "name", out_col: str = "manual_gender") -> DataFrame:
-    """Manual gender for exactly (org, name), else ''."""
-    ov = small_side(overrides.select(F.col("org").alias("_o"), F.col("name").alias("_n"),
+    """Manual gender for exactly (org, name), else ''. ``overrides`` as for org_name_gender."""
+    ov = (overrides.select(F.col("org").alias("_o"), F.col("name").alias("_n"),
                                      F.col("gender").alias("_manual")))
     j = df.join(ov, (F.col(org_col) == F.col("_o")) & (F.col(name_col) == F.col("_n")), "left")
     return j.withColumn(out_col, F.coalesce(F.col("_manual"), F.lit(""))).drop("_o", "_n", "_manual")

@@ -296,7 +296,7 @@ LEFT JOIN {_q_overrides()} AS o1
   ON p.org = o1.org AND regexp_replace(p.name, '[!-/:-@\\[-`{{-~]', '', 'g') = o1.name
 LEFT JOIN {_q_overrides()} AS o2 ON p.org = o2.org AND p.name = o2.name""")
 def override_gender(spark, sf):
-    ov = G.clean_overrides(D.override_sheet(spark, sf))
+    ov = G.prepare_overrides(D.override_sheet(spark, sf))
     p = _people_counts(spark, sf).select("org", "name")
     g = G.org_name_gender(p, ov, _sets(spark))
     return G.online_org_name_gender(g, ov).select("org", "name", "gender", "manual_gender")

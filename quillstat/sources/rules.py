@@ -31,13 +31,13 @@ MEDIA = [
 # ---------------------------------------------------------------------------
 # FIXED VALUES: byline rules per outlet, in priority order.
 # (outlet, selector, attribute or None for element text, regex or None, group)
-# Regexes are anchored with ^ (match at start); group is positional.
+# Regexes are anchored with ^ (the rules match at the start of the value) and name their
+# capture by position (Spark's regexp_extract takes a group index).
 # ---------------------------------------------------------------------------
 _BY_NAME = r"^By ([A-Za-z.\- ]*)"
 _BY_SPACES_NAME = r"^By[\s]+([A-Za-z.\- ]*)"
 _LAT_CONTACT = r"^([A-Za-z. -]+) contact the reporter"
-_LAT_DATED = (r"^((January|February|March|April|June|July|August|September|October|November|December)"
-              r"( \d\d?, \d\d\d\d\|)(By )?)([A-Z]{1}[A-Za-z. -]+)($|, Los Angeles Times)")
+_LAT_DATED = r"^((January|February|March|April|June|July|August|September|October|November|December)( \d\d?, \d\d\d\d\|)(By )?)([A-Z]{1}[A-Za-z. -]+)($|, Los Angeles Times)"  # noqa: E501
 
 BYLINE_RULES = [
     ("nyt", 'meta[name="author"]', "content", None, 0),
@@ -86,12 +86,10 @@ BYLINE_RULES = [
 # ---------------------------------------------------------------------------
 SECTION_URL_RULES = [
     ("nyt", r"^http://www.nytimes.com/[0-9]{4}/[0-9]{2}/[0-9]{2}/([A-Za-z0-9/]+)/", 1),
-    ("wapo", r"^http://feeds.washingtonpost.com/c/34656/f/[0-9]+/s/[A-Za-z0-9]+/(sc/[0-9]+/l|l)/"
-             r"0L0Swashingtonpost0N0C([A-Za-z0-9]+?)s0C[A-Za-z0-9]+/story01.htm", 2),
-    ("wapo", r"^http://www.washingtonpost.com/wp-dyn/content/article/[0-9]{4}/[0-9]{2}/[0-9]{2}/"
-             r"AR[0-9]+.html?(nav|wprss)=rss_([A-Za-z0-9]+)(/columns$|/industries$|s$|$)", 2),
+    ("wapo", r"^http://feeds.washingtonpost.com/c/34656/f/[0-9]+/s/[A-Za-z0-9]+/(sc/[0-9]+/l|l)/0L0Swashingtonpost0N0C([A-Za-z0-9]+?)s0C[A-Za-z0-9]+/story01.htm", 2),  # noqa: E501
+    ("wapo", r"^http://www.washingtonpost.com/wp-dyn/content/article/[0-9]{4}/[0-9]{2}/[0-9]{2}/AR[0-9]+.html?(nav|wprss)=rss_([A-Za-z0-9]+)(/columns$|/industries$|s$|$)", 2),  # noqa: E501
     ("lat", r"^http://feeds.latimes.com/~r/(latimes/)*([A-Za-z/]+)/~3", 2),
-    ("dailybeast", r"^http://(www.thedailybeast.com/|feedproxy.google.com/~r/thedailybeast/)([A-Za-z\-]+)/[\S]*", 2),
+    ("dailybeast", r"^http://(www.thedailybeast.com/|feedproxy.google.com/~r/thedailybeast/)([A-Za-z\-]+)/[\S]*", 2),  # noqa: E501
     ("nypost", r"^http://www.nypost.com/p/([A-Za-z0-9\-\\]+)/[\S]*rss&FEEDNAME=", 1),
 ]
 
