@@ -180,6 +180,16 @@ def page_hits(pages: DataFrame, rules_df: DataFrame | None = None, html_col: str
     return pages.mapInPandas(fn, T.StructType(keep + [T.StructField("hits", HIT_TYPE)]))
 
 
+def pages_for(stories: DataFrame, pages: DataFrame, story_ids_bound: int | None) -> DataFrame:
+    """Pages of the given stories only, when the story side has a proven size bound (a sample
+    of n, a checked label sheet): a broadcast semi join before the parse, so only those pages
+    are parsed. Without a bound all pages are scanned (the join after the parse selects)."""
+    if story_ids_bound is None:
+        return pages
+    ids = small_side(stories.select("stories_id"), known_rows=story_ids_bound)
+    return pages.join(ids, "stories_id", "left_semi")
+
+
 def with_outlet(stories: DataFrame, media: DataFrame | None = None) -> DataFrame:
     """Attach media_name/outlet by media_id (left join; unknown ids get null outlet)."""
     if media is None:
@@ -193,14 +203,14 @@ def with_outlet(stories: DataFrame, media: DataFrame | None = None) -> DataFrame
 
 def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame | None = None,
                      media: DataFrame | None = None, full_text: bool = False,
-                     compat_opinion: bool = False) -> DataFrame:
+                     compat_opinion: bool = False, story_ids_bound: int | None = None) -> DataFrame:
     """Stories ⋈ pages → byline, section, is_opinion (+ full_text) and a status per story.
 
     status: 'ok', or 'failed' (error holds the exception type; byline/section null).
     Unknown outlets and stories without a page give byline '' and section ''.
     """
     st = with_outlet(stories, media)
-    pg = pages.select("stories_id", "html")
+    pg = pages_for(stories, pages, story_ids_bound).select("stories_id", "html")
     if full_text:
         pg = pg.withColumn("full_text", full_text_col(F.lit(None).cast("string"), F.col("html")))
     hits = page_hits(pg, rules_df)
@@ -303,7 +313,8 @@ def _legacy_fn(per_media: dict[str, list[tuple]], html_col: str):
     return scan
 
 
-def legacy_extract(stories: DataFrame, pages: DataFrame, legacy_rules: DataFrame | None = None) -> DataFrame:
+def legacy_extract(stories: DataFrame, pages: DataFrame, legacy_rules: DataFrame | None = None,
+                   story_ids_bound: int | None = None) -> DataFrame:
     """Stories ⋈ pages → (story columns, foundwith, byline, status). status is 'found',
     'Included not found', 'Not included' (media without rules) or an exception type.
 
@@ -317,7 +328,7 @@ def legacy_extract(stories: DataFrame, pages: DataFrame, legacy_rules: DataFrame
     per: dict[str, list[tuple]] = {}
     for mid, tag, attr, value, prio in sorted(rows, key=lambda r: r[4]):
         per.setdefault(mid, []).append((tag, attr, value))
-    hits = pages.select("stories_id", "html").mapInPandas(
+    hits = pages_for(stories, pages, story_ids_bound).select("stories_id", "html").mapInPandas(
         _legacy_fn(per, "html"), T.StructType([T.StructField("stories_id", T.LongType()),
                                                T.StructField("hits", LEGACY_HIT_TYPE)]))
     j = stories.join(hits, "stories_id", "left")

@@ -58,9 +58,12 @@ def evaluation_run(spark: SparkSession, labels: DataFrame, stories: DataFrame, p
                    names: DataFrame, out_path: str, run_id: str) -> DataFrame:
     """3.2: extract the labelled stories, score them, write both result tables of the run
     and append the run log; returns the accuracy row."""
-    st = stories.join(small_side(labels.select("stories_id").distinct(), max_rows=1_000_000), "stories_id",
-                      "left_semi")
-    arts = _with_gender(X.extract_metadata(st, pages), names)
+    ids = labels.select("stories_id").distinct()
+    cap = 1_000_000
+    n = ids.limit(cap + 1).count()  # hand labels: a small sheet
+    bound = n if n <= cap else None
+    st = stories.join(small_side(ids, known_rows=n) if bound else ids, "stories_id", "left_semi")
+    arts = _with_gender(X.extract_metadata(st, pages, story_ids_bound=bound), names)
     evaluated = E.evaluate(labels, arts)
     extracted = arts.select("media_id", "stories_id", "publish_date", "byline", "female", "male", "unknown",
                             "section", "is_opinion")
@@ -79,7 +82,7 @@ def legacy_sample_run(spark: SparkSession, stories: DataFrame, pages: DataFrame,
     if media_set_members is not None:
         st = st.join(small_side(media_set_members.select("media_id")), "media_id", "left_semi")
     sample = S.sample_stories(st, n, seed)
-    leg = X.legacy_extract(sample, pages)
+    leg = X.legacy_extract(sample, pages, story_ids_bound=n)  # only the sampled pages are parsed
     sinks.write_routed(leg, f"{out_path}/{run_id}/extracted_bylines", f"{out_path}/{run_id}/failed_bylines")
     sinks.append_run_log(spark, f"{out_path}/run_log", run_id)
     return X.extraction_summary(leg)
