@@ -566,7 +566,12 @@ def stream_ingest(spark, sf):
     main = st.withColumn("drop", F.date_format(month, "yyyy-MM"))
     drops = main.unionByName(edge).where(F.col("publish_date") <= first_next)
     drops.repartition("drop").write.partitionBy("drop").parquet(src)
-    q = ingest.ingest(spark, f"{src}/*", sink, ck, max_files_per_trigger=4)  # several micro-batches
+    try:
+        parts = spark.sparkContext.defaultParallelism
+    except Exception:
+        parts = None
+    # several micro-batches (state carried across them); state partitions ~ cores for this size
+    q = ingest.ingest(spark, f"{src}/*", sink, ck, max_files_per_trigger=8, state_partitions=parts)
     q.awaitTermination()
     return spark.read.schema(st.schema).parquet(sink).select(
         "media_id", "stories_id", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_day"), "url")

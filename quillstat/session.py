@@ -30,7 +30,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """Return the active session, or build a local one with sane defaults."""
     active = SparkSession.getActiveSession()
     if active is not None:
-        ensure_checkpoint_dir(active)
+        prepare_session(active)
         return active
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -45,7 +45,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
                              tempfile.mkdtemp(prefix="quillstat-ckpt-", dir="/tmp"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     return spark
 
 
@@ -72,3 +72,43 @@ def _ensure_on_context(sc) -> str:
         path = tempfile.mkdtemp(prefix="quillstat-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+_SHIPPED: set[str] = set()
+
+
+def prepare_session(spark: SparkSession) -> str:
+    """Checkpoint folder + this package on the Python workers; returns the checkpoint folder."""
+    path = ensure_checkpoint_dir(spark)
+    ship_package(spark, path)
+    return path
+
+
+def ship_package(spark: SparkSession, scratch: str | None = None) -> None:
+    """Make ``quillstat`` importable by the Python workers (partition functions and the
+    Arrow UDF are pickled by module reference): zip the package once per application and
+    add it with ``addPyFile``. Harmless where the package is installed on the executors."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the package must be installed server side
+        return
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+
+    import quillstat
+    pkg = os.path.dirname(os.path.abspath(quillstat.__file__))
+    root = os.path.dirname(pkg)
+    base = scratch if scratch and "://" not in scratch.replace("file://", "") else None
+    if base and base.startswith("file:"):
+        base = base[len("file:"):]
+    folder = tempfile.mkdtemp(prefix="quillstat-pyfiles-", dir=base if base and os.path.isdir(base) else None)
+    zpath = os.path.join(folder, "quillstat.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)

@@ -27,9 +27,21 @@ def dedup_stories(stream: DataFrame, watermark: str = "400 days") -> DataFrame:
 
 
 def ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-           watermark: str = "400 days", max_files_per_trigger: int | None = 1000) -> StreamingQuery:
-    """Run the ingest over everything available now (restartable from its checkpoint)."""
+           watermark: str = "400 days", max_files_per_trigger: int | None = 1000,
+           state_partitions: int | None = None) -> StreamingQuery:
+    """Run the ingest over everything available now (restartable from its checkpoint).
+
+    ``state_partitions`` fixes the number of dedup state partitions of a NEW query (it is
+    recorded in the checkpoint; a restarted query keeps its own)."""
     s = dedup_stories(story_stream(spark, source_dir, max_files_per_trigger), watermark)
-    return (s.writeStream.format("parquet").option("path", sink_dir)
-            .option("checkpointLocation", checkpoint_dir).outputMode("append")
-            .trigger(availableNow=True).start())
+    w = (s.writeStream.format("parquet").option("path", sink_dir)
+         .option("checkpointLocation", checkpoint_dir).outputMode("append").trigger(availableNow=True))
+    if state_partitions is None:
+        return w.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return w.start()  # the stream runs on a clone of the session taken here
+    finally:
+        spark.conf.set(key, old)

@@ -21,6 +21,6 @@ def spark():
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from quillstat.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(s)
+    from quillstat.session import prepare_session
+    prepare_session(s)
     yield s
