@@ -93,6 +93,12 @@ SECTION_URL_RULES = [
     ("nypost", r"^http://www.nypost.com/p/([A-Za-z0-9\-\\]+)/[\S]*rss&FEEDNAME=", 1),
 ]
 
+# Added rule (not in the source data), used only with ``fix_url_rules=True``: the second WaPo
+# pattern with its query-string '?' escaped, so real "...html?nav=rss_x" URLs can match (D-6).
+SECTION_URL_ADDED = [
+    ("wapo", r"^http://www.washingtonpost.com/wp-dyn/content/article/[0-9]{4}/[0-9]{2}/[0-9]{2}/AR[0-9]+\.html\?(nav|wprss)=rss_([A-Za-z0-9]+)(/columns$|/industries$|s$|$)", 2),  # noqa: E501
+]
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES: section rules from page tags, in priority order.
 # (outlet, selector, attribute or None for element text)
@@ -200,8 +206,9 @@ RULE_SCHEMA = T.StructType([
 ])
 
 
-def extractor_rule_rows() -> list[tuple]:
-    """All rules as rows; priority counts from 1 within (outlet, kind)."""
+def extractor_rule_rows(fix_url_rules: bool = False) -> list[tuple]:
+    """All rules as rows; priority counts from 1 within (outlet, kind). ``fix_url_rules``
+    appends the added URL rules after each outlet's own."""
     rows: list[tuple] = []
     seen: dict[tuple, int] = {}
 
@@ -211,15 +218,16 @@ def extractor_rule_rows() -> list[tuple]:
 
     for outlet, sel, attr, rx, grp in BYLINE_RULES:
         rows.append((outlet, "byline", nxt(outlet, "byline"), sel, attr, rx, grp))
-    for outlet, rx, grp in SECTION_URL_RULES:
+    url_rules = SECTION_URL_RULES + (SECTION_URL_ADDED if fix_url_rules else [])
+    for outlet, rx, grp in url_rules:
         rows.append((outlet, "section_url", nxt(outlet, "section_url"), None, None, rx, grp))
     for outlet, sel, attr in SECTION_TAG_RULES:
         rows.append((outlet, "section_tag", nxt(outlet, "section_tag"), sel, attr, None, 0))
     return rows
 
 
-def extractor_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(extractor_rule_rows(), RULE_SCHEMA)
+def extractor_rules(spark: SparkSession, fix_url_rules: bool = False) -> DataFrame:
+    return spark.createDataFrame(extractor_rule_rows(fix_url_rules), RULE_SCHEMA)
 
 
 def media(spark: SparkSession) -> DataFrame:

@@ -89,3 +89,13 @@ def test_extra_and_missing_text(spark):
                   EV.missing_text(F.col("x"), F.col("a")).alias("m")).collect()
     assert r[0].e == "by ann lee and ;, staff"
     assert r[1].e is None and r[1].m == "Ann Lee;;;Bo Yi;;;"
+
+
+def test_wapo_query_string_fix_is_opt_in(spark):
+    from quillstat.sources import rules
+    url = "http://www.washingtonpost.com/wp-dyn/content/article/2010/05/06/AR2010050600001.html?nav=rss_opinions"
+    df = spark.createDataFrame([("wapo", url)], "outlet string, url string")
+    plain = df.select(X.section_from_url("outlet", "url").alias("s")).first().s
+    fixed = df.select(X.section_from_url("outlet", "url", rules.extractor_rules(spark, fix_url_rules=True))
+                      .alias("s")).first().s
+    assert plain is None and fixed == "opinions"
