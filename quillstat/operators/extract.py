@@ -180,14 +180,25 @@ def page_hits(pages: DataFrame, rules_df: DataFrame | None = None, html_col: str
     return pages.mapInPandas(fn, T.StructType(keep + [T.StructField("hits", HIT_TYPE)]))
 
 
+MAX_MONTHS = 1200
+
+
 def pages_for(stories: DataFrame, pages: DataFrame, story_ids_bound: int | None) -> DataFrame:
-    """Pages of the given stories only, when the story side has a proven size bound (a sample
-    of n, a checked label sheet): a broadcast semi join before the parse, so only those pages
-    are parsed. Without a bound all pages are scanned (the join after the parse selects)."""
-    if story_ids_bound is None:
-        return pages
-    ids = small_side(stories.select("stories_id"), known_rows=story_ids_bound)
-    return pages.join(ids, "stories_id", "left_semi")
+    """Only the pages that can belong to the given stories, chosen BEFORE the parse:
+
+    * a story side with a proven size bound (a sample of n, a checked label sheet): broadcast
+      semi join on the story id;
+    * both tables partitioned by ``publish_month``: the scan keeps only the story side's
+      months (partition pruning; e.g. a monthly job parses one month of pages).
+    Otherwise all pages are scanned and the join after the parse selects."""
+    if story_ids_bound is not None:
+        ids = small_side(stories.select("stories_id"), known_rows=story_ids_bound)
+        return pages.join(ids, "stories_id", "left_semi")
+    if "publish_month" in stories.columns and "publish_month" in pages.columns:
+        months = [r[0] for r in stories.select("publish_month").distinct().limit(MAX_MONTHS + 1).collect()]
+        if len(months) <= MAX_MONTHS:
+            return pages.where(F.col("publish_month").isin([m for m in months if m is not None]))
+    return pages
 
 
 def with_outlet(stories: DataFrame, media: DataFrame | None = None) -> DataFrame:

@@ -410,7 +410,7 @@ _MATERIALISED: dict[tuple, str] = {}
 _LAYOUT = {
     "stories": ("publish_month", "media_id string, stories_id bigint, publish_date timestamp, url string, "
                                  "publish_month string"),
-    "pages": (None, "stories_id bigint, html string"),
+    "pages": ("publish_month", "stories_id bigint, html string, publish_month string"),
     "story_bylines": (None, "stories_id bigint, byline string"),
     "order_bylines": (None, "id bigint, media_id string, byline string"),
     "override_sheet": (None, "org string, name string, count bigint, gender string, row_no bigint"),
@@ -430,13 +430,15 @@ def _materialised(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/derived-{uuid.uuid4().hex}/{name}"
         df = globals()[f"_build_{name}"](spark, sf_dir)
         if part == "publish_month":
-            df = df.withColumn("publish_month", F.date_format("publish_date", "yyyy-MM"))
+            day = F.col("publish_date") if "publish_date" in df.columns else \
+                F.expr(publish_date_sql("stories_id")).cast("timestamp")
+            df = df.withColumn("publish_month", F.date_format(day, "yyyy-MM"))
             df.repartition("publish_month").write.partitionBy("publish_month").parquet(path)
         else:
             df.write.parquet(path)
         _MATERIALISED[key] = path
     out = spark.read.schema(schema).parquet(path)
-    return out.drop("publish_month") if name != "stories" else out
+    return out if part == "publish_month" else out
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
