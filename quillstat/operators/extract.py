@@ -214,7 +214,8 @@ def with_outlet(stories: DataFrame, media: DataFrame | None = None) -> DataFrame
 
 def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame | None = None,
                      media: DataFrame | None = None, full_text: bool = False,
-                     compat_opinion: bool = False, story_ids_bound: int | None = None) -> DataFrame:
+                     compat_opinion: bool = False, story_ids_bound: int | None = None,
+                     mention_names: list[str] | None = None) -> DataFrame:
     """Stories ⋈ pages → byline, section, is_opinion (+ full_text) and a status per story.
 
     status: 'ok', or 'failed' (error holds the exception type; byline/section null).
@@ -222,12 +223,21 @@ def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame |
     """
     st = with_outlet(stories, media)
     pg = pages_for(stories, pages, story_ids_bound).select("stories_id", "html")
-    if full_text:
+    extra = []
+    if full_text or mention_names is not None:
         pg = pg.withColumn("full_text", full_text_col(F.lit(None).cast("string"), F.col("html")))
+    if mention_names is not None:  # M-1 page-side: only the small per-story array travels on
+        from quillstat.operators.mentions import mention_array
+        pg = pg.withColumn("mentions", mention_array(F.col("full_text"), mention_names))
+        extra.append("mentions")
+    if full_text:
+        extra.insert(0, "full_text")
+    else:
+        pg = pg.drop("full_text") if "full_text" in pg.columns else pg
     hits = page_hits(pg, rules_df)
     out = st.join(hits, "stories_id", "left")
     hit = F.try_element_at(F.filter("hits", lambda h: h["outlet"] == F.col("outlet")), F.lit(1))
-    out = out.select(*st.columns, *(["full_text"] if full_text else []),
+    out = out.select(*st.columns, *extra,
                      F.col("hits").isNotNull().alias("has_page"),
                      hit["byline_value"].alias("byline_value"), hit["byline_rule"].alias("byline_rule"),
                      hit["section_value"].alias("section_value"), hit["section_rule"].alias("section_rule"),
@@ -244,7 +254,7 @@ def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame |
         F.col("section_value").alias("section_tag"), "section_rule",
         F.when(failed, F.lit("failed")).otherwise(F.lit("ok")).alias("status"),
         "error", "has_page",
-    ] + (["full_text"] if full_text else [])
+    ] + extra
     out = out.select(*cols)
     return out.withColumn("is_opinion", F.when(F.col("status") == "ok",
                                                is_opinion("outlet", "section", compat_opinion)))

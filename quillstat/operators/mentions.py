@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions.names import full_names
-from quillstat.functions.text import tokens
+from quillstat.functions.text import let, tokens
 from quillstat.operators.joins import small_side
 from quillstat.operators.reports import opinion_filter
 
@@ -62,6 +62,50 @@ def gazetteer_mentions(docs: DataFrame, people: DataFrame, key: str = "stories_i
             .agg(F.count(F.lit(1)).alias("count")))
 
 
+def gazetteer_names(people: DataFrame, max_inline: int = INLINE_MAX) -> list[str] | None:
+    """The gazetteer as a list when it is small enough to inline (checked), else None."""
+    rows = people.select("name").distinct().limit(max_inline + 1).collect()
+    return sorted({r.name for r in rows if r.name}) if len(rows) <= max_inline else None
+
+
+def mention_array(text: Column, names: list[str]) -> Column:
+    """Per-row mentions of an inlined gazetteer: array<struct<name, count>> (order of first
+    appearance), computed inside the projection - no explode, no shuffle."""
+    sizes = sorted({len(n.split(" ")) for n in names}) or [1]
+
+    def count(hits: Column) -> Column:
+        return F.transform(F.array_distinct(hits), lambda n: F.struct(
+            n.alias("name"), F.size(F.filter(hits, lambda h: h == n)).cast("long").alias("count")))
+
+    def per_tokens(tok: Column) -> Column:
+        grams = F.concat(*[ngrams(tok, k) for k in sizes])
+        return let(F.filter(grams, lambda g: g.isin(names) if names else F.lit(False)), count)
+    return let(tokens(text), per_tokens)
+
+
+def explode_mentions(articles: DataFrame) -> DataFrame:
+    """Rows (stories_id, name, count) from an articles table that carries ``mentions``."""
+    return articles.select("stories_id", F.explode("mentions").alias("m")).select(
+        "stories_id", F.col("m.name").alias("name"), F.col("m.count").alias("count"))
+
+
+def mentioned_people_in_rows(articles: DataFrame, gender_of: callable) -> DataFrame:
+    """A-6 totals from articles that carry their own ``mentions`` (one pass, no join)."""
+    op = articles.where(opinion_filter("section"))
+    m = op.select("media_name", F.explode("mentions").alias("m"))
+    agg = m.groupBy("media_name", F.col("m.name").alias("name")).agg(F.sum("m.count").cast("long").alias("n_mentions"))
+    return agg.withColumn("gender", gender_of(F.col("name")))
+
+
+def mention_bylines_in_rows(articles: DataFrame) -> DataFrame:
+    """A-6 breakdown / M-2 / J-9 within each article row: mentions × byline people."""
+    op = articles.where(opinion_filter("section")).select(
+        "media_name", "mentions", F.explode(full_names(F.col("byline"))).alias("mentioner"))
+    m = op.select("media_name", "mentioner", F.explode("mentions").alias("m"))
+    return m.groupBy("media_name", F.col("m.name").alias("name"), "mentioner").agg(
+        F.sum("m.count").cast("long").alias("n"))
+
+
 def mentioned_people(articles: DataFrame, mentions: DataFrame, gender_of: callable) -> DataFrame:
     """A-6 totals: per (outlet, mentioned name) over opinion articles: total count and the
     name's gender (``gender_of(Column) -> Column``). Totals come from the un-joined

@@ -396,8 +396,9 @@ FROM {_q_mentions()} AS m JOIN {Q.articles_sql()} AS a ON m.stories_id = a.stori
 WHERE {OPINION} GROUP BY a.media_name, m.name""")
 def mentioned_people(spark, sf):
     sets = _sets(spark)
-    a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf))
-    return M.mentioned_people(a, _mentions(spark, sf), lambda c: G.single_name_gender_ascii(c, sets)) \
+    names = M.gazetteer_names(D.gazetteer(spark))
+    a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), mention_names=names)
+    return M.mentioned_people_in_rows(a, lambda c: G.single_name_gender_ascii(c, sets)) \
         .select("media_name", "name", "n_mentions", "gender")
 
 
@@ -408,8 +409,9 @@ JOIN (SELECT stories_id, media_name, unnest({Q.full_names('byline')}) AS mention
       WHERE {OPINION}) AS a ON m.stories_id = a.stories_id
 GROUP BY a.media_name, m.name, a.mentioner""")
 def mention_bylines(spark, sf):
-    a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf))
-    return M.mention_bylines(a, _mentions(spark, sf))
+    names = M.gazetteer_names(D.gazetteer(spark))
+    a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), mention_names=names)
+    return M.mention_bylines_in_rows(a)
 
 
 # =============================================================================
