@@ -69,3 +69,15 @@ def test_file_mode(spark):
     got = {r.stories_id: r.byline for r in jobs.file_mode(spark, lst, pages_dir, archive,
                                                            D.name_gender(spark)).collect()}
     assert got == {1: "Ann Lee", 2: "Bo Yi"}  # story 3: no file, no archived page → dropped
+
+
+def test_people_fan_out_invariant(spark):
+    """A-4 counts every person of every opinion byline once: the sum of counts equals the
+    total length of the people arrays of the opinion articles."""
+    from quillstat.functions import names as N
+    from quillstat.operators import reports as RP
+    arts = X.extract_metadata(D.stories(spark, SF_SMALL), D.pages(spark, SF_SMALL))
+    total = RP.byline_counts(arts).agg(F.sum("n_articles")).first()[0] or 0
+    direct = (arts.where(RP.opinion_filter("section"))
+              .select(F.size(N.full_names(F.col("byline"))).alias("k")).agg(F.sum("k")).first()[0] or 0)
+    assert total == direct
