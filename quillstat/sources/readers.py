@@ -129,3 +129,24 @@ def read_month_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows and get nulls in the missing columns (PERMISSIVE with a fixed schema)."""
     return (spark.read.schema(ARTICLE_CSV_SCHEMA).option("header", True).option("multiLine", True)
             .option("escape", '"').option("nullValue", "None").option("mode", "PERMISSIVE").csv(paths))
+
+
+def read_routed_results(spark: SparkSession, found_path: str, failed_path: str) -> DataFrame:
+    """Saved found / failed files of a legacy run (no header) → one table with a status:
+    'found', or the failure reason. Bylines may be quoted multi-line text (doubled quotes)."""
+    found = (spark.read.schema("media_id string, url string, stories_id long, foundwith string, byline string")
+             .option("multiLine", True).option("escape", '"').csv(found_path)
+             .withColumn("status", F.lit("found")))
+    failed = (spark.read.schema("media_id string, url string, stories_id long, reason string")
+              .option("multiLine", True).option("escape", '"').csv(failed_path)
+              .select("media_id", "url", "stories_id", F.lit(None).cast("string").alias("foundwith"),
+                      F.lit(None).cast("string").alias("byline"), F.col("reason").alias("status")))
+    return found.unionByName(failed)
+
+
+def found_rate(routed: DataFrame) -> DataFrame:
+    """Share of stories with a byline found (exact counts and the rate)."""
+    return routed.agg(F.count_if(F.col("status") == "found").alias("n_found"),
+                      F.count(F.lit(1)).alias("n_stories")).select(
+        "n_found", "n_stories",
+        F.round(F.try_divide(F.col("n_found").cast("double"), F.col("n_stories").cast("double")), 6).alias("rate"))

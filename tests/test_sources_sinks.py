@@ -134,3 +134,22 @@ def test_stories_from_sentences(spark):
     s = spark.createDataFrame([("1", 5, 1, "2013-08-01 00:00:00", "u"), ("1", 5, 2, "2013-08-01 00:00:00", "u")],
                               "media_id string, stories_id long, sentence_number int, publish_date string, url string")
     assert readers.stories_from_sentences(s).count() == 1
+
+
+def test_saved_run_files(spark):
+    d = _tmp()
+    with open(os.path.join(d, "found.csv"), "w") as f:
+        f.write('9,http://a,1,meta[name=dc.creator],\n'
+                '1,http://b,2,meta[name=author],ANN LEE\n'
+                '7,http://c,3,meta[name=parsely-page],"{""title"": ""T"",\n'
+                '                ""author"": ""By BO YI""\n'
+                '               }"\n')
+    with open(os.path.join(d, "failed.csv"), "w") as f:
+        f.write("1,http://d,4,Included not found\n1,http://e,5,<type 'exceptions.Exception'>\n")
+    routed = readers.read_routed_results(spark, os.path.join(d, "found.csv"), os.path.join(d, "failed.csv"))
+    rows = {r.stories_id: r for r in routed.collect()}
+    assert rows[1].byline is None or rows[1].byline == ""
+    assert '"author": "By BO YI"' in rows[3].byline and "\n" in rows[3].byline
+    assert rows[5].status == "<type 'exceptions.Exception'>"
+    r = readers.found_rate(routed).first()
+    assert (r.n_found, r.n_stories, r.rate) == (3, 5, 0.6)
