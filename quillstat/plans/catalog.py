@@ -40,8 +40,23 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+_MEMO: dict[tuple, object] = {}
+
+
+def _memo(spark, key: str, build):
+    """Small per-application constants (name sets, gazetteer list): built once."""
+    k = (spark.sparkContext.applicationId, key)
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
 def _sets(spark):
-    return G.name_sets(D.name_gender(spark))
+    return _memo(spark, "name_sets", lambda: G.name_sets(D.name_gender(spark)))
+
+
+def _gazetteer(spark):
+    return _memo(spark, "gazetteer", lambda: M.gazetteer_names(D.gazetteer(spark)))
 
 
 def articles(spark: SparkSession, sf: str, full_text: bool = False) -> DataFrame:
@@ -396,8 +411,7 @@ FROM {_q_mentions()} AS m JOIN {Q.articles_sql()} AS a ON m.stories_id = a.stori
 WHERE {OPINION} GROUP BY a.media_name, m.name""")
 def mentioned_people(spark, sf):
     sets = _sets(spark)
-    names = M.gazetteer_names(D.gazetteer(spark))
-    a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), mention_names=names)
+    a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), mention_names=_gazetteer(spark))
     return M.mentioned_people_in_rows(a, lambda c: G.single_name_gender_ascii(c, sets)) \
         .select("media_name", "name", "n_mentions", "gender")
 
@@ -409,8 +423,7 @@ JOIN (SELECT stories_id, media_name, unnest({Q.full_names('byline')}) AS mention
       WHERE {OPINION}) AS a ON m.stories_id = a.stories_id
 GROUP BY a.media_name, m.name, a.mentioner""")
 def mention_bylines(spark, sf):
-    names = M.gazetteer_names(D.gazetteer(spark))
-    a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), mention_names=names)
+    a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), mention_names=_gazetteer(spark))
     return M.mention_bylines_in_rows(a)
 
 
@@ -520,6 +533,15 @@ def legacy_failed(spark, sf):
     return X.route(_legacy(spark, sf))[1]
 
 
+@query("legacy_found_rate", f"""
+SELECT count(*) FILTER (WHERE status = 'found') AS n_found, count(*) AS n_stories,
+       round(count(*) FILTER (WHERE status = 'found')::DOUBLE / count(*), 6) AS rate
+FROM {_q_legacy()} AS l""")
+def legacy_found_rate(spark, sf):
+    from quillstat.sources.readers import found_rate
+    return found_rate(_legacy(spark, sf))
+
+
 @query("extraction_summary", f"""
 SELECT media_id, status, foundwith, count(*) AS n_stories FROM {_q_legacy()} AS l
 GROUP BY media_id, status, foundwith""")
