@@ -567,7 +567,7 @@ def month_union(spark, sf):
     from the list of month folders as one table."""
     from quillstat.sources import readers, sinks
     out = _scratch(spark, "months")
-    sinks.write_articles(articles(spark, sf), out, fmt="csv")
+    sinks.write_articles(articles(spark, sf), out, fmt="csv", files_per_month=2)
     months = [r.m for r in spark.read.option("header", True).csv(out).select(
         F.col("publish_month").cast("string").alias("m")).distinct().collect()]
     back = readers.read_month_files(spark, [f"{out}/publish_month={m}" for m in sorted(months)])

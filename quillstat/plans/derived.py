@@ -433,7 +433,12 @@ def _materialised(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             day = F.col("publish_date") if "publish_date" in df.columns else \
                 F.expr(publish_date_sql("stories_id")).cast("timestamp")
             df = df.withColumn("publish_month", F.date_format(day, "yyyy-MM"))
-            df.repartition("publish_month").write.partitionBy("publish_month").parquet(path)
+            from quillstat.sources.sinks import by_month_files
+            try:
+                k = max(1, spark.sparkContext.defaultParallelism // 4)
+            except Exception:
+                k = 2
+            by_month_files(df, k).write.partitionBy("publish_month").parquet(path)
         else:
             df.write.parquet(path)
         _MATERIALISED[key] = path

@@ -21,11 +21,23 @@ def _as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
 
 
-def write_articles(articles: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def by_month_files(df: DataFrame, files_per_month: int, key: str = "stories_id") -> DataFrame:
+    """Layout for a month-partitioned write: rows of a month spread over ``files_per_month``
+    tasks by a hash of the key, so no month (even one holding a third of the rows) lands
+    in one task, and each month gets at most ``files_per_month`` files."""
+    return df.repartition("publish_month", F.pmod(F.xxhash64(key), F.lit(files_per_month)))
+
+
+def write_articles(articles: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
+                   files_per_month: int | None = None) -> None:
     """SNK-1 / SNK-4: article table partitioned by publish_month (partition pruning for
-    month queries). CSV keeps the source's text form: 'None' for null."""
+    month queries). CSV keeps the source's text form: 'None' for null. ``files_per_month``
+    adds a salted month layout (see ``by_month_files``); without it each task writes its
+    own rows (no shuffle)."""
     cols = [c for c in ARTICLE_COLUMNS if c in articles.columns]
     out = articles.select(*cols, F.date_format("publish_date", "yyyy-MM").alias("publish_month"))
+    if files_per_month:
+        out = by_month_files(out, files_per_month)
     w = out.write.mode(mode).partitionBy("publish_month")
     if fmt == "csv":
         w.option("header", True).option("nullValue", "None").option("escape", '"').csv(path)
