@@ -180,9 +180,6 @@ def page_hits(pages: DataFrame, rules_df: DataFrame | None = None, html_col: str
     return pages.mapInPandas(fn, T.StructType(keep + [T.StructField("hits", HIT_TYPE)]))
 
 
-MAX_MONTHS = 1200
-
-
 def pages_for(stories: DataFrame, pages: DataFrame, story_ids_bound: int | None) -> DataFrame:
     """Only the pages that can belong to the given stories, chosen BEFORE the parse:
 
@@ -195,9 +192,11 @@ def pages_for(stories: DataFrame, pages: DataFrame, story_ids_bound: int | None)
         ids = small_side(stories.select("stories_id"), known_rows=story_ids_bound)
         return pages.join(ids, "stories_id", "left_semi")
     if "publish_month" in stories.columns and "publish_month" in pages.columns:
-        months = [r[0] for r in stories.select("publish_month").distinct().limit(MAX_MONTHS + 1).collect()]
-        if len(months) <= MAX_MONTHS:
-            return pages.where(F.col("publish_month").isin([m for m in months if m is not None]))
+        # distinct months are bounded by the calendar span (12 a year): broadcast them and
+        # semi-join on the partition column, so dynamic partition pruning skips the other
+        # months' page files at run time (no separate job)
+        months = F.broadcast(stories.select("publish_month").distinct())
+        return pages.join(months, "publish_month", "left_semi")
     return pages
 
 

@@ -46,9 +46,12 @@ def gender_counts(names_arr: Column, sets: tuple[list[str], list[str]]) -> tuple
 
 
 def byline_gender(df: DataFrame, names: DataFrame, byline_col: str = "byline",
-                  key_cols: list[str] | None = None, max_inline: int = INLINE_MAX) -> DataFrame:
-    """df + female, male, unknown (INT) over the byline's first names."""
-    sets = name_sets(names, max_inline)
+                  key_cols: list[str] | None = None, max_inline: int = INLINE_MAX,
+                  sets: tuple[list[str], list[str]] | None = None) -> DataFrame:
+    """df + female, male, unknown (INT) over the byline's first names. ``sets``: the
+    result of ``name_sets(names)`` when the caller already has it."""
+    if sets is None:
+        sets = name_sets(names, max_inline)
     if sets is not None:
         # materialise the name array once so the three counts share it
         tmp = df.withColumn("_fn", first_names(F.col(byline_col)))

@@ -62,7 +62,7 @@ def _gazetteer(spark):
 def articles(spark: SparkSession, sf: str, full_text: bool = False) -> DataFrame:
     """Extracted articles with byline gender counts (null for failed stories)."""
     a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), full_text=full_text)
-    a = G.byline_gender(a, D.name_gender(spark), key_cols=["stories_id"])
+    a = G.byline_gender(a, D.name_gender(spark), key_cols=["stories_id"], sets=_sets(spark))
     ok = F.col("status") == "ok"
     return (a.withColumn("female", F.when(ok, F.col("female")))
             .withColumn("male", F.when(ok, F.col("male")))
@@ -254,7 +254,7 @@ def _q_order_gender() -> str:
 
 @query("byline_gender", _q_order_gender())
 def byline_gender(spark, sf):
-    o = G.byline_gender(D.order_bylines(spark, sf), D.name_gender(spark))
+    o = G.byline_gender(D.order_bylines(spark, sf), D.name_gender(spark), sets=_sets(spark))
     return o.select("id", "female", "male", "unknown")
 
 
