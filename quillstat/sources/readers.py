@@ -54,8 +54,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_stories(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1: story table (parquet, ideally partitioned by publish_month)."""
-    return spark.read.schema(STORY_SCHEMA).parquet(path)
+    """SRC-1: story table (parquet, ideally partitioned by publish_month; the partition
+    column is kept so month filters prune files and pages can be pruned by month)."""
+    df = spark.read.parquet(path)
+    cols = [F.col(f.name).cast(f.dataType) for f in STORY_SCHEMA.fields]
+    if "publish_month" in df.columns:
+        cols.append(F.col("publish_month").cast("string"))
+    return df.select(*cols)
 
 
 def stories_from_sentences(sentences: DataFrame) -> DataFrame:

@@ -153,3 +153,13 @@ def test_saved_run_files(spark):
     assert rows[5].status == "<type 'exceptions.Exception'>"
     r = readers.found_rate(routed).first()
     assert (r.n_found, r.n_stories, r.rate) == (3, 5, 0.6)
+
+
+def test_read_stories_keeps_month_partition(spark):
+    d = _tmp()
+    df = spark.createDataFrame([("1", 1, "2013-08-01 00:00:00", "u", "2013-08")],
+                               "media_id string, stories_id long, publish_date string, url string, publish_month string")
+    df.withColumn("publish_date", F.to_timestamp("publish_date")).write.partitionBy("publish_month").parquet(d + "/s")
+    st = readers.read_stories(spark, d + "/s")
+    assert st.columns == ["media_id", "stories_id", "publish_date", "url", "publish_month"]
+    assert st.first().publish_month == "2013-08"
