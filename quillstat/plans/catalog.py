@@ -594,8 +594,10 @@ def stream_ingest(spark, sf):
         parts = spark.sparkContext.defaultParallelism
     except Exception:
         parts = None
-    # several micro-batches (state carried across them); state partitions ~ cores for this size
-    q = ingest.ingest(spark, f"{src}/*", sink, ck, max_files_per_trigger=8, state_partitions=parts)
+    # several micro-batches (state carried across them); state partitions ~ cores and the
+    # default (in-memory, checkpointed) state store for a state of a few thousand ids
+    q = ingest.ingest(spark, f"{src}/*", sink, ck, max_files_per_trigger=8, state_partitions=parts,
+                      state_store=None)
     q.awaitTermination()
     return spark.read.schema(st.schema).parquet(sink).select(
         "media_id", "stories_id", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_day"), "url")

@@ -26,22 +26,34 @@ def dedup_stories(stream: DataFrame, watermark: str = "400 days") -> DataFrame:
     return stream.withWatermark("publish_date", watermark).dropDuplicatesWithinWatermark(["stories_id"])
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
            watermark: str = "400 days", max_files_per_trigger: int | None = 1000,
-           state_partitions: int | None = None) -> StreamingQuery:
+           state_partitions: int | None = None, state_store: str | None = ROCKSDB) -> StreamingQuery:
     """Run the ingest over everything available now (restartable from its checkpoint).
 
-    ``state_partitions`` fixes the number of dedup state partitions of a NEW query (it is
-    recorded in the checkpoint; a restarted query keeps its own)."""
+    The dedup state (story ids inside the watermark) can be billions of keys: by default it
+    lives in the RocksDB state store (off the JVM heap, incremental checkpoints).
+    ``state_partitions`` fixes the number of state partitions of a NEW query (both settings
+    are recorded in the checkpoint; a restarted query keeps its own)."""
     s = dedup_stories(story_stream(spark, source_dir, max_files_per_trigger), watermark)
     w = (s.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append").trigger(availableNow=True))
-    if state_partitions is None:
-        return w.start()
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
+    settings = {}
+    if state_partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    if state_store is not None:
+        settings["spark.sql.streaming.stateStore.providerClass"] = state_store
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         return w.start()  # the stream runs on a clone of the session taken here
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
