@@ -9,6 +9,10 @@ Every derived column is written ONCE as a portable SQL fragment that Spark SQL
 and DuckDB evaluate identically; Spark runs it through ``F.expr`` (so Catalyst
 sees plain projections and prunes/pushes as usual) and the oracle SQL embeds the
 same text. The projection is per row: its cost grows linearly with the tables.
+
+The public functions (``stories``, ``pages``, ...) return the derived tables as
+parquet tables written once per session to the shared checkpoint folder (stories and
+pages partitioned by ``publish_month``); the ``*_sql`` functions are the DuckDB side.
 """
 
 from __future__ import annotations
