@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions.names import drop_punct, first_names, plus_to_space, space_to_plus
-from quillstat.functions.text import _c, ascii_fold, let, strip_ws
+from quillstat.functions.text import _c, ascii_fold_native, let, strip_ws
 from quillstat.operators.joins import small_side
 from quillstat.sources.rules import OVERRIDE_LABELS
 
@@ -88,8 +88,9 @@ def single_name_gender(col, sets: tuple[list[str], list[str]]) -> Column:
 
 
 def single_name_gender_ascii(col, sets: tuple[list[str], list[str]]) -> Column:
-    """As single_name_gender after NFKD folding to ASCII (null-safe)."""
-    return single_name_gender(ascii_fold(col), sets)
+    """As single_name_gender after NFKD folding to ASCII (null-safe; native expressions,
+    names are short)."""
+    return single_name_gender(ascii_fold_native(col), sets)
 
 
 # --- manual overrides ---------------------------------------------------------

@@ -99,3 +99,12 @@ def test_wapo_query_string_fix_is_opt_in(spark):
     fixed = df.select(X.section_from_url("outlet", "url", rules.extractor_rules(spark, fix_url_rules=True))
                       .alias("s")).first().s
     assert plain is None and fixed == "opinions"
+
+
+def test_native_ascii_fold_equals_nfkd(spark):
+    from quillstat.functions import text as TX
+    samples = ["Éric Ñúñez", "ﬁne ½ ① Ⅻ ㈠", "Straße ÆØÅ", "\U0001D400\U0001F100x", "", None, "plain",
+               "Zoë Brontë-O'Neil", "ǅ ǈ ǋ", "⁵⁄₈ ㎏ ℡"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(samples)], "i int, v string")
+    got = df.select("i", TX.ascii_fold_native("v").alias("a"), TX.ascii_fold("v").alias("b")).collect()
+    assert all(r.a == r.b for r in got), [(samples[r.i], r.a, r.b) for r in got if r.a != r.b]
