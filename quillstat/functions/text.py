@@ -125,6 +125,19 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(src), "".join(dst), multi
 
 
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@functools.lru_cache(maxsize=1)
+def _fold_map_sql() -> str:
+    """The longer images as ONE map literal expression (one call to build, folded once)."""
+    _, _, multi = _fold_tables()
+    keys, vals = zip(*sorted(multi.items()))
+    return (f"map_from_arrays(array({', '.join(_sql_str(k) for k in keys)}), "
+            f"array({', '.join(_sql_str(v) for v in vals)}))")
+
+
 def ascii_fold_native(col) -> Column:
     """NFKD, then drop non-ASCII - as native expressions (no Python in the task); meant
     for short strings such as person names.
@@ -136,7 +149,7 @@ def ascii_fold_native(col) -> Column:
     src, dst, multi = _fold_tables()
     t = F.translate(_c(col), src, dst)
     cls = "[" + "".join(sorted(multi)) + "]"
-    images = F.create_map(*[F.lit(x) for kv in sorted(multi.items()) for x in kv])
+    images = F.expr(_fold_map_sql())
     # cut only around the characters with longer images, so each of them is a one-character
     # segment looked up in the map; the text in between passes through unchanged
     pieces = F.split(t, f"(?<={cls})|(?={cls})")

@@ -180,26 +180,37 @@ def page_hits(pages: DataFrame, rules_df: DataFrame | None = None, html_col: str
     return pages.mapInPandas(fn, T.StructType(keep + [T.StructField("hits", HIT_TYPE)]))
 
 
-def pages_for(stories: DataFrame, pages: DataFrame, story_ids_bound: int | None) -> DataFrame:
+def pages_for(stories: DataFrame, pages: DataFrame, story_ids_bound: int | None,
+              months: list[str] | None = None) -> DataFrame:
     """Only the pages that can belong to the given stories, chosen BEFORE the parse:
 
     * a story side with a proven size bound (a sample of n, a checked label sheet): broadcast
       semi join on the story id;
-    * both tables partitioned by ``publish_month``: the scan keeps only the story side's
-      months (partition pruning; e.g. a monthly job parses one month of pages).
+    * ``months`` known to the caller (a monthly job) and pages partitioned by
+      ``publish_month``: a plain partition filter, so the scan reads those months only.
     Otherwise all pages are scanned and the join after the parse selects."""
     if story_ids_bound is not None:
         ids = small_side(stories.select("stories_id"), known_rows=story_ids_bound)
-        return pages.join(ids, "stories_id", "left_semi")
-    if "publish_month" in stories.columns and "publish_month" in pages.columns:
-        # distinct months are bounded by the calendar span (12 a year): broadcast them and
-        # semi-join on the partition column, so dynamic partition pruning skips the other
-        # months' page files at run time (no separate job)
-        months = F.broadcast(stories.select("publish_month").distinct())
-        return pages.join(months, "publish_month", "left_semi")
+        pages = pages.join(ids, "stories_id", "left_semi")
+    if months is not None and "publish_month" in pages.columns:
+        pages = pages.where(F.col("publish_month").isin(list(months)))
     return pages
 
 
+def months_between(start: str, end: str, closed: bool = False) -> list[str]:
+    """'yyyy-MM' months touched by [start, end) (or [start, end] when closed)."""
+    import datetime as dt
+    a = dt.date.fromisoformat(start[:10])
+    b = dt.date.fromisoformat(end[:10])
+    if not closed and b.day == 1:
+        b = b - dt.timedelta(days=1)
+    out, y, m = [], a.year, a.month
+    while (y, m) <= (b.year, b.month):
+        out.append(f"{y:04d}-{m:02d}")
+        y, m = (y + 1, 1) if m == 12 else (y, m + 1)
+    return out
+
+
 def with_outlet(stories: DataFrame, media: DataFrame | None = None) -> DataFrame:
     """Attach media_name/outlet by media_id (left join; unknown ids get null outlet)."""
     if media is None:
@@ -214,14 +225,14 @@ def with_outlet(stories: DataFrame, media: DataFrame | None = None) -> DataFrame
 def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame | None = None,
                      media: DataFrame | None = None, full_text: bool = False,
                      compat_opinion: bool = False, story_ids_bound: int | None = None,
-                     mention_names: list[str] | None = None) -> DataFrame:
+                     mention_names: list[str] | None = None, months: list[str] | None = None) -> DataFrame:
     """Stories ⋈ pages → byline, section, is_opinion (+ full_text) and a status per story.
 
     status: 'ok', or 'failed' (error holds the exception type; byline/section null).
     Unknown outlets and stories without a page give byline '' and section ''.
     """
     st = with_outlet(stories, media)
-    pg = pages_for(stories, pages, story_ids_bound).select("stories_id", "html")
+    pg = pages_for(stories, pages, story_ids_bound, months).select("stories_id", "html")
     extra = []
     if full_text or mention_names is not None:
         pg = pg.withColumn("full_text", full_text_col(F.lit(None).cast("string"), F.col("html")))

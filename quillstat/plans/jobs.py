@@ -31,7 +31,8 @@ def monthly_articles(stories: DataFrame, pages: DataFrame, names: DataFrame, sta
     """3.1: stories of a month (and outlets) → byline, gender counts, section, opinion flag,
     full text → month table (SNK-1). Failed stories keep their story columns only."""
     st = S.story_scan(stories, start, end, media_ids, closed=closed)
-    arts = _with_gender(X.extract_metadata(st, pages, full_text=full_text), names)
+    months = X.months_between(start, end, closed)  # the page scan reads these months only
+    arts = _with_gender(X.extract_metadata(st, pages, full_text=full_text, months=months), names)
     if out_path:
         sinks.write_articles(arts, out_path, fmt=fmt)
     return arts

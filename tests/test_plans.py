@@ -47,7 +47,9 @@ def test_html_never_reaches_an_exchange(spark, no_auto_broadcast):
 
 def test_month_filter_prunes_the_page_scan(spark, no_auto_broadcast):
     st = S.story_scan(D.stories(spark, SF_SMALL), "2013-09-01", "2013-10-01")
-    plan = _formatted(X.extract_metadata(st, D.pages(spark, SF_SMALL)))
+    months = X.months_between("2013-09-01", "2013-10-01")
+    assert months == ["2013-09"]
+    plan = _formatted(X.extract_metadata(st, D.pages(spark, SF_SMALL), months=months))
     page_scan = [b for b in plan.split("\n\n") if "Scan parquet" in b and "/pages]" in b]
     assert page_scan and "publish_month" in page_scan[0].split("PartitionFilters:")[1].split("\n")[0]
 
