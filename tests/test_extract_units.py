@@ -108,3 +108,10 @@ def test_native_ascii_fold_equals_nfkd(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(samples)], "i int, v string")
     got = df.select("i", TX.ascii_fold_native("v").alias("a"), TX.ascii_fold("v").alias("b")).collect()
     assert all(r.a == r.b for r in got), [(samples[r.i], r.a, r.b) for r in got if r.a != r.b]
+
+
+def test_months_between():
+    assert X.months_between("2013-08-01", "2013-09-01") == ["2013-08"]
+    assert X.months_between("2013-08-01", "2013-09-01", closed=True) == ["2013-08", "2013-09"]
+    assert X.months_between("2013-11-15", "2014-02-01") == ["2013-11", "2013-12", "2014-01"]
+    assert X.months_between("2013-12-01", "2014-01-15") == ["2013-12", "2014-01"]
