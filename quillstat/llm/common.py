@@ -56,16 +56,25 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         yield batch.slice(start)
 
 
-def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores put before it until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable],
+             keep_text: bool = False) -> DataFrame:
     """``df.select(columns)`` through ``mapInArrow``. ``make()`` runs once per task and returns
     a function from a list of texts (null as None) to a dict of new column name -> list or
-    Arrow array; the other selected columns pass through unchanged.
+    Arrow array; the other selected columns (with ``keep_text`` the text too) pass unchanged.
 
     ``schema`` is the DDL of the new columns."""
     from pyspark.sql.types import StructType
 
     picked = df.select(*columns)
-    keep = [c for c in columns if c != "text"]
+    keep = [c for c in columns if keep_text or c != "text"]
     new = StructType.fromDDL(schema)
     out = StructType([picked.schema[c] for c in keep] + new.fields)
     names = [f.name for f in new.fields]
@@ -94,3 +103,8 @@ def cpu_partitions(df: DataFrame) -> int:
 def text_hash(column: str = "text"):
     """64-bit hash of a text, null as empty: tells rows with the same id apart."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def let(value, body: Callable):
+    """``body`` of a column that is worked out once: a one-element array's transform binds it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstat.llm import packing, token_counts, token_files
+from quillstat.llm import langid, licenses, packing, pieces, quality, simhash, sketches, token_counts, token_files, urls
 from quillstat.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 
@@ -23,14 +25,52 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), BYTE_BPE, END_ID, 1024)
 
 
+def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir))
+
+
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(documents(spark, sf_dir))
+
+
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(documents(spark, sf_dir))
+
+
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), BYTE_BPE, 512)
 
 
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
+
+
+def bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprint_edits(documents(spark, sf_dir))
+
+
+def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids) and whether decoding gives the text."""
+    back = pieces.decode(pieces.encode(documents(spark, sf_dir), PIECE_BPE), PIECE_BPE)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_id_files": token_id_files,
     "op2_best_fit_packing": best_fit_packing,
+    "op3_quality_compression": compression_quality,
+    "op4_sampled_pieces": sampled_pieces,
+    "op5_url_verdicts": url_verdicts,
+    "op6_simhash_components": simhash_components,
     "op7_token_counts": token_count,
+    "op8_license_scan": license_scan,
+    "op9_language_id": language,
+    "op10_bottom_k_fingerprints": bottom_k_fingerprints,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
