@@ -36,7 +36,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds a bounded number of rows and text bytes
     (a single longer text is a slice of its own)."""
     for batch in batches:
@@ -49,7 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         sizes = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for row, size in enumerate(sizes.tolist()):
-            if row > start and (row - start >= ROWS_AT_ONCE or held + size > BYTES_AT_ONCE):
+            if row > start and (row - start >= ROWS_AT_ONCE or held + size > most):
                 yield batch.slice(start, row - start)
                 start, held = row, 0
             held += size

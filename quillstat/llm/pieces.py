@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from quillstat.llm.common import slices
 
 SPACE_SIGN = "▁"
+#: Text bytes encoded together: the lattice of a batch takes some hundred bytes for each.
+BATCH_BYTES = 3 << 19
 BLOCK = re.compile(r" *[^ ]+| +")
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -102,9 +104,9 @@ class Vocabulary:
     def edges(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """All pieces in all blocks: (block, first sign, number of signs, piece number). Block b is
         ``codes[start[b]:start[b] + size[b]]``. A sign without a piece of its own is one edge in bytes."""
-        block = np.repeat(np.arange(len(size)), size)
-        room = np.repeat(start + size, size) - np.arange(len(codes))
-        at, state, out = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
+        block = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        room = (np.repeat(start + size, size) - np.arange(len(codes))).astype(np.int32)
+        at, state, out = np.arange(len(codes), dtype=np.int32), np.zeros(len(codes), np.int64), []
         n = 0
         while len(at):
             n += 1
@@ -119,14 +121,15 @@ class Vocabulary:
                 bare = np.flatnonzero(alone < 0)
                 signs, where = np.unique(codes[bare], return_inverse=True)
                 spelled = np.array([self.in_bytes(c) for c in signs.tolist()], np.int64)
-                out.append((bare, np.ones(len(bare), np.int64), spelled[where]))
+                out.append((bare.astype(np.int32), np.ones(len(bare), np.int32), spelled[where].astype(np.int32)))
             at = at[there]
             real = piece >= 0
-            out.append((at[real], np.full(int(real.sum()), n), piece[real]))
+            out.append((at[real], np.full(int(real.sum()), n, np.int32), piece[real].astype(np.int32)))
             go = room[at] > n
             at, state = at[go], state[go]
         at, length, piece = map(np.concatenate, zip(*out))
-        return block[at], at - start[block[at]], length, piece
+        own = block[at]
+        return own, (at - start[own]).astype(np.int32), length, piece
 
     def filtered(self, blocks: list[str]) -> tuple[np.ndarray, ...]:
         """Forward filtering of distinct blocks, longest first. Node (j, b), the place after j signs of
@@ -141,6 +144,7 @@ class Vocabulary:
         node = first[begin + length] + block
         order = np.argsort(node, kind="stable")
         node, source, piece, length = node[order], (first[begin] + block)[order], piece[order], length[order]
+        del block, begin, order
         spelled = np.array([len(s) for s in self.spelling] or [0], np.float64)
         weight = np.where(piece < len(self.surface), self.log_weight[np.minimum(piece, len(self.surface) - 1)],
                           np.log(self.least) * spelled[np.clip(piece - len(self.surface), 0, len(spelled) - 1)])
@@ -219,7 +223,7 @@ def encode(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, key: s
 
     def run(batches):
         words = vocabulary(path, alpha)
-        for part in slices(batches):
+        for part in slices(batches, most=BATCH_BYTES):
             if len(words.spelling) > 100_000:  # a memory of signs, not of texts
                 words.spelled, words.spelling = {}, []
             keys = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -236,7 +240,7 @@ def decode(encoded: DataFrame, path: str, out: str = "decoded") -> DataFrame:
 
     def run(batches):
         words = vocabulary(path)
-        for part in slices(batches, "ids"):
+        for part in slices(batches, "ids", BATCH_BYTES):
             ids = part.column(part.schema.get_field_index("ids")).to_pylist()
             texts = [None if i is None else words.decode(np.frombuffer(i, "<u4")) for i in ids]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
