@@ -130,6 +130,7 @@ HIT_TYPE = T.ArrayType(T.StructType([
     T.StructField("section_value", T.StringType()),
     T.StructField("section_rule", T.IntegerType()),
     T.StructField("error", T.StringType()),
+    T.StructField("section_error", T.StringType()),
 ]))
 
 
@@ -150,19 +151,22 @@ def _page_hits_fn(byline_rules: dict, section_rules: dict, html_col: str):
                     page = htmldom.Page(html)
                 except Exception as e:  # unparsable page: every outlet fails the same way
                     col.append([{"outlet": o, "byline_value": None, "byline_rule": None, "section_value": None,
-                                 "section_rule": None, "error": type(e).__name__} for o in outlets])
+                                 "section_rule": None, "error": type(e).__name__, "section_error": None}
+                                for o in outlets])
                     continue
                 for o in outlets:
+                    bv = br = sv = sr = err = section_err = None
                     try:
                         bv, br = _first_hit(page, cb.get(o, []))
-                        sv, sr = _first_hit(page, cs.get(o, []))
-                        err = None
                     except Exception as e:  # e.g. the chosen element lacks the attribute
-                        bv = br = sv = sr = None
                         err = type(e).__name__
-                    if br is not None or sr is not None or err is not None:  # absent = nothing found
+                    try:  # counts only where no URL rule gives the section
+                        sv, sr = _first_hit(page, cs.get(o, []))
+                    except Exception as e:
+                        section_err = type(e).__name__
+                    if any(x is not None for x in (br, sr, err, section_err)):  # absent = nothing found
                         hits.append({"outlet": o, "byline_value": bv, "byline_rule": br, "section_value": sv,
-                                     "section_rule": sr, "error": err})
+                                     "section_rule": sr, "error": err, "section_error": section_err})
                 col.append(hits)
             out = pdf.drop(columns=[html_col])
             out["hits"] = pd.Series(col, index=pdf.index, dtype=object)
@@ -232,10 +236,13 @@ def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame |
     Unknown outlets and stories without a page give byline '' and section ''.
     """
     st = with_outlet(stories, media)
-    pg = pages_for(stories, pages, story_ids_bound, months).select("stories_id", "html")
+    pg = pages_for(stories, pages, story_ids_bound, months)
+    story_text = F.col("story_text") if "story_text" in pg.columns else F.lit(None).cast("string")
+    pg = pg.select("stories_id", "html", story_text.alias("story_text"))
     extra = []
     if full_text or mention_names is not None:
-        pg = pg.withColumn("full_text", full_text_col(F.lit(None).cast("string"), F.col("html")))
+        pg = pg.withColumn("full_text", full_text_col(F.col("story_text"), F.col("html")))
+    pg = pg.drop("story_text")
     if mention_names is not None:  # M-1 page-side: only the small per-story array travels on
         from quillstat.operators.mentions import mention_array
         pg = pg.withColumn("mentions", mention_array(F.col("full_text"), mention_names))
@@ -251,16 +258,18 @@ def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame |
                      F.col("hits").isNotNull().alias("has_page"),
                      hit["byline_value"].alias("byline_value"), hit["byline_rule"].alias("byline_rule"),
                      hit["section_value"].alias("section_value"), hit["section_rule"].alias("section_rule"),
-                     hit["error"].alias("error"))
-    failed = F.col("error").isNotNull()
+                     hit["error"].alias("byline_error"), hit["section_error"].alias("section_error"))
     url_section = section_from_url(F.col("outlet"), F.col("url"), rules_df)
+    # section tags are looked at only when no URL rule matches, so only then can they fail a story
+    out = out.withColumn("error", F.coalesce("byline_error", F.when(url_section.isNull(), F.col("section_error"))))
+    failed = F.col("error").isNotNull()
     section = F.coalesce(url_section, F.col("section_value"), F.lit(""))
     byline = F.when(F.col("byline_value").isNull(), F.lit("")).otherwise(clean_byline("byline_value"))
     cols = [
         "media_id", "stories_id", "publish_date", "url", "media_name", "outlet",
         F.when(failed, None).otherwise(byline).alias("byline"),
         F.when(failed, None).otherwise(section).alias("section"),
-        "byline_rule",
+        F.when(~failed, F.col("byline_rule")).alias("byline_rule"),
         F.col("section_value").alias("section_tag"), "section_rule",
         F.when(failed, F.lit("failed")).otherwise(F.lit("ok")).alias("status"),
         "error", "has_page",

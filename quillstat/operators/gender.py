@@ -6,8 +6,10 @@ Lookups never leave the JVM:
 * a table of at most ``INLINE_MAX`` names is inlined as two hash sets
   (``InSet``) so a byline's names are classified inside one projection - no
   join, no shuffle;
-* a larger table goes through ``explode`` → size-checked broadcast (else
-  sort-merge, AQE skew split) join → ``groupBy`` of the row key.
+* a larger table goes through the distinct bylines: ``explode`` → size-checked
+  broadcast (else sort-merge, AQE skew split) join → ``groupBy`` of the byline → join back.
+
+A name listed under both genders is unknown on either path.
 """
 
 from __future__ import annotations
@@ -28,9 +30,16 @@ def name_sets(names: DataFrame, max_rows: int = INLINE_MAX) -> tuple[list[str],
     rows = names.select(F.lower("first_name").alias("n"), "gender").limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return None
-    fem = sorted({r.n for r in rows if r.gender == "female" and r.n is not None})
-    mal = sorted({r.n for r in rows if r.gender == "male" and r.n is not None})
-    return fem, mal
+    fem = {r.n for r in rows if r.gender == "female" and r.n is not None}
+    mal = {r.n for r in rows if r.gender == "male" and r.n is not None}
+    return sorted(fem - mal), sorted(mal - fem)  # a name listed under both is unknown
+
+
+def one_gender(names: DataFrame) -> DataFrame:
+    """(_k, _g): one row per lower-case name listed under exactly one of female and male."""
+    used = names.where(F.col("gender").isin("female", "male") & F.col("first_name").isNotNull())
+    both = used.groupBy(F.lower("first_name").alias("_k")).agg(F.min("gender").alias("_g"), F.max("gender").alias("_h"))
+    return both.where("_g = _h").select("_k", "_g")
 
 
 def _in(c: Column, values: list[str]) -> Column:
@@ -58,18 +67,19 @@ def byline_gender(df: DataFrame, names: DataFrame, byline_col: str = "byline",
         f, m, _ = gender_counts(F.col("_fn"), sets)
         return (tmp.withColumn("female", f).withColumn("male", m)
                 .withColumn("unknown", F.size("_fn") - F.col("female") - F.col("male")).drop("_fn"))
-    if not key_cols:
-        raise ValueError("a large name table needs key_cols (a unique row key) for the join path")
-    ex = df.select(*key_cols, F.posexplode_outer(first_names(F.col(byline_col))).alias("_pos", "_fn"))
-    nt = small_side(names.select(F.lower("first_name").alias("_k"), F.col("gender").alias("_g")))
+    # counts per distinct byline: rows may repeat, and the rows themselves are read once more only
+    # by the join back
+    ex = (df.select(F.col(byline_col).alias("_b")).distinct()
+          .select("_b", F.posexplode_outer(first_names(F.col("_b"))).alias("_pos", "_fn")))
+    nt = small_side(one_gender(names))
     j = ex.join(nt, F.lower(F.col("_fn")) == F.col("_k"), "left")
     real = F.col("_pos").isNotNull()
-    counts = j.groupBy(*key_cols).agg(
+    counts = j.groupBy("_b").agg(
         F.count_if(real & (F.col("_g") == "female")).cast("int").alias("female"),
         F.count_if(real & (F.col("_g") == "male")).cast("int").alias("male"),
         F.count_if(real & ~F.coalesce(F.col("_g").isin("female", "male"), F.lit(False))).cast("int")
         .alias("unknown"))
-    return df.join(counts, key_cols, "left")
+    return df.join(counts, F.col(byline_col).eqNullSafe(F.col("_b")), "left").drop("_b")
 
 
 def guess(first_name: Column, sets: tuple[list[str], list[str]]) -> Column:

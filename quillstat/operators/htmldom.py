@@ -2,8 +2,9 @@
 
 One ``html.parser`` pass records every element (tag, attributes, parent, text
 span); selectors of the rule subset (``tag``, ``tag[a="v"]``, ``tag[a^="v"]``,
-descendant by space) are then matched in document order. Missing end tags
-close at the parent's end; void tags hold no text.
+descendant by space) are then matched in document order. End tags that may be
+left out (p, li, td, th, tr, dt, dd, option) are implied by the start tags that end
+them; other missing ones close at the parent's end; void tags hold no text.
 """
 
 from __future__ import annotations
@@ -14,6 +15,14 @@ from html.parser import HTMLParser
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
              "source", "track", "wbr"}
 
+# Elements whose end tag may be left out, with the start tags that end them, and the
+# elements that such an end does not reach across.
+_BLOCKS = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3",
+           "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+_ENDED_BY = {"p": _BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
+             "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
+_SCOPES = {"body", "html", "div", "table", "ul", "ol", "dl", "select", "article", "section"}
+
 _STEP = re.compile(r'^([a-zA-Z0-9]+)(?:\[([a-zA-Z0-9_.:-]+)(\^?=)"([^"]*)"\])?$')
 
 
@@ -48,7 +57,22 @@ class Page(HTMLParser):
         self.end.append(None)
         return i
 
+    def _implied_end(self, tag) -> None:
+        """Close open elements that the start of ``tag`` ends."""
+        for j in range(len(self._stack) - 1, -1, -1):
+            name = self.tags[self._stack[j]]
+            if tag in _ENDED_BY.get(name, ()):
+                n = len(self._text)
+                for k in self._stack[j:]:
+                    self.end[k] = n
+                del self._stack[j:]
+                if name not in ("td", "th") or tag != "tr":  # a new row also ends the row around the cell
+                    return
+            elif name in _SCOPES:
+                return
+
     def handle_starttag(self, tag, attrs):
+        self._implied_end(tag)
         i = self._add(tag, attrs)
         if tag in VOID_TAGS:
             self.end[i] = len(self._text)

@@ -44,7 +44,11 @@ def in_media_set(stories: DataFrame, media_sets: DataFrame, set_id: int) -> Data
 
 def sample_stories(stories: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """n stories in a repeatable pseudo-random order (ties broken by id)."""
-    key = (F.col("stories_id") * F.lit(MIX_MULT) + F.lit(seed)) % F.lit(MIX_MOD)
+    # (id * MIX_MULT + seed) mod 2^32, in 16-bit steps so that no id overflows a long
+    half = 1 << 16
+    low = F.pmod(F.col("stories_id"), F.lit(MIX_MOD))
+    high = (F.floor(low / half) * F.lit(MIX_MULT)) % F.lit(MIX_MOD)
+    key = (high * half + (low % half) * F.lit(MIX_MULT) + F.lit(seed)) % F.lit(MIX_MOD)
     return stories.orderBy(key, F.col("stories_id")).limit(n)
 
 

@@ -202,7 +202,7 @@ def articles_sql(fallback_pages: str | None = None) -> str:
     bv, bp, bb = first_rule_value("p.html", "m.outlet", "byline")
     sv, sp, sb = first_rule_value("p.html", "m.outlet", "section_tag")
     inner = (f"SELECT s.media_id, s.stories_id, s.publish_date, s.url, m.media_name, m.outlet, "
-             f"{bv} AS bval, {bp} AS byline_rule, ({bb} OR {sb}) AS broken, {sv} AS sval, "
+             f"{bv} AS bval, {bp} AS byline_rule, ({bb} OR ({sb} AND {section_from_url('m.outlet', 's.url')} IS NULL)) AS broken, {sv} AS sval, "
              f"{section_from_url('m.outlet', 's.url')} AS usec "
              f"FROM {D.stories_sql()} AS s LEFT JOIN {D.media_sql()} AS m ON s.media_id = m.media_id "
              f"LEFT JOIN {D.pages_sql()} AS p ON s.stories_id = p.stories_id")
@@ -213,7 +213,7 @@ def articles_sql(fallback_pages: str | None = None) -> str:
         s2, _, k3 = first_rule_value("p2.html", "outlet", "section_tag")
         sec2 = "coalesce(usec, sval2, '')"
         byl2 = f"CASE WHEN bval2 IS NULL THEN '' ELSE {clean_byline('bval2')} END"
-        inner2 = (f"SELECT a.*, {b2} AS bval2, {p2} AS rule2, ({k2} OR {k3}) AS broken2, {s2} AS sval2 "
+        inner2 = (f"SELECT a.*, {b2} AS bval2, {p2} AS rule2, ({k2} OR ({k3} AND usec IS NULL)) AS broken2, {s2} AS sval2 "
                   f"FROM ({inner}) AS a LEFT JOIN {fallback_pages} AS p2 ON a.stories_id = p2.stories_id")
         return (f"(SELECT media_id, stories_id, publish_date, url, media_name, outlet, "
                 f"CASE WHEN broken THEN {byl2} ELSE {byl} END AS byline, "

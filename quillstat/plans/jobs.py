@@ -15,6 +15,7 @@ from quillstat.operators import mentions as M
 from quillstat.operators import reports as RP
 from quillstat.operators import sampling as S
 from quillstat.operators.joins import small_side
+from quillstat.session import ensure_checkpoint_dir
 from quillstat.sources import readers, sinks
 
 
@@ -34,6 +35,9 @@ def monthly_articles(stories: DataFrame, pages: DataFrame, names: DataFrame, sta
     months = X.months_between(start, end, closed)  # the page scan reads these months only
     arts = _with_gender(X.extract_metadata(st, pages, full_text=full_text, months=months), names)
     if out_path:
+        # the pages are parsed once: the table is written, and the reports go on, from the checkpoint
+        ensure_checkpoint_dir(stories.sparkSession)
+        arts = arts.checkpoint(eager=True)
         sinks.write_articles(arts, out_path, fmt=fmt)
     return arts
 
@@ -64,7 +68,8 @@ def evaluation_run(spark: SparkSession, labels: DataFrame, stories: DataFrame, p
     n = ids.limit(cap + 1).count()  # hand labels: a small sheet
     bound = n if n <= cap else None
     st = stories.join(small_side(ids, known_rows=n) if bound else ids, "stories_id", "left_semi")
-    arts = _with_gender(X.extract_metadata(st, pages, story_ids_bound=bound), names)
+    ensure_checkpoint_dir(spark)
+    arts = _with_gender(X.extract_metadata(st, pages, story_ids_bound=bound), names).checkpoint(eager=True)
     evaluated = E.evaluate(labels, arts)
     extracted = arts.select("media_id", "stories_id", "publish_date", "byline", "female", "male", "unknown",
                             "section", "is_opinion")
@@ -83,7 +88,9 @@ def legacy_sample_run(spark: SparkSession, stories: DataFrame, pages: DataFrame,
     if media_set_members is not None:
         st = st.join(small_side(media_set_members.select("media_id")), "media_id", "left_semi")
     sample = S.sample_stories(st, n, seed)
-    leg = X.legacy_extract(sample, pages, story_ids_bound=n)  # only the sampled pages are parsed
+    ensure_checkpoint_dir(spark)
+    # only the sampled pages are parsed, once
+    leg = X.legacy_extract(sample, pages, story_ids_bound=n).checkpoint(eager=True)
     sinks.write_routed(leg, f"{out_path}/{run_id}/extracted_bylines", f"{out_path}/{run_id}/failed_bylines")
     sinks.append_run_log(spark, f"{out_path}/run_log", run_id)
     return X.extraction_summary(leg)

@@ -68,7 +68,9 @@ def _ensure_on_context(sc) -> str:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        # only reached for a session built elsewhere without the setting (tests)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # a local session built elsewhere without the setting (tests)
         path = tempfile.mkdtemp(prefix="quillstat-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -83,11 +83,11 @@ def read_story_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_legacy_rules(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-6: legacy rule CSV (CR line ends, header with a duplicate column name).
+    """SRC-6: legacy rule CSV (CR, LF or CRLF line ends, header with a duplicate column name).
 
     Columns arrive positionally; values are trimmed (one rule ends in a tab) and
     the file position becomes the priority."""
-    raw = spark.read.option("header", True).option("lineSep", "\r") \
+    raw = spark.read.option("header", True) \
         .schema("media_id string, tag string, attr string, value string").csv(path)
     t = F.regexp_replace
     return (raw.select(*[t(F.col(c), r"^\s+|\s+$", "").alias(c) for c in ("media_id", "tag", "attr", "value")])
@@ -106,7 +106,7 @@ def read_eval_labels(spark: SparkSession, path: str) -> DataFrame:
     cols = {"media_id": 0, "stories_id": 1, "url": 2, "byline_extracted_label": 4, "is_correct": 5,
             "byline_corrected": 6, "n_names": 8}
     df = _sheet_rows(spark, path, 2, cols)
-    return df.withColumn("stories_id", F.col("stories_id").cast("long"))
+    return df.withColumn("stories_id", F.col("stories_id").try_cast("long"))
 
 
 def _sheet_rows(spark: SparkSession, path: str, header_rows: int, cols: dict[str, int]) -> DataFrame:
@@ -117,7 +117,8 @@ def _sheet_rows(spark: SparkSession, path: str, header_rows: int, cols: dict[str
     the header count (one tiny per-file aggregate, broadcast back; no window)."""
     width = max(cols.values()) + 1
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    raw = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE").csv(path)
+    raw = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
+           .option("multiLine", True).option("escape", '"').csv(path)
            .select("*", F.col("_metadata.file_path").alias("_f"))
            .withColumn("_i", F.monotonically_increasing_id()))
     from quillstat.operators.joins import small_side
@@ -136,14 +137,14 @@ def read_month_files(spark: SparkSession, paths: list[str]) -> DataFrame:
             .option("escape", '"').option("nullValue", "None").option("mode", "PERMISSIVE").csv(paths))
 
 
-def read_routed_results(spark: SparkSession, found_path: str, failed_path: str) -> DataFrame:
-    """Saved found / failed files of a legacy run (no header) → one table with a status:
+def read_routed_results(spark: SparkSession, found_path: str, failed_path: str, header: bool = False) -> DataFrame:
+    """Saved found / failed files of a legacy run (``header=True``: as write_routed writes them) → one table with a status:
     'found', or the failure reason. Bylines may be quoted multi-line text (doubled quotes)."""
     found = (spark.read.schema("media_id string, url string, stories_id long, foundwith string, byline string")
-             .option("multiLine", True).option("escape", '"').csv(found_path)
+             .option("multiLine", True).option("escape", '"').option("header", header).csv(found_path)
              .withColumn("status", F.lit("found")))
     failed = (spark.read.schema("media_id string, url string, stories_id long, reason string")
-              .option("multiLine", True).option("escape", '"').csv(failed_path)
+              .option("multiLine", True).option("escape", '"').option("header", header).csv(failed_path)
               .select("media_id", "url", "stories_id", F.lit(None).cast("string").alias("foundwith"),
                       F.lit(None).cast("string").alias("byline"), F.col("reason").alias("status")))
     return found.unionByName(failed)

@@ -17,10 +17,6 @@ ARTICLE_COLUMNS = ["media_id", "stories_id", "publish_date", "url", "byline", "f
                    "section", "is_opinion", "full_text"]
 
 
-def _as_text(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-
-
 def by_month_files(df: DataFrame, files_per_month: int, key: str = "stories_id") -> DataFrame:
     """Layout for a month-partitioned write: rows of a month spread over ``files_per_month``
     tasks by a hash of the key, so no month (even one holding a third of the rows) lands
@@ -56,7 +52,7 @@ def write_routed(legacy: DataFrame, found_path: str, failed_path: str, fmt: str
     for df, path in ((found, found_path), (failed, failed_path)):
         w = df.write.mode("overwrite")
         if fmt == "csv":
-            w.option("header", True).csv(path)
+            w.option("header", True).option("escape", '"').csv(path)  # read_routed_results(header=True)
         else:
             w.parquet(path)
 

@@ -2,9 +2,9 @@
 
 Story drops (parquet files) arriving in a folder are read as a stream, each
 story is kept once even when month ranges overlap (closed ranges share the
-midnight of the 1st), and the stories are written out. Dedup state is bounded by
-a watermark on publish_date; a backfill far out of date order should use the
-batch path instead (the watermark would drop late rows).
+midnight of the 1st), and the stories are written out. Story ids are kept as state for
+the whole run, so drops may come in any date order and no late story is lost; a bounded
+state (``watermark``) is an option for feeds known to be in date order.
 """
 
 from __future__ import annotations
@@ -22,7 +22,11 @@ def story_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: in
     return r.parquet(source_dir)
 
 
-def dedup_stories(stream: DataFrame, watermark: str = "400 days") -> DataFrame:
+def dedup_stories(stream: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Each story id once. With ``watermark`` ids older than it are forgotten, and rows that
+    late are dropped."""
+    if watermark is None:
+        return stream.dropDuplicates(["stories_id"])
     return stream.withWatermark("publish_date", watermark).dropDuplicatesWithinWatermark(["stories_id"])
 
 
@@ -30,11 +34,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-           watermark: str = "400 days", max_files_per_trigger: int | None = 1000,
+           watermark: str | None = None, max_files_per_trigger: int | None = 1000,
            state_partitions: int | None = None, state_store: str | None = ROCKSDB) -> StreamingQuery:
     """Run the ingest over everything available now (restartable from its checkpoint).
 
-    The dedup state (story ids inside the watermark) can be billions of keys: by default it
+    The dedup state (all story ids seen) can be billions of keys: by default it
     lives in the RocksDB state store (off the JVM heap, incremental checkpoints).
     ``state_partitions`` fixes the number of state partitions of a NEW query (both settings
     are recorded in the checkpoint; a restarted query keeps its own)."""
