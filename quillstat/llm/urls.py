@@ -39,7 +39,7 @@ def host_of(url: Column) -> Column:
 
 def path_of(url: Column) -> Column:
     """From the host's end up to ``?``, ``#`` or the end."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
 def fits(host: Column, path: Column, rule: tuple[str, str, str]) -> Column:
