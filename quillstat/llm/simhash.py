@@ -11,6 +11,10 @@ need thousands of anchors for each fingerprint at the same selectivity.
 Equal fingerprints are one node, so copies cost nothing. At an anchor, members are walked
 from one to its still unreached neighbours, which gives the anchor's components without
 listing all pairs of a dense group.
+
+An anchor with very many members is split: two linked fingerprints differ in at most three
+bits, so one of the four bytes of the half that the anchor does not cover is equal, and the members
+meet again at (anchor, byte, its value), in tasks of their own.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ WORDS = 3
 SEED = 42
 CODE_BITS = 31
 SHINGLES_AT_ONCE = 1 << 16
+#: An anchor with more members than this is split by the bytes of the other half.
+SPLIT_MEMBERS = 4096
+#: Split anchors up to this number (one long each) are broadcast; more are joined by a shuffle.
+BROADCAST_ANCHORS = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -83,6 +91,26 @@ def at_anchors(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.concat(anchors(halves[0]), second)).alias("anchor"), "fp")
 
 
+def meeting_places(nodes: DataFrame, max_bits: int = MAX_BITS, split: int = SPLIT_MEMBERS) -> DataFrame:
+    """``nodes`` (fp) to (place, fp): an anchor, or with more than ``split`` members its four
+    bytes' values. Any two fingerprints within ``max_bits`` (up to 3) share a place."""
+    if max_bits > MAX_BITS:
+        raise ValueError(f"anchors of radius 1 on halves cover at most {MAX_BITS} bits")
+    met = at_anchors(nodes)
+    full = written(met.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > split)
+                   .select("anchor", F.lit(True).alias("full")), "full-anchors")
+    n = full.count()
+    whole = F.shiftleft("anchor", 11)
+    if not n:
+        return met.select(whole.alias("place"), "fp")
+    marked = met.join(F.broadcast(full) if n <= BROADCAST_ANCHORS else full, "anchor", "left")
+    # the anchor's bit 31 tells which half it is of; the bytes are those of the other one
+    other = F.when(F.col("anchor") < F.lit(1 << CODE_BITS), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+    parts = [F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255)) + F.lit(1 + 256 * k) for k in range(4)]
+    places = F.when(F.col("full"), F.transform(F.array(*parts), lambda x: whole.bitwiseOR(x))).otherwise(F.array(whole))
+    return marked.select(F.explode(places).alias("place"), "fp")
+
+
 def spanning_links(values: np.ndarray, max_bits: int) -> tuple[list, list]:
     """Links that join the members of one anchor as all links between them would: each member
     is compared with those no earlier one has reached."""
@@ -102,40 +130,40 @@ def spanning_links(values: np.ndarray, max_bits: int) -> tuple[list, list]:
     return us, vs
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, split: int = SPLIT_MEMBERS) -> DataFrame:
     """(u, v): links between distinct fingerprints, enough to join each component."""
-    met = at_anchors(nodes)
-    met = met.repartition(cpu_partitions(met), "anchor").sortWithinPartitions("anchor")
+    met = meeting_places(nodes, max_bits, split)
+    met = met.repartition(cpu_partitions(met), "place").sortWithinPartitions("place")
+
+    def found(place: np.ndarray, fp: np.ndarray):
+        """Links of whole places, sorted by place."""
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
+        sizes = np.diff(edges)
+        two = edges[:-1][sizes == 2]
+        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits]
+        us, vs = fp[near].tolist(), fp[near + 1].tolist()
+        for i in np.flatnonzero(sizes > 2).tolist():
+            u, v = spanning_links(fp[edges[i]:edges[i + 1]], max_bits)
+            us.extend(u)
+            vs.extend(v)
+        if us:
+            pairs = np.unique(np.sort(np.array([us, vs], np.uint64).view(np.int64), 0), axis=1)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(pairs[1]), "v": pa.array(pairs[0])})
 
     def run(batches):
-        anchor, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-        us, vs = [], []
-        done = False
-        batches = iter(batches)
-        while not done:
-            batch = next(batches, None)
-            done = batch is None
-            if batch is not None:
-                anchor = np.concatenate((anchor, batch.column(0).to_numpy()))
-                fp = np.concatenate((fp, batch.column(1).to_numpy().view(np.uint64)))
-            if not len(anchor):
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of places that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1, [len(anchor)]))
-            whole = len(edges) - 1 if done else len(edges) - 2  # the last anchor may go on
-            sizes = np.diff(edges[:whole + 1])
-            two = edges[:whole][sizes == 2]
-            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits]
-            us.extend(fp[near])
-            vs.extend(fp[near + 1])
-            for i in np.flatnonzero(sizes > 2).tolist():
-                u, v = spanning_links(fp[edges[i]:edges[i + 1]], max_bits)
-                us.extend(u)
-                vs.extend(v)
-            anchor, fp = anchor[edges[whole]:], fp[edges[whole]:]
-            if us:
-                pairs = np.unique(np.sort(np.array([us, vs], np.uint64).view(np.int64), 0), axis=1)
-                yield pa.RecordBatch.from_pydict({"u": pa.array(pairs[1]), "v": pa.array(pairs[0])})
-                us, vs = [], []
+            place, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            last = int(np.searchsorted(place, place[-1]))  # the last place may go on
+            if last or (held and held[-1][0][-1] != place[-1]):
+                held.append((place[:last], fp[:last]))
+                yield from found(*map(np.concatenate, zip(*held)))
+                held = []
+            held.append((place[last:], fp[last:]))
+        if held:
+            yield from found(*map(np.concatenate, zip(*held)))
 
     return met.mapInArrow(run, "u long, v long")
 

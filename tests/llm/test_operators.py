@@ -145,11 +145,11 @@ def test_piece_sampling_has_the_lattice_distribution():
 
 def test_urls(spark):
     cases = ["http://A.Example.NET/en/1?x=/de/", "http://net/", "http://x.net", "ftp://b.example.com/de/2#q", "no host", None, "",
-             "http://o.org/fr/?a=1&b=2", "http://x.org:80/fr/", "http://other.io/a"]
+             "http://o.org/fr/?a=1&b=2", "http://x.org:80/fr/", "http://other.io/a", "http://a.net?to=http://b.org/fr/"]
     rows = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(cases)] + [(0, cases[0], "clash")], "page_id long, url string, score string")
     got = {r["page_id"]: r for r in urls.judge(rows).collect()}
     want = [("a.example.net", "/en/1", "example.net/en/"), ("net", "/", "net/"), ("x.net", "", None), ("b.example.com", "/de/2", "example.com/de/"),
-            ("", "", None), ("", "", None), ("", "", None), ("o.org", "/fr/", "org/fr/"), ("x.org:80", "/fr/", None), ("other.io", "/a", None)]
+            ("", "", None), ("", "", None), ("", "", None), ("o.org", "/fr/", "org/fr/"), ("x.org:80", "/fr/", None), ("other.io", "/a", None), ("a.net", "", None)]
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in range(len(cases))] == want
     assert [got[i]["verdict"] for i in (0, 1, 3, 7)] == ["allow", "block", "block", "allow"]
     assert urls.judge(rows.limit(0)).count() == 0
@@ -157,11 +157,13 @@ def test_urls(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_simhash_components(spark):
+@pytest.mark.parametrize("split", [simhash.SPLIT_MEMBERS, 3])
+def test_simhash_components(spark, split):
     random.seed(2)
     base = [random.getrandbits(64) for _ in range(150)]
-    values = base + [v ^ sum(1 << b for b in random.sample(range(64), random.randint(1, 4))) for v in base * 3] + [0, 7, 15, 31]
-    got = {tuple(r) for r in simhash.components(simhash.links(spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in set(values)], "fp long"))).collect()}
+    near = [base[0] ^ random.getrandbits(32) << 32 for _ in range(40)]  # many members of one anchor
+    values = base + near + [v ^ 1 << 40 ^ 1 << 63 for v in near] + [v ^ sum(1 << b for b in random.sample(range(64), random.randint(1, 4))) for v in base * 3] + [0, 7, 15, 31]
+    got = {tuple(r) for r in simhash.components(simhash.links(spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in set(values)], "fp long"), split=split)).collect()}
     parent = {v: v for v in set(values)}
 
     def find(x):
