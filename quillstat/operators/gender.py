@@ -3,11 +3,14 @@
 The name table (first_name → gender) stands in for the external guesser.
 Lookups never leave the JVM:
 
-* a table of at most ``INLINE_MAX`` names is inlined as two hash sets
-  (``InSet``) so a byline's names are classified inside one projection - no
-  join, no shuffle;
-* a larger table goes through the distinct bylines: ``explode`` → size-checked
-  broadcast (else sort-merge, AQE skew split) join → ``groupBy`` of the byline → join back.
+* a table of at most ``INLINE_MAX`` names is inlined as literals so a byline's names are
+  classified inside one projection - no join, no shuffle (a longer literal list costs more
+  to plan than a join costs to run);
+* a larger table, of any size, is joined: size-checked broadcast, else sort-merge with AQE
+  skew split. Bylines go through their distinct values: ``explode`` → join → ``groupBy`` of
+  the byline → join back.
+
+``name_lookup`` picks the form; every function here takes either and gives the same rows.
 
 A name listed under both genders is unknown on either path.
 """
@@ -22,7 +25,7 @@ from quillstat.functions.text import _c, ascii_fold_native, let, strip_ws
 from quillstat.operators.joins import small_side
 from quillstat.sources.rules import OVERRIDE_LABELS
 
-INLINE_MAX = 50_000
+INLINE_MAX = 500
 
 
 def name_sets(names: DataFrame, max_rows: int = INLINE_MAX) -> tuple[list[str], list[str]] | None:
@@ -35,6 +38,12 @@ def name_sets(names: DataFrame, max_rows: int = INLINE_MAX) -> tuple[list[str],
     return sorted(fem - mal), sorted(mal - fem)  # a name listed under both is unknown
 
 
+def name_lookup(names: DataFrame, max_rows: int = INLINE_MAX) -> tuple[list[str], list[str]] | DataFrame:
+    """``name_sets(names)`` where the table is small enough to inline, else the table itself."""
+    sets = name_sets(names, max_rows)
+    return names if sets is None else sets
+
+
 def one_gender(names: DataFrame) -> DataFrame:
     """(_k, _g): one row per lower-case name listed under exactly one of female and male."""
     used = names.where(F.col("gender").isin("female", "male") & F.col("first_name").isNotNull())
@@ -56,12 +65,12 @@ def gender_counts(names_arr: Column, sets: tuple[list[str], list[str]]) -> tuple
 
 def byline_gender(df: DataFrame, names: DataFrame, byline_col: str = "byline",
                   key_cols: list[str] | None = None, max_inline: int = INLINE_MAX,
-                  sets: tuple[list[str], list[str]] | None = None) -> DataFrame:
+                  sets: tuple[list[str], list[str]] | DataFrame | None = None) -> DataFrame:
     """df + female, male, unknown (INT) over the byline's first names. ``sets``: the
-    result of ``name_sets(names)`` when the caller already has it."""
+    result of ``name_lookup(names)`` when the caller already has it."""
     if sets is None:
-        sets = name_sets(names, max_inline)
-    if sets is not None:
+        sets = name_lookup(names, max_inline)
+    if isinstance(sets, tuple):
         # materialise the name array once so the three counts share it
         tmp = df.withColumn("_fn", first_names(F.col(byline_col)))
         f, m, _ = gender_counts(F.col("_fn"), sets)
@@ -71,7 +80,7 @@ def byline_gender(df: DataFrame, names: DataFrame, byline_col: str = "byline",
     # by the join back
     ex = (df.select(F.col(byline_col).alias("_b")).distinct()
           .select("_b", F.posexplode_outer(first_names(F.col("_b"))).alias("_pos", "_fn")))
-    nt = small_side(one_gender(names))
+    nt = small_side(one_gender(sets))
     j = ex.join(nt, F.lower(F.col("_fn")) == F.col("_k"), "left")
     real = F.col("_pos").isNotNull()
     counts = j.groupBy("_b").agg(
@@ -103,6 +112,18 @@ def single_name_gender_ascii(col, sets: tuple[list[str], list[str]]) -> Column:
     return single_name_gender(ascii_fold_native(col), sets)
 
 
+def with_gender(df: DataFrame, name: Column, lookup: tuple[list[str], list[str]] | DataFrame,
+                out_col: str = "gender", fold: bool = False) -> DataFrame:
+    """``df`` plus the gender label of one person's name (as ``single_name_gender``; with ``fold``
+    as ``single_name_gender_ascii``), by a ``name_lookup`` of either form."""
+    if isinstance(lookup, tuple):
+        return df.withColumn(out_col, (single_name_gender_ascii if fold else single_name_gender)(name, lookup))
+    first = let(strip_ws(ascii_fold_native(name) if fold else name),
+                lambda s: F.lower(F.try_element_at(first_names(s), F.lit(1))))
+    joined = df.withColumn("_first", first).join(small_side(one_gender(lookup)), F.col("_first") == F.col("_k"), "left")
+    return joined.withColumn(out_col, F.coalesce("_g", F.lit("unknown"))).drop("_first", "_k", "_g")
+
+
 # --- manual overrides ---------------------------------------------------------
 
 def clean_overrides(sheet: DataFrame) -> DataFrame:
@@ -133,8 +154,9 @@ def org_name_gender(df: DataFrame, overrides: DataFrame, sets, org_col: str = "o
                                      F.col("gender").alias("_manual")))
     t = df.withColumn("_np", drop_punct(F.col(name_col)))
     j = t.join(ov, (F.col(org_col) == F.col("_o")) & (F.col("_np") == F.col("_n")), "left")
-    g = F.when(F.col("_manual").isin(OVERRIDE_LABELS), F.col("_manual")).otherwise(single_name_gender("_np", sets))
-    return j.withColumn(out_col, g).drop("_o", "_n", "_manual", "_np")
+    j = with_gender(j, F.col("_np"), sets, "_guess")
+    g = F.when(F.col("_manual").isin(OVERRIDE_LABELS), F.col("_manual")).otherwise(F.col("_guess"))
+    return j.withColumn(out_col, g).drop("_o", "_n", "_manual", "_np", "_guess")
 
 
 def online_org_name_gender(df: DataFrame, overrides: DataFrame, org_col: str = "org",
@@ -154,10 +176,10 @@ def org_name_export(org_names: DataFrame, overrides: DataFrame, sets) -> DataFra
                          F.col("gender").alias("o_gender"), F.col("count").alias("o_count"))
     j = a.join(o, (F.col("a_org") == F.col("o_org")) & (F.col("a_name") == F.col("o_name")), "full_outer")
     name = F.coalesce("a_name", "o_name")
-    return j.select(
+    return with_gender(j, name, sets, "auto_gender").select(
         space_to_plus(F.coalesce("a_org", "o_org")).alias("org"),
         space_to_plus(name).alias("name"),
-        single_name_gender(name, sets).alias("auto_gender"),
+        "auto_gender",
         F.coalesce(F.col("n"), F.col("o_count")).alias("n"),
         F.coalesce(F.col("o_gender"), F.lit("")).alias("manual_gender"),
     )

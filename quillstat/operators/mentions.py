@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillstat.functions.names import full_names
 from quillstat.functions.text import let, tokens
+from quillstat.operators.gender import with_gender
 from quillstat.operators.joins import small_side
 from quillstat.operators.reports import opinion_filter
 
@@ -30,7 +31,7 @@ def ngrams(tok: Column, n: int) -> Column:
     return acc
 
 
-INLINE_MAX = 50_000
+INLINE_MAX = 500
 
 
 def gazetteer_mentions(docs: DataFrame, people: DataFrame, key: str = "stories_id",
@@ -56,10 +57,7 @@ def gazetteer_mentions(docs: DataFrame, people: DataFrame, key: str = "stories_i
     else:
         ex = docs.select(key, F.explode(grams).alias("gram"))
         hits = ex.join(small_side(people.select(F.col("name").alias("gram")).distinct()), "gram", "left_semi")
-    # partition matches by the story key: the count needs no other exchange and the result
-    # is already laid out for the join with the articles on the same key
-    return (hits.repartition(key).groupBy(key, F.col("gram").alias("name"))
-            .agg(F.count(F.lit(1)).alias("count")))
+    return hits.groupBy(key, F.col("gram").alias("name")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def gazetteer_names(people: DataFrame, max_inline: int = INLINE_MAX) -> list[str] | None:
@@ -89,12 +87,12 @@ def explode_mentions(articles: DataFrame) -> DataFrame:
         "stories_id", F.col("m.name").alias("name"), F.col("m.count").alias("count"))
 
 
-def mentioned_people_in_rows(articles: DataFrame, gender_of: callable) -> DataFrame:
+def mentioned_people_in_rows(articles: DataFrame, lookup) -> DataFrame:
     """A-6 totals from articles that carry their own ``mentions`` (one pass, no join)."""
     op = articles.where(opinion_filter("section"))
     m = op.select("media_name", F.explode("mentions").alias("m"))
     agg = m.groupBy("media_name", F.col("m.name").alias("name")).agg(F.sum("m.count").cast("long").alias("n_mentions"))
-    return agg.withColumn("gender", gender_of(F.col("name")))
+    return with_gender(agg, F.col("name"), lookup, fold=True)
 
 
 def mention_bylines_in_rows(articles: DataFrame) -> DataFrame:
@@ -106,14 +104,14 @@ def mention_bylines_in_rows(articles: DataFrame) -> DataFrame:
         F.sum("m.count").cast("long").alias("n"))
 
 
-def mentioned_people(articles: DataFrame, mentions: DataFrame, gender_of: callable) -> DataFrame:
+def mentioned_people(articles: DataFrame, mentions: DataFrame, lookup) -> DataFrame:
     """A-6 totals: per (outlet, mentioned name) over opinion articles: total count and the
-    name's gender (``gender_of(Column) -> Column``). Totals come from the un-joined
+    name's gender (``lookup``: see ``gender.name_lookup``). Totals come from the un-joined
     mentions, so a story with several byline people is not counted several times."""
     op = articles.where(opinion_filter("section")).select("stories_id", "media_name")
     m = mentions.join(op, "stories_id", "inner")
     agg = m.groupBy("media_name", "name").agg(F.sum("count").cast("long").alias("n_mentions"))
-    return agg.withColumn("gender", gender_of(F.col("name")))
+    return with_gender(agg, F.col("name"), lookup, fold=True)
 
 
 def mention_bylines(articles: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -52,11 +52,7 @@ def _memo(spark, key: str, build):
 
 
 def _sets(spark):
-    return _memo(spark, "name_sets", lambda: G.name_sets(D.name_gender(spark)))
-
-
-def _gazetteer(spark):
-    return _memo(spark, "gazetteer", lambda: M.gazetteer_names(D.gazetteer(spark)))
+    return _memo(spark, "name_sets", lambda: G.name_lookup(D.name_gender(spark)))
 
 
 def articles(spark: SparkSession, sf: str, full_text: bool = False) -> DataFrame:
@@ -69,6 +65,27 @@ def articles(spark: SparkSession, sf: str, full_text: bool = False) -> DataFrame
             .withColumn("unknown", F.when(ok, F.col("unknown"))))
 
 
+def _stored(spark, sf: str, name: str, build) -> DataFrame:
+    """A table written once per application and input to the shared folder, then read."""
+    def write():
+        path = _scratch(spark, name)
+        df = build()
+        df.write.parquet(path)
+        return path, df.schema
+    path, schema = _memo(spark, f"{name} {sf.rstrip('/')}", write)
+    return spark.read.schema(schema).parquet(path)
+
+
+def article_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored article table: pages are parsed once, every report reads this."""
+    return _stored(spark, sf, "articles", lambda: articles(spark, sf))
+
+
+def mention_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored (stories_id, name, count) of people mentioned."""
+    return _stored(spark, sf, "mentions", lambda: _mentions(spark, sf))
+
+
 # --- DuckDB building blocks ------------------------------------------------------
 
 def _fem_male():
@@ -272,8 +289,8 @@ FROM (SELECT id, unnest({Q.full_names('byline')}) AS person FROM {D.order_byline
 def single_name_gender(spark, sf):
     sets = _sets(spark)
     p = D.order_bylines(spark, sf).select("id", F.explode(N.full_names("byline")).alias("person"))
-    return p.select("id", "person", G.single_name_gender("person", sets).alias("gender"),
-                    G.single_name_gender_ascii("person", sets).alias("gender_ascii"))
+    both = G.with_gender(G.with_gender(p, F.col("person"), sets), F.col("person"), sets, "gender_ascii", fold=True)
+    return both.select("id", "person", "gender", "gender_ascii")
 
 
 @query("ascii_fold", f"""
@@ -297,7 +314,7 @@ def _q_people_counts() -> str:
 
 
 def _people_counts(spark, sf):
-    return (RP.byline_counts(X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf)))
+    return (RP.byline_counts(article_table(spark, sf))
             .select(F.col("media_name").alias("org"), F.col("person").alias("name"), F.col("n_articles").alias("n")))
 
 
@@ -341,33 +358,33 @@ def org_name_export(spark, sf):
 SELECT media_name, coalesce(section, '') AS section, count(*) AS n_articles
 FROM {Q.articles_sql()} AS a GROUP BY media_name, coalesce(section, '')""")
 def section_counts(spark, sf):
-    return RP.section_counts(X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf)))
+    return RP.section_counts(article_table(spark, sf))
 
 
 @query("outlet_totals", f"""
 SELECT media_name, count(DISTINCT coalesce(section, '')) AS n_sections, count(*) AS n_articles
 FROM {Q.articles_sql()} AS a GROUP BY media_name""")
 def outlet_totals(spark, sf):
-    return RP.outlet_totals(X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf)))
+    return RP.outlet_totals(article_table(spark, sf))
 
 
 @query("opinion_sections", f"""
 SELECT media_name, section, count(*) AS n_articles FROM {Q.articles_sql()} AS a
 WHERE {OPINION} GROUP BY media_name, section""")
 def opinion_sections(spark, sf):
-    return RP.opinion_sections(X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf)))
+    return RP.opinion_sections(article_table(spark, sf))
 
 
 @query("byline_counts", f"""
 SELECT org AS media_name, name AS person, n AS n_articles FROM {_q_people_counts()} AS p""")
 def byline_counts(spark, sf):
-    return RP.byline_counts(X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf)))
+    return RP.byline_counts(article_table(spark, sf))
 
 
 @query("outlet_people", f"""
 SELECT org AS media_name, count(DISTINCT name) AS n_people FROM {_q_people_counts()} AS p GROUP BY org""")
 def outlet_people(spark, sf):
-    return RP.outlet_people(X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf)))
+    return RP.outlet_people(article_table(spark, sf))
 
 
 @query("gender_rollup", f"""
@@ -375,7 +392,7 @@ SELECT media_name, strftime(publish_date, '%Y-%m') AS publish_month, CAST(sum(fe
        CAST(sum(male) AS BIGINT) AS male, CAST(sum(unknown) AS BIGINT) AS unknown, count(*) AS n_articles
 FROM {q_articles()} AS a GROUP BY media_name, strftime(publish_date, '%Y-%m')""")
 def gender_rollup(spark, sf):
-    a = articles(spark, sf).withColumn("publish_month", F.date_format("publish_date", "yyyy-MM"))
+    a = article_table(spark, sf).withColumn("publish_month", F.date_format("publish_date", "yyyy-MM"))
     return RP.gender_rollup(a, ["media_name", "publish_month"])
 
 
@@ -410,9 +427,7 @@ SELECT a.media_name, m.name, CAST(sum(m.count) AS BIGINT) AS n_mentions,
 FROM {_q_mentions()} AS m JOIN {Q.articles_sql()} AS a ON m.stories_id = a.stories_id
 WHERE {OPINION} GROUP BY a.media_name, m.name""")
 def mentioned_people(spark, sf):
-    sets = _sets(spark)
-    a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), mention_names=_gazetteer(spark))
-    return M.mentioned_people_in_rows(a, lambda c: G.single_name_gender_ascii(c, sets)) \
+    return M.mentioned_people(article_table(spark, sf), mention_table(spark, sf), _sets(spark)) \
         .select("media_name", "name", "n_mentions", "gender")
 
 
@@ -423,8 +438,7 @@ JOIN (SELECT stories_id, media_name, unnest({Q.full_names('byline')}) AS mention
       WHERE {OPINION}) AS a ON m.stories_id = a.stories_id
 GROUP BY a.media_name, m.name, a.mentioner""")
 def mention_bylines(spark, sf):
-    a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), mention_names=_gazetteer(spark))
-    return M.mention_bylines_in_rows(a)
+    return M.mention_bylines(article_table(spark, sf), mention_table(spark, sf))
 
 
 # =============================================================================
@@ -453,7 +467,7 @@ def _q_eval() -> str:
 
 
 def _evaluated(spark, sf):
-    return E.evaluate(D.eval_labels(spark, sf), articles(spark, sf))
+    return E.evaluate(D.eval_labels(spark, sf), article_table(spark, sf))
 
 
 @query("eval_rows", f"SELECT * FROM {_q_eval()} AS v")
@@ -567,7 +581,7 @@ def month_union(spark, sf):
     from the list of month folders as one table."""
     from quillstat.sources import readers, sinks
     out = _scratch(spark, "months")
-    sinks.write_articles(articles(spark, sf), out, fmt="csv", files_per_month=2)
+    sinks.write_articles(article_table(spark, sf), out, fmt="csv", by_size=True)
     months = [r.m for r in spark.read.option("header", True).csv(out).select(
         F.col("publish_month").cast("string").alias("m")).distinct().collect()]
     back = readers.read_month_files(spark, [f"{out}/publish_month={m}" for m in sorted(months)])
@@ -589,7 +603,7 @@ def stream_ingest(spark, sf):
     edge = st.where(F.col("publish_date") == month).withColumn("drop", F.date_format(F.add_months(month, -1), "yyyy-MM"))
     main = st.withColumn("drop", F.date_format(month, "yyyy-MM"))
     drops = main.unionByName(edge).where(F.col("publish_date") <= first_next)
-    drops.repartition("drop").write.partitionBy("drop").parquet(src)
+    drops.hint("rebalance", F.col("drop")).write.partitionBy("drop").parquet(src)
     try:
         parts = spark.sparkContext.defaultParallelism
     except Exception:
@@ -632,3 +646,61 @@ FROM {Q.articles_sql()} AS a LEFT JOIN {D.pages_sql()} AS p ON a.stories_id = p.
 def full_text_articles(spark, sf):
     a = X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), full_text=True)
     return a.select("stories_id", "byline", "section", "full_text")
+
+
+# =============================================================================
+# Files written and read back (SRC-5 … SRC-7, SNK-2, SNK-5)
+# =============================================================================
+
+@query("story_list_file", f"""
+SELECT media_id, {DAY} AS publish_day, stories_id, url, CAST(stories_id AS VARCHAR) || '.html' AS file_name
+FROM {D.stories_sql()} AS s""")
+def story_list_file(spark, sf):
+    from quillstat.sources import readers
+    out = _scratch(spark, "story-list")
+    st = D.stories(spark, sf).select("media_id", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_date"), "stories_id",
+                                     "url", F.concat(F.col("stories_id").cast("string"), F.lit(".html")).alias("file_name"))
+    st.write.option("header", True).csv(out)
+    return readers.read_story_list(spark, out).withColumnRenamed("publish_date", "publish_day")
+
+
+@query("legacy_rule_file", f"""
+SELECT media_id, stories_id, foundwith, byline, status FROM {_q_legacy()} AS l""")
+def legacy_rule_file(spark, sf):
+    """The legacy rules as a file with its repeated column name, read and applied to all stories."""
+    from quillstat.sources import readers
+    out = _scratch(spark, "legacy-rules")
+    lines = ["media_id,tag,attr,attr"] + [",".join(f'"{x}"' for x in r[:4]) for r in R.legacy_rule_rows()]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(out)
+    legacy = X.legacy_extract(D.stories(spark, sf), D.pages(spark, sf), legacy_rules=readers.read_legacy_rules(spark, out))
+    return legacy.select("media_id", "stories_id", "foundwith", "byline", "status")
+
+
+@query("override_sheet_file", f"""
+SELECT org, name, gender, count FROM {_q_overrides()} AS o""")
+def override_sheet_file(spark, sf):
+    """The override sheet written in row order, one header in each file, and read back in that order."""
+    from quillstat.sources import readers
+    out = _scratch(spark, "override-sheet")
+    s = D.override_sheet(spark, sf).orderBy("row_no")
+    s.select("org", "name", F.lit("x").alias("note"), "count", "gender").write.option("header", True).option("escape", '"').csv(out)
+    return G.clean_overrides(readers.read_override_sheet(spark, out)).select("org", "name", "gender", "count")
+
+
+@query("routed_roundtrip", f"""
+SELECT media_id, url, stories_id, foundwith, byline, status FROM {_q_legacy()} AS l""")
+def routed_roundtrip(spark, sf):
+    from quillstat.sources import readers, sinks
+    out = _scratch(spark, "routed")
+    sinks.write_routed(_legacy(spark, sf), f"{out}/found", f"{out}/failed")
+    return readers.read_routed_results(spark, f"{out}/found", f"{out}/failed", header=True)
+
+
+@query("run_results", f"""
+SELECT stories_id, extracted_byline, actual_byline, correct, 'run-1' AS run_id FROM {_q_eval()} AS v""")
+def run_results(spark, sf):
+    from quillstat.sources import sinks
+    out = _scratch(spark, "runs")
+    sinks.write_run_results(article_table(spark, sf).select("media_id", "stories_id", "byline", "section"), _evaluated(spark, sf), out, "run-1")
+    return spark.read.parquet(f"{out}/evaluated_results").select(
+        "stories_id", "extracted_byline", "actual_byline", "correct", F.col("run_id").cast("string").alias("run_id"))

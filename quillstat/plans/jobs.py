@@ -43,8 +43,9 @@ def monthly_articles(stories: DataFrame, pages: DataFrame, names: DataFrame, sta
 
 
 def outlet_report(articles: DataFrame, mentions: DataFrame | None = None,
-                  name_sets: tuple[list[str], list[str]] | None = None) -> dict[str, DataFrame]:
-    """3.3: section, opinion, byline-people and mentioned-people reports of one article table."""
+                  names: tuple[list[str], list[str]] | DataFrame | None = None) -> dict[str, DataFrame]:
+    """3.3: section, opinion, byline-people and mentioned-people reports of one article table.
+    ``names``: see ``gender.name_lookup``."""
     out = {
         "section_counts": RP.section_counts(articles),
         "outlet_totals": RP.outlet_totals(articles),
@@ -52,9 +53,8 @@ def outlet_report(articles: DataFrame, mentions: DataFrame | None = None,
         "byline_counts": RP.byline_counts(articles),
         "outlet_people": RP.outlet_people(articles),
     }
-    if mentions is not None and name_sets is not None:
-        out["mentioned_people"] = M.mentioned_people(
-            articles, mentions, lambda c: G.single_name_gender_ascii(c, name_sets))
+    if mentions is not None and names is not None:
+        out["mentioned_people"] = M.mentioned_people(articles, mentions, names)
         out["mention_bylines"] = M.mention_bylines(articles, mentions)
     return out
 

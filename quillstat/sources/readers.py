@@ -7,7 +7,7 @@ makes "skip the header rows" and "last row wins" well defined on a cluster.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,9 +112,9 @@ def read_eval_labels(spark: SparkSession, path: str) -> DataFrame:
 def _sheet_rows(spark: SparkSession, path: str, header_rows: int, cols: dict[str, int]) -> DataFrame:
     """Positional fields of a CSV sheet (quoted fields handled by the CSV reader), in file order.
 
-    ``row_no`` is the row's monotonically increasing id (file order; gaps allowed). The
-    header rows are the first rows of each file: ids below the file's smallest id plus
-    the header count (one tiny per-file aggregate, broadcast back; no window)."""
+    ``row_no`` orders rows by file name, then by place in the file (a multi-line file is read by
+    one task, so ids rise along it). The header rows are the first rows of each file. Both come
+    from one tiny per-file aggregate, broadcast back."""
     width = max(cols.values()) + 1
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
@@ -123,9 +123,10 @@ def _sheet_rows(spark: SparkSession, path: str, header_rows: int, cols: dict[str
            .withColumn("_i", F.monotonically_increasing_id()))
     from quillstat.operators.joins import small_side
     firsts = raw.groupBy("_f").agg(F.min("_i").alias("_m"))  # one row per input file
+    firsts = firsts.withColumn("_rank", F.row_number().over(Window.orderBy("_f")).cast("long"))
     firsts = small_side(firsts, max_rows=100_000, known_rows=len(raw.inputFiles()))
     body = raw.join(firsts, "_f").where(F.col("_i") >= F.col("_m") + header_rows)
-    return body.select(*[F.col(f"c{i}").alias(name) for name, i in cols.items()], F.col("_i").alias("row_no"))
+    return body.select(*[F.col(f"c{i}").alias(name) for name, i in cols.items()], (F.shiftleft("_rank", 40) + F.col("_i") - F.col("_m")).alias("row_no"))
 
 
 def read_month_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -142,7 +143,8 @@ def read_routed_results(spark: SparkSession, found_path: str, failed_path: str,
     'found', or the failure reason. Bylines may be quoted multi-line text (doubled quotes)."""
     found = (spark.read.schema("media_id string, url string, stories_id long, foundwith string, byline string")
              .option("multiLine", True).option("escape", '"').option("header", header).csv(found_path)
-             .withColumn("status", F.lit("found")))
+             # a found story has a byline; an empty one is an empty field
+             .withColumn("byline", F.coalesce("byline", F.lit(""))).withColumn("status", F.lit("found")))
     failed = (spark.read.schema("media_id string, url string, stories_id long, reason string")
               .option("multiLine", True).option("escape", '"').option("header", header).csv(failed_path)
               .select("media_id", "url", "stories_id", F.lit(None).cast("string").alias("foundwith"),

@@ -25,15 +25,15 @@ def by_month_files(df: DataFrame, files_per_month: int, key: str = "stories_id")
 
 
 def write_articles(articles: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                   files_per_month: int | None = None) -> None:
+                   by_size: bool = False) -> None:
     """SNK-1 / SNK-4: article table partitioned by publish_month (partition pruning for
-    month queries). CSV keeps the source's text form: 'None' for null. ``files_per_month``
-    adds a salted month layout (see ``by_month_files``); without it each task writes its
-    own rows (no shuffle)."""
+    month queries). CSV keeps the source's text form: 'None' for null. ``by_size``
+    brings a month's rows together in files of the session's advisory partition size, large
+    months in many (one exchange); without it each task writes its own rows (no shuffle)."""
     cols = [c for c in ARTICLE_COLUMNS if c in articles.columns]
     out = articles.select(*cols, F.date_format("publish_date", "yyyy-MM").alias("publish_month"))
-    if files_per_month:
-        out = by_month_files(out, files_per_month)
+    if by_size:
+        out = out.hint("rebalance", F.col("publish_month"))
     w = out.write.mode(mode).partitionBy("publish_month")
     if fmt == "csv":
         w.option("header", True).option("nullValue", "None").option("escape", '"').csv(path)

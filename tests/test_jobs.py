@@ -27,7 +27,7 @@ def test_monthly_and_report(spark):
     txt = D.pages(spark, SF_SMALL).select("stories_id", X.full_text_col(F.lit(None).cast("string"), F.col("html"))
                                           .alias("full_text"))
     mentions = M.gazetteer_mentions(txt, D.gazetteer(spark))
-    rep = jobs.outlet_report(arts, mentions, G.name_sets(D.name_gender(spark)))
+    rep = jobs.outlet_report(arts, mentions, G.name_lookup(D.name_gender(spark)))
     sec = rep["section_counts"].agg(F.sum("n_articles")).first()[0]
     tot = rep["outlet_totals"].agg(F.sum("n_articles")).first()[0]
     assert sec == tot == n  # A-1 sums to A-2

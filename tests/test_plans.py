@@ -72,3 +72,11 @@ def test_byline_gender_inline_path_has_no_shuffle(spark):
     plan = _formatted(df.select("id", "female", "male", "unknown"))
     assert "Exchange" not in plan.split("===== Subqueries")[0] or \
         all("RoundRobinPartitioning" in ln for ln in plan.splitlines() if ln.strip().startswith("Exchange"))
+
+
+@pytest.mark.parametrize("name", ["section_counts", "outlet_totals", "opinion_sections", "byline_counts", "outlet_people", "gender_rollup",
+                                  "override_gender", "org_name_export", "eval_rows", "eval_accuracy", "mentioned_people", "mention_bylines"])
+def test_reports_read_the_article_table(spark, name):
+    from quillstat.plans import catalog
+    plan = _formatted(catalog.QUERIES[name](spark, SF_SMALL))
+    assert "MapInPandas" not in plan and "MapInArrow" not in plan

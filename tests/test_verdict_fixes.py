@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstat.operators import extract as X
 from quillstat.operators import gender as G
 from quillstat.operators import htmldom
+from quillstat.operators import mentions as M
 from quillstat.operators import sampling as S
 from quillstat.sources import readers, sinks
 from quillstat.streaming import ingest
@@ -38,6 +39,48 @@ def test_gender_paths_agree(spark):
     assert (2, "Lesley Olt", 0, 0, 1) in a and (1, "Mira Olt", 1, 0, 0) in a
 
 
+def test_name_lookup_forms_agree(spark):
+    names = spark.createDataFrame([("Mira", "female"), ("Lesley", "male"), ("lesley", "female"), ("Tom", "male"), (None, "male")],
+                                  "first_name string, gender string")
+    people = spark.createDataFrame([(i, p) for i, p in enumerate(["Mira Olt", "Lesley Olt", "Tom", " ", "", None, "Míra Olt", "Zed Olt", "Tom"])],
+                                   "id int, person string")
+    for fold in (False, True):
+        forms = [G.name_lookup(names), G.name_lookup(names, 0)]
+        assert isinstance(forms[0], tuple) and forms[1] is names
+        a, b = (sorted((r["id"], r["gender"]) for r in G.with_gender(people, F.col("person"), f, fold=fold).collect()) for f in forms)
+        assert a == b and a[0] == (0, "female") and a[1] == (1, "unknown") and a[6][1] == ("female" if fold else "unknown")
+
+
+def test_gazetteer_forms_agree(spark):
+    docs = spark.createDataFrame([(1, "Ada Moor met Tom Olt and Ada Moor"), (2, None), (3, "nobody"), (4, "Tom Olt Junior came")],
+                                 "stories_id long, full_text string")
+    people = spark.createDataFrame([("Ada Moor",), ("Tom Olt",), ("Tom Olt Junior",), ("Ada Moor",)], "name string")
+    forms = [sorted(map(tuple, M.gazetteer_mentions(docs, people, max_inline=n).collect())) for n in (500, 0)]
+    assert forms[0] == forms[1] == [(1, "Ada Moor", 2), (1, "Tom Olt", 1), (4, "Tom Olt", 1), (4, "Tom Olt Junior", 1)]
+
+
+def test_large_name_table_and_gazetteer(spark):
+    n = 60_000
+    names = spark.range(n).select(F.concat(F.lit("Nam"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("first_name"),
+                                  F.when(F.col("id") % 2 == 0, "female").otherwise("male").alias("gender"))
+    lookup = G.name_lookup(names)
+    people = spark.createDataFrame([("Namc Olt",), ("Namd Olt",), ("Zed Olt",)], "person string")
+    got = {r["person"]: r["gender"] for r in G.with_gender(people, F.col("person"), lookup).collect()}
+    assert got == {"Namc Olt": "female", "Namd Olt": "male", "Zed Olt": "unknown"}
+    docs = spark.createDataFrame([(1, "Namc Olt and Namc Olt")], "stories_id long, full_text string")
+    people = names.select(F.concat("first_name", F.lit(" Olt")).alias("name"))
+    assert [tuple(r) for r in M.gazetteer_mentions(docs, people).collect()] == [(1, "Namc Olt", 2)]
+
+
+def test_sheet_rows_follow_file_order(spark):
+    base = tempfile.mkdtemp(prefix="sheet-order-")
+    for part, (gender, more) in enumerate((("female", 400), ("male", 0))):  # the larger file first
+        with open(os.path.join(base, f"part-{part}.csv"), "w") as f:
+            f.write("org,name,note,count,gender\n" + "".join(f"o,n{i},x,1,male\n" for i in range(more)) + f"o,Ada,x,1,{gender}\n")
+    rows = G.clean_overrides(readers.read_override_sheet(spark, base)).where("name = 'Ada'").collect()
+    assert [r["gender"] for r in rows] == ["male"]
+
+
 def test_out_of_order_drops_are_kept(spark):
     base = tempfile.mkdtemp(prefix="drops-")
     for i, day in enumerate(("2014-06-01", "2010-01-01", "2012-03-01", "2010-01-01")):
