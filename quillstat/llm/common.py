@@ -64,6 +64,11 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Column names as they are, dots and backquotes in them included."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
 def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable],
              keep_text: bool = False) -> DataFrame:
     """``df.select(columns)`` through ``mapInArrow``. ``make()`` runs once per task and returns
@@ -73,8 +78,11 @@ def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     ``schema`` is the DDL of the new columns."""
     from pyspark.sql.types import StructType
 
-    picked = df.select(*columns)
+    picked = df.select(*quoted(columns))
     keep = [c for c in columns if keep_text or c != "text"]
+    at = {c: i for i, c in enumerate(columns)}
+    # mapInArrow takes no names with dots: columns go in by place, and get their names back from its schema
+    placed = picked.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(columns)])
     new = StructType.fromDDL(schema)
     out = StructType([picked.schema[c] for c in keep] + new.fields)
     names = [f.name for f in new.fields]
@@ -85,14 +93,14 @@ def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
         target = to_arrow_schema(out)
         work = make()
         for part in slices(batches):
-            made = work(part.column(part.schema.get_field_index("text")).to_pylist())
-            arrays = [part.column(part.schema.get_field_index(c)) for c in keep] + [made[n] for n in names]
+            made = work(part.column(at["text"]).to_pylist())
+            arrays = [part.column(at[c]) for c in keep] + [made[n] for n in names]
             yield pa.RecordBatch.from_arrays(
                 [a if isinstance(a, pa.Array) and a.type == f.type else
                  (a.cast(f.type) if isinstance(a, pa.Array) else pa.array(a, f.type))
                  for a, f in zip(arrays, target)], schema=target)
 
-    return picked.mapInArrow(run, out)
+    return placed.mapInArrow(run, out)
 
 
 def cpu_partitions(df: DataFrame) -> int:

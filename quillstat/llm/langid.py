@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import map_text, slices, unused
+from quillstat.llm.common import map_text, quoted, slices, unused, written
 
 ORDERS = (3, 4, 5)
 CELL_BITS = 21
@@ -153,7 +153,6 @@ def train(docs: DataFrame) -> Model:
         return Model([], cells)
     by_gram = gram_counts(usable).groupBy("h").agg(
         *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(names)])
-    from quillstat.llm.common import written
     by_gram = written(by_gram, "grams")
     totals = by_gram.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))]).first()
     share = [F.col(f"n{i}") / F.lit(float(totals[i] or 1)) for i in range(len(names))]
@@ -223,4 +222,4 @@ def keep_identified(docs: DataFrame, min_score: float = 0.2) -> DataFrame:
     model = train(docs.where(~held_out()))
     names = (unused("lang_pred", docs.columns), unused("score", docs.columns))
     out = identify(docs, model, docs.columns, True, names)
-    return out.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= min_score)).select(*docs.columns)
+    return out.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= min_score)).select(*quoted(docs.columns))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.llm.bpe import coder
-from quillstat.llm.common import slices, written
+from quillstat.llm.common import slices, unused, written
 
 #: Pieces of a packing group (on average): bounds a task's memory.
 GROUP_PIECES = 16_384
@@ -197,19 +197,22 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """``pieces`` (any columns, ``length`` from 0 to ``capacity``) plus sequence_id and offset.
 
     ``pieces`` should be a stored table: the row numbers that deal rows to groups must be the
-    same if a task runs again. Ties and repeated rows are pieces like any other."""
+    same if a task runs again. Ties and repeated rows are pieces like any other; columns that
+    are already called sequence_id or offset are replaced."""
+    pieces = pieces.drop("sequence_id", "offset")
     total = pieces.count()
     groups = max(1, -(-total // GROUP_PIECES))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt_to = unused("_group", pieces.columns)
+    dealt = pieces.withColumn(dealt_to, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
     def one(table: pa.Table) -> pa.Table:
-        group = table.column("_group")[0].as_py()
+        group = table.column(dealt_to)[0].as_py()
         number, place = pack_lengths(table.column(length).to_numpy(), capacity)
-        return (table.drop_columns(["_group"]).append_column("sequence_id", pa.array((group << 32) + number))
+        return (table.drop_columns([dealt_to]).append_column("sequence_id", pa.array((group << 32) + number))
                 .append_column("offset", pa.array(place)))
 
-    return dealt.groupBy("_group").applyInArrow(one, schema)
+    return dealt.groupBy(dealt_to).applyInArrow(one, schema)
 
 
 def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import map_text, unused
+from quillstat.llm.common import map_text, quoted, unused
 
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -118,4 +118,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
         return lambda texts: {verdict: pa.array([judge.row(t)[-1] for t in texts])}
 
     out = map_text(docs, docs.columns, f"{verdict} boolean", make, keep_text=True)
-    return out.where(F.col(verdict)).select(*docs.columns)
+    return out.where(F.col(verdict)).select(*quoted(docs.columns))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import cpu_partitions, map_text, text_hash, written
+from quillstat.llm.common import cpu_partitions, map_text, quoted, text_hash, unused, written
 from quillstat.llm.components import components
 
 MAX_BITS = 3
@@ -195,7 +195,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
     (rows that share it: the one with the smallest text hash, once)."""
     found = near_duplicates(docs)
     first = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy(F.col("doc_id").alias("_id")).agg(F.min("h").alias("_h")))
-    hashed = docs.withColumn("_text_hash", text_hash())
-    kept = hashed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+             .groupBy("doc_id").agg(F.min("h").alias("h")))
+    # plain equal keys (a null id as zero and a flag), so that the semi join and the removal of
+    # repeated rows share one exchange of the texts
+    keys = [unused(k, docs.columns) for k in ("key_id", "key_null", "key_hash")]
+
+    def key_columns(h: Column) -> list[Column]:
+        values = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), h]
+        return [v.alias(k) for k, v in zip(keys, values)]
+
+    hashed = docs.select("*", *key_columns(text_hash()))
+    kept = hashed.join(first.select(*key_columns(F.col("h"))), keys, "left_semi")
+    return kept.dropDuplicates(keys).select(*quoted(docs.columns))

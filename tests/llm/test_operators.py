@@ -26,9 +26,12 @@ TEXTS = [None, "", " \n\t", "Hello World", "it's we'll 'sx  two  spaces\n\nend "
 
 
 def table(spark, texts=TEXTS):
-    rows = [(i, t, ["en", "de", None][i % 3], "s", None if t is None else len(t), "clash") for i, t in enumerate(texts)]
-    rows += [(len(texts) - 1, texts[-1], "en", "s", 1, "clash")] if texts else []
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    """A repeated last row, and columns whose names clash with those the operators make (and one with a dot)."""
+    extra = ("clash",) * 6
+    rows = [(i, t, ["en", "de", None][i % 3], "s", None if t is None else len(t), *extra) for i, t in enumerate(texts)]
+    rows += [(len(texts) - 1, texts[-1], "en", "s", 1, *extra)] if texts else []
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, "
+                                       "kept string, key_id string, _group string, Lang_Pred string, `a.b` string")
 
 
 def ids_of(text):
@@ -69,6 +72,9 @@ def test_packing(spark):
         assert [r["offset"] for r in rows] == np.cumsum([0] + [r["length"] for r in rows[:-1]]).tolist()
         assert sum(r["length"] for r in rows) <= 1024
     assert packing.pack_documents(table(spark, []), queries.BYTE_BPE, 2, 1024).count() == 0
+    clash = spark.createDataFrame([(i, 600 + i, "x", 7, "y") for i in range(5)], "k long, length long, _group string, sequence_id long, offset string")
+    again = packing.pack(clash, 1024)
+    assert again.columns == ["k", "length", "_group", "sequence_id", "offset"] and len({r["sequence_id"] for r in again.collect()}) == 5
 
 
 def test_local_search_empties_bins():
@@ -193,7 +199,12 @@ def test_simhash_report(spark):
         h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
         assert got[i]["fingerprint"] == f"{sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)):016x}"
     assert got[0]["component_id"] == got[1]["component_id"] == got[2]["component_id"] == 0 and got[8]["component_id"] == 7
-    kept = sorted(r["doc_id"] for r in simhash.keep_first(table(spark)).collect())
+    first = simhash.keep_first(table(spark)).collect()
+    kept = sorted(r["doc_id"] for r in first)
+    assert all(r["key_id"] == r["a.b"] == "clash" for r in first) and list(first[0].asDict()) == table(spark).columns
+    nulls = spark.createDataFrame([(None, None), (None, "a b c d"), (0, "a b c d"), (None, None), (5, "e f g h i")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_first(nulls.where("doc_id is not null")).collect()) == [(0, "a b c d"), (5, "e f g h i")]
+    assert {(r["doc_id"], r["text"]) for r in simhash.keep_first(nulls).collect()} == {(None, None), (0, "a b c d"), (5, "e f g h i")}
     assert kept == sorted({r["component_id"] for r in got.values()}) and simhash.simhash_report(table(spark, [])).count() == 0
 
 
