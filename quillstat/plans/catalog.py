@@ -649,7 +649,7 @@ def full_text_articles(spark, sf):
 
 
 # =============================================================================
-# Files written and read back (SRC-5 … SRC-7, SNK-2, SNK-5)
+# Files written and read back (SRC-4 … SRC-8, SNK-2, SNK-5)
 # =============================================================================
 
 @query("story_list_file", f"""
@@ -664,6 +664,35 @@ def story_list_file(spark, sf):
     return readers.read_story_list(spark, out).withColumnRenamed("publish_date", "publish_day")
 
 
+@query("stored_pages", f"""
+SELECT stories_id, media_id, byline, section, status FROM {Q.articles_sql()} AS a""")
+def stored_pages(spark, sf):
+    """Every page written as a text file of its own, read back as stored pages and extracted."""
+    from quillstat.sources import readers
+    out = _scratch(spark, "stored-pages")
+    D.pages(spark, sf).select("stories_id", "html").write.partitionBy("stories_id").text(out)
+    a = X.extract_metadata(D.stories(spark, sf), readers.read_page_files(spark, out))
+    return a.select("stories_id", "media_id", "byline", "section", "status")
+
+
+@query("label_sheet_file", f"SELECT * FROM {_q_eval()} AS v")
+def label_sheet_file(spark, sf):
+    """The hand-label sheet as files with two header rows each, read back and evaluated."""
+    from quillstat.sources import readers
+    out = _scratch(spark, "label-sheet")
+    cols = ["media_id", "stories_id", "url", "note", "byline_extracted_label", "is_correct", "byline_corrected", "checked", "n_names"]
+    labels = D.eval_labels(spark, sf)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = labels.withColumns({"note": F.lit("a note,\nof two lines"), "checked": F.lit(None).cast("string"), "line": F.lit(1),
+                               "sheet": F.pmod(F.xxhash64("stories_id"), F.lit(n))})
+    second = spark.range(n).select(*[F.lit(f"{c} (2)").alias(c) for c in cols], F.lit(0).alias("line"), F.col("id").alias("sheet"))
+    texts = rows.select(*[F.col(c).cast("string").alias(c) for c in cols], "line", "sheet").unionByName(second)
+    # a sheet's rows meet in one task, its second header first; the writer puts the first header before them
+    texts.repartition(n, "sheet").sortWithinPartitions("sheet", "line").select(*cols, "sheet").write.partitionBy("sheet") \
+        .option("header", True).option("escape", '"').csv(out)
+    return E.evaluate(readers.read_eval_labels(spark, out), article_table(spark, sf))
+
+
 @query("legacy_rule_file", f"""
 SELECT media_id, stories_id, foundwith, byline, status FROM {_q_legacy()} AS l""")
 def legacy_rule_file(spark, sf):

@@ -70,8 +70,11 @@ def stories_from_sentences(sentences: DataFrame) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-4: stored pages '<dir>/<stories_id>.html' → (stories_id, html), one row per file."""
+    """SRC-4: stored pages '<dir>/<stories_id>.html' (or '<dir>/stories_id=<id>/<file>', as a
+    partitioned text write lays them out) → (stories_id, html), one row per file."""
     df = spark.read.text(path, wholetext=True)
+    if "stories_id" in df.columns:
+        return df.select(F.col("stories_id").cast("long"), F.col("value").alias("html"))
     sid = F.regexp_extract(F.col("_metadata.file_path"), r"([0-9]+)\.html?$", 1)
     return df.select(sid.cast("long").alias("stories_id"), F.col("value").alias("html"))
 
@@ -102,11 +105,13 @@ def read_override_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eval_labels(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-8: hand-label sheet with TWO header rows; positional columns."""
+    """SRC-8: hand-label sheet with TWO header rows; positional columns. An empty cell is an
+    empty text (a null would make the text tests of the evaluation null)."""
     cols = {"media_id": 0, "stories_id": 1, "url": 2, "byline_extracted_label": 4, "is_correct": 5,
             "byline_corrected": 6, "n_names": 8}
     df = _sheet_rows(spark, path, 2, cols)
-    return df.withColumn("stories_id", F.col("stories_id").try_cast("long"))
+    filled = df.fillna("", [c for c in cols if c != "stories_id"])
+    return filled.withColumn("stories_id", F.col("stories_id").try_cast("long"))
 
 
 def _sheet_rows(spark: SparkSession, path: str, header_rows: int, cols: dict[str, int]) -> DataFrame:

@@ -48,6 +48,7 @@ def test_eval_labels_skip_two_headers(spark):
     rows = readers.read_eval_labels(spark, p).orderBy("row_no").collect()
     assert [(r.media_id, r.stories_id, r.byline_extracted_label, r.is_correct) for r in rows] == [
         ("1", 5, "Ann Lee", "y"), ("2", 6, "Lee, Ann", "n")]
+    assert [r.byline_corrected for r in rows] == ["", "Ann Lee"]  # an empty cell is an empty text
 
 
 def test_stored_pages(spark):
@@ -57,6 +58,9 @@ def test_stored_pages(spark):
             f.write(html)
     got = {r.stories_id: r.html for r in readers.read_page_files(spark, d).collect()}
     assert got == {11: "<p>a</p>", 12: "<p>b\nc</p>"}
+    out = os.path.join(d, "by-id")
+    spark.createDataFrame([(11, "<p>a</p>"), (12, "<p>b\nc</p>")], "stories_id long, html string").write.partitionBy("stories_id").text(out)
+    assert {r.stories_id: r.html for r in readers.read_page_files(spark, out).collect()} == {k: f"{v}\n" for k, v in got.items()}
 
 
 def test_run_log_appends(spark):
