@@ -114,9 +114,17 @@ def candidates(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def verified(words: list[bytes], template: list[bytes], low: int, high: int) -> tuple[int, int, float] | None:
-    """(first word, last word, share of the template's words found in order) of a candidate."""
+    """(first word, last word, share of the template's words found in order) of the best span of a candidate.
+
+    Diagonals that go on for longer than the template (its phrases repeat) are verified in
+    stretches of its length, so a span far behind the first diagonal is found as well."""
+    spans = [_span(words, template, at, min(high - at, len(template))) for at in range(low, high + 1, max(1, len(template)))]
+    return max((s for s in spans if s), key=lambda s: (s[2], -s[0]), default=None)
+
+
+def _span(words: list[bytes], template: list[bytes], low: int, reach: int) -> tuple[int, int, float] | None:
     start = max(0, low - GAP)
-    window = words[start:low + len(template) + GAP + min(high - low, len(template))]
+    window = words[start:low + len(template) + GAP + reach]
     blocks = [b for b in difflib.SequenceMatcher(None, template, window, autojunk=False).get_matching_blocks() if b.size]
     if not blocks:
         return None

@@ -214,6 +214,10 @@ def test_licenses(spark):
     assert (got[13]["n_base"], got[13]["first_word"], got[13]["last_word"], got[13]["score"]) == (2, 5, 8, 1.0)
     assert got[14]["labels"] == "apache-2.0" and 0.7 <= got[14]["score"] <= 1 and got[14]["first_word"] is None  # a word put in
     assert got[0]["n_words"] == 0 and got[7]["labels"] == "" and got[7]["score"] == 0.0
+    # parts of a notice repeat for longer than the notice, the whole one stands last
+    far = "under the mit " * 40 + "released under the mit license"
+    r = licenses.scan(spark.createDataFrame([(1, far)], "doc_id long, text string")).first()
+    assert r["labels"] == "mit" and (max(s["last"] for s in r["spans"]), r["score"]) == (124, 1.0)
     assert licenses.scan(table(spark, [])).count() == 0
 
 
