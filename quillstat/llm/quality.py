@@ -2,10 +2,13 @@
 
 Base figures are counted per text (words, symbols, repeated lines, words in repeated
 three-word windows). The method's verdict comes from zstandard: the ratio of raw to
-compressed bytes of the whole text, and of its fixed chunks, must lie in a band. Above it a
+compressed bytes of the whole text, and of its chunks, must lie in a band. Above it a
 text is repetitive, below it is incompressible (random strings, encoded binary data). What is
-usual depends on the length (a short text has little to refer back to), so each length
-class has its own band.
+usual depends on the length (a short text has little to refer back to), so the band does too.
+
+Words of random letters compress about as well as prose, as few letters occur, but only by
+that: their compressed size stays above what coding each byte by its frequency needs, and
+their letters are more evenly used than in any prose. Chunks of ASCII letters are held against both.
 """
 
 from __future__ import annotations
@@ -21,14 +24,24 @@ WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 LEVEL = 3
 CHUNK_BYTES = 4096
-#: (up to this many bytes, lowest ratio, highest ratio) of whole texts; prose of any language
-#: written in letters lies well inside.
-DOCUMENT_BANDS = ((128, 0.0, 3.0), (512, 1.05, 3.0), (1024, 1.15, 3.0), (4096, 1.25, 3.5), (16_384, 1.35, 4.0),
-                  (None, 1.4, 5.0))
-#: The same for chunks; the last chunk of a text has the class of its own length.
-CHUNK_BANDS = ((128, 0.0, 3.0), (512, 1.0, 3.5), (1024, 1.1, 3.5), (None, 1.2, 4.0))
-#: A text fails when more than this share of its chunk bytes is out of the band.
-BAD_CHUNK_SHARE = 0.25
+#: Chunks start at every ``CHUNK_STEP`` bytes, so that a foreign part never halves on a border.
+CHUNK_STEP = CHUNK_BYTES // 2
+#: (bytes, lowest ratio), read between by the logarithm of the length and constant outside: above base64
+#: (1.13 at 384 bytes, 1.18, 1.22, 1.26, 1.30 and 1.31 at 512, 768, 1,024, 2,048 and 4,096), below prose.
+FLOOR = ((128, 0.0), (129, 0.95), (256, 1.1), (384, 1.18), (512, 1.26), (768, 1.34), (1024, 1.42), (2048, 1.5), (4096, 1.55))
+#: (up to this many bytes, highest ratio) of whole texts and of chunks.
+DOCUMENT_TOPS = ((1024, 3.0), (4096, 3.5), (16_384, 4.0), (None, 5.0))
+CHUNK_TOPS = ((128, 3.0), (1024, 3.5), (None, 4.0))
+#: (bytes, gain): random letters stay below this gain (bytes that coding by frequency needs, through compressed bytes).
+RANDOM_GAIN = ((256, 0.8), (384, 0.855), (512, 0.885), (768, 0.92), (1024, 0.945), (2048, 0.97), (4096, 0.99))
+#: Bits a letter: English, French, German and Spanish need 3.6 to 4.2, evenly drawn letters 4.4 to 4.7.
+RANDOM_BITS = 4.34
+#: A chunk of over ``CHUNK_STEP`` bytes below this gain repeats nothing, whatever its letters (hexadecimal digits).
+LEAST_GAIN = 0.96
+#: The tests of gain are for chunks with at most this share of non-ASCII bytes (other scripts have other figures).
+OTHER_BYTES = 0.1
+#: A text fails when more than this share of its bytes lies in chunks out of the band.
+BAD_CHUNK_SHARE = 0.15
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
@@ -54,8 +67,34 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def limits(bands: tuple, size: int) -> tuple[float, float]:
-    return next((low, high) for top, low, high in bands if top is None or size <= top)
+def between(points: tuple, size: int) -> float:
+    return float(np.interp(np.log2(size), *POINTS[points]))
+
+
+POINTS = {points: (np.log2([n for n, _ in points]), [y for _, y in points]) for points in (FLOOR, RANDOM_GAIN)}
+
+
+def top_of(tops: tuple, size: int) -> float:
+    return next(high for top, high in tops if top is None or size <= top)
+
+
+def bits(counts: np.ndarray) -> float:
+    """Entropy of the counts' shares."""
+    counts = counts[counts > 0]
+    n = counts.sum()
+    return float((counts * np.log2(n / counts)).sum() / n)
+
+
+def random_letters(raw: bytes, compressed: int) -> bool:
+    values = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    if values[128:].sum() > OTHER_BYTES * len(raw):
+        return False
+    gain = bits(values) * len(raw) / 8 / compressed
+    if len(raw) > CHUNK_STEP and gain < LEAST_GAIN:
+        return True
+    letters = values[97:123] + values[65:91]
+    rest = values[:128].sum() - letters.sum()
+    return gain < between(RANDOM_GAIN, len(raw)) and bits(np.append(letters, [rest, *values[128:]])) >= RANDOM_BITS
 
 
 class Judge:
@@ -64,20 +103,25 @@ class Judge:
 
         self.size = lambda raw, c=zstandard.ZstdCompressor(level=LEVEL): len(c.compress(raw))
 
+    def fits(self, chunk: bytes) -> bool:
+        size = self.size(chunk)
+        return (between(FLOOR, len(chunk)) <= len(chunk) / size <= top_of(CHUNK_TOPS, len(chunk))
+                and not random_letters(chunk, size))
+
     def compression(self, raw: bytes) -> tuple[float | None, float, bool]:
         """(ratio of the whole, share of bytes in bad chunks, inside the bands)."""
         if not raw:
             return None, 0.0, True
         ratio = len(raw) / self.size(raw)
-        bad = 0
-        for at in range(0, len(raw), CHUNK_BYTES):
+        bad = done = 0
+        for at in range(0, max(1, len(raw) - CHUNK_STEP), CHUNK_STEP):
             chunk = raw[at:at + CHUNK_BYTES]
-            low, high = limits(CHUNK_BANDS, len(chunk))
-            if not low <= len(chunk) / self.size(chunk) <= high:
-                bad += len(chunk)
-        low, high = limits(DOCUMENT_BANDS, len(raw))
+            if not self.fits(chunk):
+                bad += at + len(chunk) - max(at, done)
+                done = at + len(chunk)
         share = bad / len(raw)
-        return ratio, share, low <= ratio <= high and share <= BAD_CHUNK_SHARE
+        inside = between(FLOOR, len(raw)) <= ratio <= top_of(DOCUMENT_TOPS, len(raw))
+        return ratio, share, inside and share <= BAD_CHUNK_SHARE
 
     def row(self, text: str | None) -> tuple:
         raw = (text or "").encode()

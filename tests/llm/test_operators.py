@@ -1,9 +1,11 @@
 """Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows,
 empty tables and extra columns."""
 
+import base64
 import collections
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -118,6 +120,35 @@ def test_quality(spark):
     assert kept.columns == table(spark).columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_quality_rejects_encoded_and_random_texts(spark):
+    judge = quality.Judge()
+    random.seed(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").collect()
+    # a row, also one whose language is misnamed, is clean where the base figures pass
+    rows = [(r["lang"], judge.row(r["text"])) for r in docs]
+    assert {lang for lang, r in rows if not r[-2]} >= {"en", "de", "fr", "es"}
+    assert all(r[-1] for _, r in rows if not r[-2])
+    noise = lambda n: base64.encodebytes(random.randbytes(n)).decode()[:n]
+    # 51 words of base64, and every class by the base64 of a length
+    text = re.sub(r"\s", "", noise(4500))
+    words = " ".join(text[i * 75:i * 75 + 75] for i in range(51))
+    assert 3800 < len(words) < 4000 and judge.row(words)[-2:] == (False, False)
+    for n in (300, 400, 600, 900, 1500, 3000, 5000, 20_000, 60_000):
+        assert not judge.compression(noise(n).encode())[2], n
+    for most in (7, 10):
+        for n in (404, 500, 700, 1000, 1500, 2500, 4096, 4200, 9000, 20_000, 140_000):
+            words = " ".join("".join(random.choices(string.ascii_lowercase, k=random.randint(2, most))) for _ in range(n))[:n]
+            assert judge.row(words)[-2:] == (False, False), n
+    # 60 KB of prose with base64 in one piece, wherever it lies
+    prose = "\n".join(t for t in (r["text"] for r, (_, v) in zip(docs, rows) if v[-1]) if len(t) > 1000)
+    assert len(prose) > 60_000 and judge.compression(prose[:60_000].encode())[2]
+    for part in (0.8, 0.6, 0.4, 0.2):
+        size = int(60_000 * part)
+        for at in (0, 777, 3000):
+            mixed = prose[:at] + noise(size) + prose[at:60_000 - size]
+            assert judge.row(mixed)[-2:] == (False, False), (part, at)
+
+
 def test_pieces(spark):
     path = queries.PIECE_BPE
     a = pieces.encode(table(spark), path, seed=1)
