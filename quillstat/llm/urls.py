@@ -4,7 +4,7 @@ A rule decides where one fits. Urls that a rule decides are also the labelled ur
 bounded sample of them trains Spark ML's gradient-boosted trees, which decide all others.
 Features are lexical only (lengths, depth, digit ratio, character entropy, parameter and
 sign counts) plus statistics of the host's suffixes: how often urls with the same last
-label, and the same last two labels, are blocked among the labelled ones. All of it is
+label, and the same last two labels, are blocked among all labelled ones. All of it is
 DataFrame work in the JVM.
 """
 
@@ -22,8 +22,12 @@ from quillstat.llm.common import unused, written
 
 #: (host, path, verdict), as given
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Bound of the training sample (distinct labelled urls, chosen by hash); it also bounds the suffix table.
+#: Bound of the rows that train the trees (distinct labelled urls, chosen by hash); the suffixes count all labelled urls.
 TRAIN_URLS = 20_000
+#: Suffixes that are broadcast at most; the rarer ones of a larger table are joined by a shuffle.
+BROADCAST_SUFFIXES = 40_000
+#: A suffix's urls are spread over this many join keys.
+SALTS = 8
 TREES, DEPTH, SEED = 12, 4, 42
 #: Weight of the overall block rate in a suffix's rate.
 PRIOR = 10.0
@@ -84,10 +88,10 @@ def lexical(urls: DataFrame, url: str, host: str, path: str) -> DataFrame:
 
 @dataclass
 class UrlModel:
-    """``trees`` is None where the labelled urls do not show both verdicts; then all are allowed."""
+    """``trees`` is None where the training urls do not show both verdicts; then all are allowed."""
 
     trees: GBTClassificationModel | None
-    suffixes: DataFrame | None
+    suffixes: tuple[DataFrame, DataFrame | None] | None
     rate: float
 
     def scored(self, urls: DataFrame) -> DataFrame:
@@ -100,31 +104,54 @@ class UrlModel:
 
 
 def suffix_table(labelled: DataFrame) -> DataFrame:
-    """(suffix, n, blocked) of both suffix lengths, from the bounded sample: at most two rows for each url."""
+    """(suffix, n, blocked) of both suffix lengths, from all of ``labelled`` (f_last, f_two, label)."""
     each = labelled.select(F.explode(F.array("f_last", "f_two")).alias("suffix"), "label")
     return each.groupBy("suffix").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").alias("blocked"))
 
 
-def with_suffixes(urls: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
+def by_frequency(suffixes: DataFrame, urls: int, most: int = BROADCAST_SUFFIXES) -> tuple[DataFrame, DataFrame | None]:
+    """``suffixes`` of so many labelled ``urls``: (at most ``most`` to broadcast, the others or None).
+
+    The counts add up to twice the urls, so no more than ``most`` suffixes reach ``2 * urls / most``."""
+    if suffixes.limit(most + 1).count() <= most:
+        return suffixes, None
+    often = F.col("n") >= 2 * urls / most
+    return suffixes.where(often), suffixes.where(~often)
+
+
+def with_suffixes(urls: DataFrame, suffixes: tuple[DataFrame, DataFrame | None], rate: float) -> DataFrame:
+    frequent, rare = suffixes
     for name in ("last", "two"):
-        # at most 2 * TRAIN_URLS short rows by construction
-        side = F.broadcast(suffixes.select(F.col("suffix").alias(f"f_{name}"), F.col("n").alias("f_n"), F.col("blocked").alias("f_b")))
+        key = f"f_{name}"
+        side = frequent.select(F.col("suffix").alias(key), F.col("n").alias("f_n"), F.col("blocked").alias("f_b"))
+        urls = urls.join(F.broadcast(side), key, "left")  # bounded by by_frequency
+        if rare is not None:
+            # urls of frequent suffixes find nothing here and go anywhere; no salt of theirs is one of the table's
+            spread = F.xxhash64(F.monotonically_increasing_id())
+            salt = F.when(F.col("f_n").isNull(), F.pmod(spread, F.lit(SALTS))).otherwise(F.lit(SALTS) + F.pmod(spread, F.lit(1 << 20)))
+            every = rare.select(F.col("suffix").alias(key), F.col("n").alias("f_n2"), F.col("blocked").alias("f_b2"),
+                                F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("f_salt"))
+            urls = (urls.withColumn("f_salt", salt).join(every, [key, "f_salt"], "left").withColumn("f_n", F.coalesce("f_n", "f_n2"))
+                    .withColumn("f_b", F.coalesce("f_b", "f_b2")).drop("f_salt", "f_n2", "f_b2"))
         n, b = F.coalesce("f_n", F.lit(0.0)), F.coalesce("f_b", F.lit(0.0))
-        urls = (urls.join(side, f"f_{name}", "left").withColumn(f"f_{name}_rate", (b + PRIOR * rate) / (n + PRIOR))
+        urls = (urls.withColumn(f"f_{name}_rate", (b + PRIOR * rate) / (n + PRIOR))
                 .withColumn(f"f_{name}_count", F.log1p(n)).drop("f_n", "f_b"))
     return urls
 
 
-def train(labelled: DataFrame, train_urls: int = TRAIN_URLS) -> UrlModel:
-    """Fit on ``labelled`` (url, host, path, verdict): distinct urls, at most ``train_urls`` of them by hash."""
+def train(labelled: DataFrame, train_urls: int = TRAIN_URLS, most: int = BROADCAST_SUFFIXES) -> UrlModel:
+    """Fit on ``labelled`` (url, host, path, verdict): distinct urls, at most ``train_urls`` of them by hash
+    for the trees; the suffixes and the block rate are of all."""
     distinct = labelled.where("url is not null").groupBy("url").agg(*[F.min(c).alias(c) for c in ("host", "path", "verdict")])
-    sample = distinct.orderBy(F.xxhash64("url"), "url").limit(train_urls)
-    sample = written(lexical(sample, "url", "host", "path").withColumn("label", (F.col("verdict") == "block").cast("double")), "urls")
-    n, blocked = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
-    if not n or not 0 < blocked < n:
+    distinct = written(lexical(distinct, "url", "host", "path").select("url", "host", "path", "f_last", "f_two", (
+        F.col("verdict") == "block").cast("double").alias("label")), "urls")
+    sample = distinct.drop("f_last", "f_two").orderBy(F.xxhash64("url"), "url").limit(train_urls)
+    sample = written(lexical(sample, "url", "host", "path"), "sample")
+    if sample.select("label").distinct().count() < 2:
         return UrlModel(None, None, 0.0)
+    n, blocked = distinct.agg(F.count(F.lit(1)), F.sum("label")).first()
     rate = blocked / n
-    suffixes = written(suffix_table(sample), "suffixes")
+    suffixes = by_frequency(written(suffix_table(distinct), "suffixes"), n, most)
     ready = VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="f_vector").transform(with_suffixes(sample, suffixes, rate))
     trees = GBTClassifier(featuresCol="f_vector", labelCol="label", predictionCol="f_prediction", maxIter=TREES,
                           maxDepth=DEPTH, seed=SEED).fit(ready.select("f_vector", "label"))

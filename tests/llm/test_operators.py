@@ -194,6 +194,28 @@ def test_urls(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_url_suffixes_count_all_labelled_urls(spark):
+    rows = [(f"http://h{i}.s{i % 40}.{'net' if i % 3 else 'org'}/{i}", f"h{i}.s{i % 40}.{'net' if i % 3 else 'org'}", f"/{i}",
+             "block" if i % 3 else "allow") for i in range(300)]
+    labelled = spark.createDataFrame(rows + rows[:20], "url string, host string, path string, verdict string")
+    want = collections.defaultdict(lambda: [0, 0])
+    for _, host, _, verdict in rows:
+        for suffix in (host.split(".")[-1], ".".join(host.split(".")[-2:])):
+            want[suffix][0] += 1
+            want[suffix][1] += verdict == "block"
+    scores = []
+    for most in (urls.BROADCAST_SUFFIXES, 8):  # all broadcast; only the frequent ones
+        model = urls.train(labelled, train_urls=30, most=most)
+        frequent, rare = model.suffixes
+        parts = [frequent.collect(), rare.collect() if rare is not None else []]
+        assert (rare is None) == (most > 8) and len(parts[0]) <= most
+        assert {r["suffix"]: [r["n"], r["blocked"]] for p in parts for r in p} == want and model.rate == 200 / 300
+        asked = urls.lexical(labelled.union(spark.createDataFrame([("http://x.new/", "x.new", "/", None)], labelled.schema)), "url", "host", "path")
+        got = urls.with_suffixes(asked, model.suffixes, model.rate).select("url", "f_last_rate", "f_last_count", "f_two_rate", "f_two_count")
+        scores.append(sorted(map(tuple, got.collect())))
+    assert scores[0] == scores[1] and len(scores[0]) == 321
+
+
 @pytest.mark.parametrize("split", [simhash.SPLIT_MEMBERS, 3])
 def test_simhash_components(spark, split):
     random.seed(2)
