@@ -169,7 +169,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, split: int = SPLIT_MEMBERS
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORDS) -> DataFrame:
-    """doc_id, h (hash of the text), fp, component_id for every row of ``docs``.
+    """doc_id, h (hash of the text), fp, component_id, root (the group's smallest fingerprint) for every row of ``docs``.
 
     component_id is the smallest doc_id reachable over links, itself included (null only where
     all ids reachable are null). A null or empty text has fingerprint zero, linked like
@@ -181,8 +181,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, words: int = WORD
               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     rooted = written(rooted, "roots")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", "h", "fp", "component_id")
+    of_fp = rooted.select("fp", "root").join(named, "root")
+    return rows.join(of_fp, "fp").select("doc_id", "h", "fp", "component_id", "root")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
@@ -191,11 +191,11 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each group: that with the smallest id
-    (rows that share it: the one with the smallest text hash, once)."""
-    found = near_duplicates(docs)
-    first = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .groupBy("doc_id").agg(F.min("h").alias("h")))
+    """The rows of ``docs``, all columns, with one document of each group: that with the smallest id,
+    nulls last (rows that share it: the one with the smallest text hash, once). An id in several
+    unlinked groups can stand for each of them."""
+    order = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("h"))
+    first = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("least")).select("least.doc_id", "least.h")
     # plain equal keys (a null id as zero and a flag), so that the semi join and the removal of
     # repeated rows share one exchange of the texts
     keys = [unused(k, docs.columns) for k in ("key_id", "key_null", "key_hash")]

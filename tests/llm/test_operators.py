@@ -261,6 +261,15 @@ def test_simhash_report(spark):
     assert kept == sorted({r["component_id"] for r in got.values()}) and simhash.simhash_report(table(spark, [])).count() == 0
 
 
+def test_keep_first_takes_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    keep = lambda rows: sorted(map(repr, map(tuple, simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    want = lambda *rows: sorted(map(repr, rows))
+    # unrelated texts under one id and under null, copies beside them
+    assert keep([(7, a), (7, b), (7, a), (None, c), (None, a), (9, b)]) == want((7, a), (7, b), (None, c))
+    assert keep([(None, a), (None, b), (None, b), (None, c)]) == want((None, a), (None, b), (None, c))
+
+
 def test_licenses(spark):
     got = {r["doc_id"]: r for r in licenses.scan(table(spark)).collect()}
     assert (got[13]["base_labels"], got[13]["labels"]) == ("cc-by,reserved", "cc-by,mit,reserved")
