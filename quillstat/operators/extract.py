@@ -4,8 +4,8 @@ Plan shape (one story = one row, no shuffle of HTML):
 
     stories ─┬─ broadcast ⋈ media (outlet)          (size-checked, ~10 rows)
              └─ ⋈ pages on stories_id (left)         (the only big join)
-                 → mapInPandas: ONE html.parser pass per page evaluates the
-                   outlet's byline and section-tag rules in priority order
+                 → page gate, then mapInArrow: ONE html.parser pass per page evaluates
+                   the byline and section-tag rules in priority order
                  → native expressions: byline clean-up, section from URL
                    (rules compiled into a CASE over outlet), is_opinion,
                    full text (regex tag strip + tokens), gender counts.
@@ -19,13 +19,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstat.functions.text import _c, collapse_ws, strip_tags, strip_ws, token_string
-from quillstat.operators import htmldom
+from quillstat.operators import gate, htmldom
 from quillstat.operators.joins import collect_small, small_side
 from quillstat.sources import rules as R
 
@@ -134,54 +134,75 @@ HIT_TYPE = T.ArrayType(T.StructType([
 ]))
 
 
-def _page_hits_fn(byline_rules: dict, section_rules: dict, html_col: str):
-    outlets = sorted(set(byline_rules) | set(section_rules))
+def _scan(pages: DataFrame, html_col: str, candidates: Column, hit_type: T.ArrayType, make) -> DataFrame:
+    """Pages → same rows without the HTML plus ``hits``. ``make()`` (once per task) gives a function of
+    (html, candidate keys) that returns a list of hit dicts.
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cb = _compile(byline_rules)
-        cs = _compile(section_rules)
-        for pdf in batches:
-            col = []
-            for html in pdf[html_col]:
-                if html is None:
-                    col.append(None)
-                    continue
-                hits = []
+    Pages without candidates keep their row with no hits; their HTML does not leave the JVM."""
+    keep = [f for f in pages.schema.fields if f.name != html_col]
+    keys = pages.withColumn("_keys", candidates)
+    asked = keys.select(*[F.col(f.name) for f in keep], F.when(F.size("_keys") > 0, F.col(html_col)).alias("_html"), "_keys")
+    out = T.StructType(keep + [T.StructField("hits", hit_type)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        work, arrow = make(), to_arrow_type(hit_type)
+        for batch in batches:
+            n = batch.num_columns
+            hits = [None if ks is None else work(html, ks) if ks else []
+                    for html, ks in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n - 2], pa.array(hits, arrow)], names=[f.name for f in out.fields])
+
+    return asked.mapInArrow(run, out)
+
+
+def _page_hits_fn(byline_rules: dict, section_rules: dict):
+    def make():
+        cb, cs = _compile(byline_rules), _compile(section_rules)
+
+        def work(html: str, outlets: list[str]) -> list[dict]:
+            try:
+                page = htmldom.Page(html)
+            except Exception as e:  # unparsable page: every outlet fails the same way
+                return [{"outlet": o, "byline_value": None, "byline_rule": None, "section_value": None,
+                         "section_rule": None, "error": type(e).__name__, "section_error": None} for o in outlets]
+            hits = []
+            for o in outlets:
+                bv = br = sv = sr = err = section_err = None
                 try:
-                    page = htmldom.Page(html)
-                except Exception as e:  # unparsable page: every outlet fails the same way
-                    col.append([{"outlet": o, "byline_value": None, "byline_rule": None, "section_value": None,
-                                 "section_rule": None, "error": type(e).__name__, "section_error": None}
-                                for o in outlets])
-                    continue
-                for o in outlets:
-                    bv = br = sv = sr = err = section_err = None
-                    try:
-                        bv, br = _first_hit(page, cb.get(o, []))
-                    except Exception as e:  # e.g. the chosen element lacks the attribute
-                        err = type(e).__name__
-                    try:  # counts only where no URL rule gives the section
-                        sv, sr = _first_hit(page, cs.get(o, []))
-                    except Exception as e:
-                        section_err = type(e).__name__
-                    if any(x is not None for x in (br, sr, err, section_err)):  # absent = nothing found
-                        hits.append({"outlet": o, "byline_value": bv, "byline_rule": br, "section_value": sv,
-                                     "section_rule": sr, "error": err, "section_error": section_err})
-                col.append(hits)
-            out = pdf.drop(columns=[html_col])
-            out["hits"] = pd.Series(col, index=pdf.index, dtype=object)
-            yield out
-    return scan
+                    bv, br = _first_hit(page, cb.get(o, []))
+                except Exception as e:  # e.g. the chosen element lacks the attribute
+                    err = type(e).__name__
+                try:  # counts only where no URL rule gives the section
+                    sv, sr = _first_hit(page, cs.get(o, []))
+                except Exception as e:
+                    section_err = type(e).__name__
+                if any(x is not None for x in (br, sr, err, section_err)):  # absent = nothing found
+                    hits.append({"outlet": o, "byline_value": bv, "byline_rule": br, "section_value": sv,
+                                 "section_rule": sr, "error": err, "section_error": section_err})
+            return hits
+        return work
+    return make
 
 
-def page_hits(pages: DataFrame, rules_df: DataFrame | None = None, html_col: str = "html") -> DataFrame:
-    """Pages → same rows without the HTML plus ``hits``: for EVERY outlet with rules, the
-    first byline and section-tag hit. The page is parsed once, where it is read; only
-    these small structs travel to the story join (the HTML is never shuffled)."""
+def _tag_rules(rules_df: DataFrame | None) -> tuple[dict, dict]:
     rows = _rule_rows(rules_df)
-    fn = _page_hits_fn(_by_outlet(rows, "byline"), _by_outlet(rows, "section_tag"), html_col)
-    keep = [f for f in pages.schema.fields if f.name != html_col]
-    return pages.mapInPandas(fn, T.StructType(keep + [T.StructField("hits", HIT_TYPE)]))
+    return _by_outlet(rows, "byline"), _by_outlet(rows, "section_tag")
+
+
+def page_hits(pages: DataFrame, rules_df: DataFrame | None = None, html_col: str = "html") -> DataFrame:
+    """Pages → same rows without the HTML plus ``hits``: for every outlet with rules, the
+    first byline and section-tag hit (null for a null page). A page is parsed once, where it is read, and only
+    for outlets whose rules the page gate lets pass; only these small structs travel to the story join (the
+    HTML is never shuffled)."""
+    byline, section = _tag_rules(rules_df)
+    return _scan(pages, html_col, gate.outlet_candidates(F.col(html_col), [byline, section]), HIT_TYPE, _page_hits_fn(byline, section))
+
+
+def gate_report(pages: DataFrame, rules_df: DataFrame | None = None, html_col: str = "html") -> DataFrame:
+    """One row: n_pages, n_parsed (pages that any rule can match) and n_tried (outlets tried on them)."""
+    return gate.report(pages, gate.outlet_candidates(F.col(html_col), list(_tag_rules(rules_df))), html_col)
 
 
 def pages_for(stories: DataFrame, pages: DataFrame, story_ids_bound: int | None,
@@ -318,39 +339,38 @@ LEGACY_HIT_TYPE = T.ArrayType(T.StructType([
 ]))
 
 
-def _legacy_fn(per_media: dict[str, list[tuple]], html_col: str):
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            col = []
-            for html in pdf[html_col]:
+def _legacy_fn(per_media: dict[str, list[tuple]]):
+    def make():
+        def work(html: str, media: list[str]) -> list[dict]:
+            try:
+                page = htmldom.Page(html)
+            except Exception as e:
+                return [{"media_id": m, "foundwith": None, "byline": None, "status": type(e).__name__} for m in media]
+            hits = []
+            for mid in media:
+                f = b = None
+                s = "Included not found"
                 try:
-                    page = htmldom.Page(html or "")
-                except Exception as e:
-                    col.append([{"media_id": m, "foundwith": None, "byline": None, "status": type(e).__name__}
-                                for m in per_media])
-                    continue
-                hits = []
-                for mid, lst in per_media.items():
+                    for tag, attr, value in per_media[mid]:
+                        i = htmldom.find_first(page, tag, attr, value)
+                        if i >= 0:
+                            b = page.attrs[i]["content"] if tag == "meta" else page.text(i)
+                            f = f"{tag}[{attr}={value}]"
+                            s = "found"
+                            break
+                except Exception as e:  # e.g. a meta tag without content
                     f = b = None
-                    s = "Included not found"
-                    try:
-                        for tag, attr, value in lst:
-                            i = htmldom.find_first(page, tag, attr, value)
-                            if i >= 0:
-                                b = page.attrs[i]["content"] if tag == "meta" else page.text(i)
-                                f = f"{tag}[{attr}={value}]"
-                                s = "found"
-                                break
-                    except Exception as e:  # e.g. a meta tag without content
-                        f = b = None
-                        s = type(e).__name__
-                    if s != "Included not found":  # absent = nothing found for this media id
-                        hits.append({"media_id": mid, "foundwith": f, "byline": b, "status": s})
-                col.append(hits)
-            out = pdf.drop(columns=[html_col])
-            out["hits"] = pd.Series(col, index=pdf.index, dtype=object)
-            yield out
-    return scan
+                    s = type(e).__name__
+                if s != "Included not found":  # absent = nothing found for this media id
+                    hits.append({"media_id": mid, "foundwith": f, "byline": b, "status": s})
+            return hits
+        return work
+    return make
+
+
+def legacy_hits(pages: DataFrame, per_media: dict[str, list[tuple]]) -> DataFrame:
+    """(stories_id, hits): the first legacy rule found for every media id, behind the page gate."""
+    return _scan(pages.select("stories_id", "html"), "html", gate.media_candidates(F.col("html"), per_media), LEGACY_HIT_TYPE, _legacy_fn(per_media))
 
 
 def legacy_extract(stories: DataFrame, pages: DataFrame, legacy_rules: DataFrame | None = None,
@@ -358,8 +378,8 @@ def legacy_extract(stories: DataFrame, pages: DataFrame, legacy_rules: DataFrame
     """Stories ⋈ pages → (story columns, foundwith, byline, status). status is 'found',
     'Included not found', 'Not included' (media without rules) or an exception type.
 
-    Pages are scanned where they are read, for every media id of the rule table; only
-    the small hit structs are joined to the stories."""
+    Pages are scanned where they are read, for every media id of the rule table that the page gate
+    lets pass; only the small hit structs are joined to the stories."""
     if legacy_rules is None:
         rows = R.legacy_rule_rows()
     else:
@@ -368,9 +388,7 @@ def legacy_extract(stories: DataFrame, pages: DataFrame, legacy_rules: DataFrame
     per: dict[str, list[tuple]] = {}
     for mid, tag, attr, value, prio in sorted(rows, key=lambda r: r[4]):
         per.setdefault(mid, []).append((tag, attr, value))
-    hits = pages_for(stories, pages, story_ids_bound).select("stories_id", "html").mapInPandas(
-        _legacy_fn(per, "html"), T.StructType([T.StructField("stories_id", T.LongType()),
-                                               T.StructField("hits", LEGACY_HIT_TYPE)]))
+    hits = legacy_hits(pages_for(stories, pages, story_ids_bound), per)
     j = stories.join(hits, "stories_id", "left")
     hit = F.try_element_at(F.filter("hits", lambda h: h["media_id"] == F.col("media_id")), F.lit(1))
     has_rules = F.col("media_id").isin(list(per))
