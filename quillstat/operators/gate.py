@@ -1,7 +1,7 @@
 """Page gate: which outlets' rules can find anything on a page, from its raw text.
 
 A selector step ``tag[attr="value"]`` needs its value to stand behind an ``=`` in the raw
-page (or, for one of several classes, as a word of its own); a step without a value needs
+page (or, for one of several classes, anywhere in it); a step without a value needs
 ``<tag``. These needles are looked for by native regular expressions, in one pass each,
 before any parse. A page that no rule can match is not parsed and its HTML does not reach
 Python; on the others only outlets whose needles occur are tried.
@@ -74,23 +74,20 @@ class Needles:
         parts = sorted(self.whole | self.start, key=lambda v: (-len(v), v))
         return f"=(?={_WS}*[\"']?(" + "|".join(_quote(v) + ("" if v in self.start else r"(?!\w)") for v in parts) + "))"
 
-    def _words_pattern(self) -> str:
-        return r"(?<![\w-])(?=(" + "|".join(_quote(v) for v in sorted(self.words, key=lambda v: (-len(v), v))) + r")(?![\w-]))"
-
     def _tags_pattern(self) -> str:
         # the Kelvin sign is a small k to the parser
         spelled = ["".join("[kK\u212a]" if c == "k" else f"[{c}{c.upper()}]" if c.isalpha() else _quote(c) for c in t) for t in sorted(self.tags, key=lambda t: (-len(t), t))]
         return "<(?=(" + "|".join(spelled) + "))"
 
     def doubtful_pattern(self) -> str:
-        """Pages on which raw text and parsed attributes can differ in a needle, or the parse can fail."""
+        """Character references by which raw text and parsed attributes can differ in a needle."""
         letters = set("".join(self.whole | self.start | self.words))
         codes = [c for c in (*range(1, 0x180), *range(0xFDD0, 0xFDF0), *(p << 16 | x for p in range(17) for x in (0xFFFE, 0xFFFF)))
                  if not (image := html.unescape(f"&#{c};")) or letters & set(image)]
         named = [k for k, v in html.entities.html5.items() if letters & set(v)]
         refs = ["#0*(?:" + "|".join(map(str, codes)) + r")(?!\d)", "#[xX]0*(?i:" + "|".join(f"{c:x}" for c in codes) + ")(?![0-9a-fA-F])",
                 r"#\d+(?![\d;])", r"#[xX][0-9a-fA-F]+(?![0-9a-fA-F;])", "nbsp(?!;)", *map(_quote, sorted(named))]
-        return "&(?:" + "|".join(refs) + rf")|<!\[(?!(?i:{_READ})(?![-_.a-zA-Z0-9]))"
+        return "&(?:" + "|".join(refs) + ")"
 
     def candidates(self, page: Column, rules: dict[str, list[list[tuple[str, str]]]]) -> Column:
         """The keys of ``rules`` (key -> the needs of each of its rules) that can find something
@@ -100,16 +97,22 @@ class Needles:
         def find(pattern: str, any_needle: Iterable) -> Column:
             return F.array_distinct(F.regexp_extract_all(page, F.lit(pattern), F.lit(1))) if any_needle else nothing
 
+        # patterns of their own: each begins with a plain character, which is quick to look for
+        doubt = page.rlike(self.doubtful_pattern()) | (page.contains("<![") & page.rlike(rf"<!\[(?!(?i:{_READ})(?![-_.a-zA-Z0-9]))"))
+        words = sorted(self.words)
         found = F.struct(find(self._values_pattern() if self.whole | self.start else "", self.whole | self.start).alias("value"),
-                         find(self._words_pattern() if self.words else "", self.words).alias("word"),
                          F.transform(find(self._tags_pattern() if self.tags else "", self.tags),
                                      lambda t: F.translate(F.lower(t), "\u212a", "k")).alias("tag"),
-                         page.rlike(self.doubtful_pattern()).alias("doubt"))
-        known = {"value": self.whole | self.start, "word": self.words, "tag": self.tags}
+                         doubt.alias("doubt"), *[page.contains(w).alias(f"w{i}") for i, w in enumerate(words)])
+        known = {"value": self.whole | self.start, "tag": self.tags}
 
         def test(f: Column, kind: str, needle: str) -> Column:
-            longer = sorted(v for v in known[kind] if v.startswith(needle))
-            return F.arrays_overlap(f[kind], F.array(*map(F.lit, longer)))
+            if kind == "word":
+                return f[f"w{words.index(needle)}"]
+            any_of = F.lit(False)  # the needle, or a longer one that begins with it
+            for v in sorted(v for v in known[kind] if v.startswith(needle)):
+                any_of = any_of | F.array_contains(f[kind], v)
+            return any_of
 
         def passed(f: Column) -> Column:
             keys = []
@@ -121,7 +124,10 @@ class Needles:
                         all_found = all_found & test(f, kind, needle)
                     any_rule = any_rule | all_found
                 keys.append(F.when(f["doubt"] | any_rule, F.lit(key)))
-            return F.filter(F.array(*keys), lambda k: k.isNotNull()) if keys else nothing
+            none = ~f["doubt"] & (F.size(f["value"]) == 0) & (F.size(f["tag"]) == 0)
+            for i in range(len(words)):
+                none = none & ~f[f"w{i}"]
+            return F.when(none, nothing).otherwise(F.filter(F.array(*keys), lambda k: k.isNotNull())) if keys else nothing
 
         return F.when(page.isNotNull(), let(found, passed))
 
