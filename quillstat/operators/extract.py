@@ -250,30 +250,39 @@ def with_outlet(stories: DataFrame, media: DataFrame | None = None) -> DataFrame
 def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame | None = None,
                      media: DataFrame | None = None, full_text: bool = False,
                      compat_opinion: bool = False, story_ids_bound: int | None = None,
-                     mention_names: list[str] | None = None, months: list[str] | None = None) -> DataFrame:
+                     months: list[str] | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Stories ⋈ pages → byline, section, is_opinion (+ full_text) and a status per story.
 
     status: 'ok', or 'failed' (error holds the exception type; byline/section null).
     Unknown outlets and stories without a page give byline '' and section ''.
-    """
-    st = with_outlet(stories, media)
+    ``labels``: opinion labels (outlet, label) in place of the shipped ones.
+
+    The full text never passes through Python: it is made from the page in a branch of its own, which
+    meets the hits on the story's key."""
     pg = pages_for(stories, pages, story_ids_bound, months)
-    story_text = F.col("story_text") if "story_text" in pg.columns else F.lit(None).cast("string")
-    pg = pg.select("stories_id", "html", story_text.alias("story_text"))
-    extra = []
-    if full_text or mention_names is not None:
-        pg = pg.withColumn("full_text", full_text_col(F.col("story_text"), F.col("html")))
-    pg = pg.drop("story_text")
-    if mention_names is not None:  # M-1 page-side: only the small per-story array travels on
-        from quillstat.operators.mentions import mention_array
-        pg = pg.withColumn("mentions", mention_array(F.col("full_text"), mention_names))
-        extra.append("mentions")
+    keyed = pg.select("stories_id", "html", *([F.xxhash64("html").alias("page_hash")] if full_text else []))
+    texts = None
     if full_text:
-        extra.insert(0, "full_text")
-    else:
-        pg = pg.drop("full_text") if "full_text" in pg.columns else pg
-    hits = page_hits(pg, rules_df)
+        story_text = F.col("story_text") if "story_text" in pg.columns else F.lit(None).cast("string")
+        made = pg.select("stories_id", F.xxhash64("html").alias("h"), full_text_col(story_text, F.col("html")).alias("t"))
+        # one array per story (one text, as a rule), made where the story's key already is
+        texts = made.repartition("stories_id").groupBy("stories_id").agg(F.collect_list(F.struct("h", "t")).alias("texts"))
+    return articles_from_hits(stories, page_hits(keyed, rules_df), rules_df, media, texts, compat_opinion, labels)
+
+
+def articles_from_hits(stories: DataFrame, hits: DataFrame, rules_df: DataFrame | None = None, media: DataFrame | None = None,
+                       texts: DataFrame | None = None, compat_opinion: bool = False, labels: DataFrame | None = None) -> DataFrame:
+    """``extract_metadata`` from page hits (stories_id, hits) made before, e.g. a stored table that is bucketed like the stories.
+
+    ``texts``: (stories_id, texts array<struct<h, t>>), with hits that carry ``page_hash``."""
+    st = with_outlet(stories, media)
     out = st.join(hits, "stories_id", "left")
+    extra = []
+    if texts is not None:
+        out = out.join(texts, "stories_id", "left")
+        own = F.try_element_at(F.filter("texts", lambda t: t["h"].eqNullSafe(F.col("page_hash"))), F.lit(1))
+        out = out.withColumn("full_text", own["t"])
+        extra.append("full_text")
     hit = F.try_element_at(F.filter("hits", lambda h: h["outlet"] == F.col("outlet")), F.lit(1))
     out = out.select(*st.columns, *extra,
                      F.col("hits").isNotNull().alias("has_page"),
@@ -296,8 +305,9 @@ def extract_metadata(stories: DataFrame, pages: DataFrame, rules_df: DataFrame |
         "error", "has_page",
     ] + extra
     out = out.select(*cols)
+    rows = None if labels is None else [tuple(r) for r in collect_small(labels.select("outlet", "label"))]
     return out.withColumn("is_opinion", F.when(F.col("status") == "ok",
-                                               is_opinion("outlet", "section", compat_opinion)))
+                                               is_opinion("outlet", "section", compat_opinion, rows)))
 
 
 def extract_with_fallback(stories: DataFrame, file_pages: DataFrame, archive_pages: DataFrame,

@@ -3,12 +3,11 @@
 The name table (first_name → gender) stands in for the external guesser.
 Lookups never leave the JVM:
 
-* a table of at most ``INLINE_MAX`` names is inlined as literals so a byline's names are
-  classified inside one projection - no join, no shuffle (a longer literal list costs more
-  to plan than a join costs to run);
-* a larger table, of any size, is joined: size-checked broadcast, else sort-merge with AQE
-  skew split. Bylines go through their distinct values: ``explode`` → join → ``groupBy`` of
-  the byline → join back.
+* a table of at most ``LITERAL_BYTES`` of names (some 200,000) is searched inside the projection
+  (``functions.lookup``), so a byline's names are classified where the row is - no join, no
+  shuffle, and what made the rows (the page parse) runs once;
+* a larger one is joined on salted names, so a name that a third of all rows share is spread
+  over tasks. The rows are stored once first: neither form evaluates its input twice.
 
 ``name_lookup`` picks the form; every function here takes either and gives the same rows.
 
@@ -20,27 +19,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstat.functions.lookup import LITERAL_BYTES, bounded_values, member
 from quillstat.functions.names import drop_punct, first_names, plus_to_space, space_to_plus
 from quillstat.functions.text import _c, ascii_fold_native, let, strip_ws
 from quillstat.operators.joins import small_side
+from quillstat.session import stored
 from quillstat.sources.rules import OVERRIDE_LABELS
 
-INLINE_MAX = 500
+#: Join keys that one name's rows are spread over.
+SALTS = 16
 
 
-def name_sets(names: DataFrame, max_rows: int = INLINE_MAX) -> tuple[list[str], list[str]] | None:
-    """(female, male) lower-case first names when the table is small enough to inline."""
-    rows = names.select(F.lower("first_name").alias("n"), "gender").limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+def name_sets(names: DataFrame, max_bytes: int = LITERAL_BYTES) -> tuple[list[str], list[str]] | None:
+    """(female, male) lower-case first names when they take at most ``max_bytes``."""
+    used = names.where(F.col("gender").isin("female", "male") & F.col("first_name").isNotNull()).select(
+        F.lower("first_name").alias("n"), "gender").distinct()
+    if max_bytes <= 0 or not bounded_values(used, "n", max_bytes):
         return None
-    fem = {r.n for r in rows if r.gender == "female" and r.n is not None}
-    mal = {r.n for r in rows if r.gender == "male" and r.n is not None}
+    rows = used.collect()
+    fem = {r.n for r in rows if r.gender == "female"}
+    mal = {r.n for r in rows if r.gender == "male"}
     return sorted(fem - mal), sorted(mal - fem)  # a name listed under both is unknown
 
 
-def name_lookup(names: DataFrame, max_rows: int = INLINE_MAX) -> tuple[list[str], list[str]] | DataFrame:
-    """``name_sets(names)`` where the table is small enough to inline, else the table itself."""
-    sets = name_sets(names, max_rows)
+def name_lookup(names: DataFrame, max_bytes: int = LITERAL_BYTES) -> tuple[list[str], list[str]] | DataFrame:
+    """``name_sets(names)`` where the table is small enough for a literal, else the table itself."""
+    sets = name_sets(names, max_bytes)
     return names if sets is None else sets
 
 
@@ -51,23 +55,25 @@ def one_gender(names: DataFrame) -> DataFrame:
     return both.where("_g = _h").select("_k", "_g")
 
 
-def _in(c: Column, values: list[str]) -> Column:
-    return c.isin(values) if values else F.lit(False)
+def _salted_names(names: DataFrame) -> DataFrame:
+    """(_k, _g, _salt): ``one_gender`` once for every salt."""
+    return one_gender(names).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
 def gender_counts(names_arr: Column, sets: tuple[list[str], list[str]]) -> tuple[Column, Column, Column]:
     """female, male, unknown counts of a first-name array (a null name counts as unknown)."""
     fem, mal = sets
-    f = F.size(F.filter(names_arr, lambda n: _in(F.lower(n), fem)))
-    m = F.size(F.filter(names_arr, lambda n: _in(F.lower(n), mal)))
+    f = F.size(F.filter(names_arr, lambda n: member(F.lower(n), fem)))
+    m = F.size(F.filter(names_arr, lambda n: member(F.lower(n), mal)))
     return f, m, F.size(names_arr) - f - m
 
 
 def byline_gender(df: DataFrame, names: DataFrame, byline_col: str = "byline",
-                  key_cols: list[str] | None = None, max_inline: int = INLINE_MAX,
+                  key_cols: list[str] | None = None, max_inline: int = LITERAL_BYTES,
                   sets: tuple[list[str], list[str]] | DataFrame | None = None) -> DataFrame:
     """df + female, male, unknown (INT) over the byline's first names. ``sets``: the
-    result of ``name_lookup(names)`` when the caller already has it."""
+    result of ``name_lookup(names)`` when the caller already has it; ``max_inline``: the bytes of names
+    up to which they are searched in the projection. ``key_cols`` is no longer used (rows need no key)."""
     if sets is None:
         sets = name_lookup(names, max_inline)
     if isinstance(sets, tuple):
@@ -76,26 +82,23 @@ def byline_gender(df: DataFrame, names: DataFrame, byline_col: str = "byline",
         f, m, _ = gender_counts(F.col("_fn"), sets)
         return (tmp.withColumn("female", f).withColumn("male", m)
                 .withColumn("unknown", F.size("_fn") - F.col("female") - F.col("male")).drop("_fn"))
-    # counts per distinct byline: rows may repeat, and the rows themselves are read once more only
-    # by the join back
-    ex = (df.select(F.col(byline_col).alias("_b")).distinct()
-          .select("_b", F.posexplode_outer(first_names(F.col("_b"))).alias("_pos", "_fn")))
-    nt = small_side(one_gender(sets))
-    j = ex.join(nt, F.lower(F.col("_fn")) == F.col("_k"), "left")
-    real = F.col("_pos").isNotNull()
-    counts = j.groupBy("_b").agg(
-        F.count_if(real & (F.col("_g") == "female")).cast("int").alias("female"),
-        F.count_if(real & (F.col("_g") == "male")).cast("int").alias("male"),
-        F.count_if(real & ~F.coalesce(F.col("_g").isin("female", "male"), F.lit(False))).cast("int")
-        .alias("unknown"))
-    return df.join(counts, F.col(byline_col).eqNullSafe(F.col("_b")), "left").drop("_b")
+    # rows are stored once with a number; only (number, name) goes to the names and back
+    rows = stored(df.withColumn("_row", F.monotonically_increasing_id()), "byline-rows")
+    ex = rows.select("_row", F.explode(first_names(F.col(byline_col))).alias("_fn")).withColumns(
+        {"_k": F.lower("_fn"), "_salt": F.pmod(F.col("_row"), F.lit(SALTS)).cast("int")})
+    found = ex.join(_salted_names(sets), ["_k", "_salt"], "left").groupBy("_row").agg(
+        F.count_if(F.col("_g") == "female").cast("int").alias("_f"), F.count_if(F.col("_g") == "male").cast("int").alias("_m"),
+        F.count(F.lit(1)).cast("int").alias("_n"))
+    zero = F.lit(0)
+    return (rows.join(found, "_row", "left").withColumn("female", F.coalesce("_f", zero)).withColumn("male", F.coalesce("_m", zero))
+            .withColumn("unknown", F.coalesce("_n", zero) - F.col("female") - F.col("male")).drop("_row", "_f", "_m", "_n"))
 
 
 def guess(first_name: Column, sets: tuple[list[str], list[str]]) -> Column:
     """Gender label of a first name (null or not in the table → unknown)."""
     fem, mal = sets
-    return let(F.lower(first_name), lambda n: F.when(_in(n, fem), F.lit("female"))
-               .when(_in(n, mal), F.lit("male")).otherwise(F.lit("unknown")))
+    return let(F.lower(first_name), lambda n: F.when(member(n, fem), F.lit("female"))
+               .when(member(n, mal), F.lit("male")).otherwise(F.lit("unknown")))
 
 
 def single_name_gender(col, sets: tuple[list[str], list[str]]) -> Column:
@@ -120,8 +123,9 @@ def with_gender(df: DataFrame, name: Column, lookup: tuple[list[str], list[str]]
         return df.withColumn(out_col, (single_name_gender_ascii if fold else single_name_gender)(name, lookup))
     first = let(strip_ws(ascii_fold_native(name) if fold else name),
                 lambda s: F.lower(F.try_element_at(first_names(s), F.lit(1))))
-    joined = df.withColumn("_first", first).join(small_side(one_gender(lookup)), F.col("_first") == F.col("_k"), "left")
-    return joined.withColumn(out_col, F.coalesce("_g", F.lit("unknown"))).drop("_first", "_k", "_g")
+    keyed = df.withColumn("_k", first).withColumn("_salt", F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
+    joined = keyed.join(_salted_names(lookup), ["_k", "_salt"], "left")
+    return joined.select(*[joined[c] for c in df.columns], F.coalesce("_g", F.lit("unknown")).alias(out_col))
 
 
 # --- manual overrides ---------------------------------------------------------

@@ -1,10 +1,10 @@
 """People mentioned in article text, and who mentions them.
 
-M-1 (gazetteer match) replaces the remote people-entity service: the text's
-tokens form 2- and 3-grams inside one projection (``transform`` over
-``sequence``), the n-grams are exploded and matched against the people table
-with a size-checked broadcast join, and matches are counted per story. Only
-matched rows reach the shuffle.
+M-1 (gazetteer match) replaces the remote people-entity service. A gazetteer of any size is
+matched by an index of first tokens: an n-gram is built only where its first token
+begins a name of n tokens, so a text's n-grams are not listed. Names are then told by a literal
+lookup inside the projection, by a broadcast join, or by a salted shuffle join, by their bytes;
+the rows are the same. Null and blank names match nothing.
 """
 
 from __future__ import annotations
@@ -12,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstat.functions.lookup import LITERAL_BYTES, bounded_values, member
 from quillstat.functions.names import full_names
-from quillstat.functions.text import let, tokens
-from quillstat.operators.gender import with_gender
-from quillstat.operators.joins import small_side
+from quillstat.functions.text import tokens
+from quillstat.operators.gender import SALTS, with_gender
 from quillstat.operators.reports import opinion_filter
 
+#: Bytes of names up to which a larger gazetteer is broadcast to the join.
+BROADCAST_BYTES = 64 << 20
+
 
 def ngrams(tok: Column, n: int) -> Column:
     """All n-grams of a token array, joined by one space.
@@ -31,77 +34,63 @@ def ngrams(tok: Column, n: int) -> Column:
     return acc
 
 
-INLINE_MAX = 500
+def usable_names(people: DataFrame) -> DataFrame:
+    """(name, n, first): the distinct names that a text can hold, their number of tokens and first token."""
+    parts = F.split("name", " ")
+    return (people.where(F.col("name").isNotNull() & F.forall(parts, lambda t: t != "")).select("name").distinct()
+            .select("name", F.size(parts).alias("n"), F.element_at(parts, 1).alias("first")))
+
+
+def started_grams(tok: Column, sizes: list[int], starts: list[str]) -> Column:
+    """The n-grams (n in ``sizes``) of a token column that begin with a token that starts a name of n tokens;
+    ``starts`` holds 'n token'. ``tok`` has to be a plain column: the lambdas refer to it."""
+    per_size = []
+    for n in sizes:
+        begins = [s.split(" ", 1)[1] for s in starts if s.startswith(f"{n} ")]
+        at = F.transform(tok, lambda t, i: F.when(member(t, begins) & (i <= F.size(tok) - n), i))  # noqa: B023
+        per_size.append(F.transform(F.filter(at, lambda i: i.isNotNull()), lambda i: F.array_join(F.slice(tok, i + 1, F.lit(n)), " ")))  # noqa: B023
+    return F.concat(*per_size)
 
 
 def gazetteer_mentions(docs: DataFrame, people: DataFrame, key: str = "stories_id",
-                       text_col: str = "full_text", max_inline: int = INLINE_MAX) -> DataFrame:
+                       text_col: str = "full_text", max_inline: int = LITERAL_BYTES,
+                       max_broadcast: int = BROADCAST_BYTES, max_starts: int = LITERAL_BYTES) -> DataFrame:
     """(key, name, count): how often each gazetteer name occurs in the text.
 
-    A gazetteer of at most ``max_inline`` names is matched inside the projection
-    (hash-set membership), so only matching n-grams are exploded; a larger one is
-    matched by exploding all n-grams into a semi join (broadcast when it fits)."""
-    rows = people.select("name").distinct().limit(max_inline + 1).collect()
-    small = len(rows) <= max_inline
-    if small:
-        names = sorted({r.name for r in rows if r.name})
-        sizes = sorted({len(n.split(" ")) for n in names}) or [1]
-    else:
-        sizes = sorted(r.k for r in people.select(F.size(F.split("name", " ")).alias("k")).distinct().collect())
+    The bytes of names up to ``max_inline`` are looked up inside the projection, up to ``max_broadcast``
+    joined by broadcast, beyond that by salted names. The first tokens are a literal up to
+    ``max_starts`` bytes, beyond that joined on salted tokens as well."""
+    names = usable_names(people)
+    starts = names.select("n", "first").distinct()
     # materialise the tokens once (referenced by every n-gram size)
     docs = docs.select(key, tokens(F.col(text_col)).alias("_tok"))
-    grams = F.concat(*[ngrams(F.col("_tok"), n) for n in sizes])
-    if small:
-        hits = docs.select(key, F.explode(F.filter(grams, lambda g: g.isin(names) if names else F.lit(False)))
-                           .alias("gram"))
+    if max_starts > 0 and bounded_values(starts, "first", max_starts):
+        index = [f"{r.n} {r.first}" for r in starts.collect()]
+        if not index:
+            return docs.select(key, F.lit("").alias("name"), F.lit(0).cast("long").alias("count")).where(F.lit(False))
+        grams = started_grams(F.col("_tok"), sorted({int(s.split(" ", 1)[0]) for s in index}), index)
     else:
-        ex = docs.select(key, F.explode(grams).alias("gram"))
-        hits = ex.join(small_side(people.select(F.col("name").alias("gram")).distinct()), "gram", "left_semi")
-    return hits.groupBy(key, F.col("gram").alias("name")).agg(F.count(F.lit(1)).alias("count"))
-
-
-def gazetteer_names(people: DataFrame, max_inline: int = INLINE_MAX) -> list[str] | None:
-    """The gazetteer as a list when it is small enough to inline (checked), else None."""
-    rows = people.select("name").distinct().limit(max_inline + 1).collect()
-    return sorted({r.name for r in rows if r.name}) if len(rows) <= max_inline else None
-
-
-def mention_array(text: Column, names: list[str]) -> Column:
-    """Per-row mentions of an inlined gazetteer: array<struct<name, count>> (order of first
-    appearance), computed inside the projection - no explode, no shuffle."""
-    sizes = sorted({len(n.split(" ")) for n in names}) or [1]
-
-    def count(hits: Column) -> Column:
-        return F.transform(F.array_distinct(hits), lambda n: F.struct(
-            n.alias("name"), F.size(F.filter(hits, lambda h: h == n)).cast("long").alias("count")))
-
-    def per_tokens(tok: Column) -> Column:
-        grams = F.concat(*[ngrams(tok, k) for k in sizes])
-        return let(F.filter(grams, lambda g: g.isin(names) if names else F.lit(False)), count)
-    return let(tokens(text), per_tokens)
-
-
-def explode_mentions(articles: DataFrame) -> DataFrame:
-    """Rows (stories_id, name, count) from an articles table that carries ``mentions``."""
-    return articles.select("stories_id", F.explode("mentions").alias("m")).select(
-        "stories_id", F.col("m.name").alias("name"), F.col("m.count").alias("count"))
-
-
-def mentioned_people_in_rows(articles: DataFrame, lookup) -> DataFrame:
-    """A-6 totals from articles that carry their own ``mentions`` (one pass, no join)."""
-    op = articles.where(opinion_filter("section"))
-    m = op.select("media_name", F.explode("mentions").alias("m"))
-    agg = m.groupBy("media_name", F.col("m.name").alias("name")).agg(F.sum("m.count").cast("long").alias("n_mentions"))
-    return with_gender(agg, F.col("name"), lookup, fold=True)
-
-
-def mention_bylines_in_rows(articles: DataFrame) -> DataFrame:
-    """A-6 breakdown / M-2 / J-9 within each article row: mentions × byline people."""
-    op = articles.where(opinion_filter("section")).select(
-        "media_name", "mentions", F.explode(full_names(F.col("byline"))).alias("mentioner"))
-    m = op.select("media_name", "mentioner", F.explode("mentions").alias("m"))
-    return m.groupBy("media_name", F.col("m.name").alias("name"), "mentioner").agg(
-        F.sum("m.count").cast("long").alias("n"))
+        grams = None
+    if grams is not None and max_inline > 0 and bounded_values(names, "name", max_inline):
+        listed = [r.name for r in names.select("name").collect()]
+        hits = docs.select(key, F.explode(F.filter(grams, lambda g: member(g, listed))).alias("gram"))
+        return hits.groupBy(key, F.col("gram").alias("name")).agg(F.count(F.lit(1)).alias("count"))
+    if grams is not None:
+        found = docs.select(key, F.explode(grams).alias("gram"))
+    else:
+        # each token with the longest name's window behind it goes to the names' first tokens
+        longest = names.agg(F.max("n")).first()[0] or 0
+        windows = docs.select(key, F.posexplode(F.transform(F.col("_tok"), lambda t, i: F.slice(F.col("_tok"), i + 1, F.lit(max(longest, 1))))).alias("_at", "_win"))
+        windows = windows.withColumns({"first": F.element_at("_win", 1), "_salt": F.pmod(F.xxhash64(key, "_at"), F.lit(SALTS)).cast("int")})
+        found = windows.join(starts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["first", "_salt"]).where(
+            F.size("_win") >= F.col("n")).select(key, F.array_join(F.slice("_win", F.lit(1), F.col("n")), " ").alias("gram"))
+    counted = found.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("count"))
+    if bounded_values(names, "name", max_broadcast):
+        known = counted.join(F.broadcast(names.select(F.col("name").alias("gram"))), "gram", "left_semi")
+    else:
+        salted = names.select(F.col("name").alias("gram"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        known = counted.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["gram", "_salt"], "left_semi")
+    return known.select(key, F.col("gram").alias("name"), "count")
 
 
 def mentioned_people(articles: DataFrame, mentions: DataFrame, lookup) -> DataFrame:

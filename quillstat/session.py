@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -58,7 +59,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # remote session: the server side owns the checkpoint folder
-        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstat-ckpt-", dir="/tmp")
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the server and all executors share") from None
+        return path
     return _ensure_on_context(sc)
 
 
@@ -76,6 +80,15 @@ def _ensure_on_context(sc) -> str:
     return sc.getCheckpointDir() or path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: what made it runs once, and
+    later work does not depend on executors that may be lost."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
