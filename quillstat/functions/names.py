@@ -7,6 +7,7 @@ and never leaves the JVM.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,6 +55,18 @@ EXTRAS_REWRITES = [
     (r"^dr ", ""),
 ]
 
+def rewrite_trigger(patterns: list[str]) -> str:
+    """One alternation that matches where any of the rewrites can match: what a pattern only takes along
+    (leading ``.*?``, trailing ``.*``, an optional end) is left out, which changes nothing in whether it matches."""
+    out = []
+    for p in patterns:
+        old = None
+        while p != old:
+            old, p = p, re.sub(r"\.\*$|\([^()|]*\)\?$", "", re.sub(r"^\.\*\?", "", p))
+        out.append(f"(?:{p})")
+    return "(?d)" + "|".join(dict.fromkeys(out))
+
+
 def _empty() -> Column:
     return F.array().cast("array<string>")
 
@@ -61,10 +74,14 @@ def _empty() -> Column:
 def strip_extras(col) -> Column:
     """Ordered titles/suffix rewrites then strip (input expected lower case).
 
-    ``(?d)``: only ``\\n`` ends a line for ``.``, as in Python's ``re``.
+    ``(?d)``: only ``\\n`` ends a line for ``.``, as in Python's ``re``. A name in which no pattern
+    matches is not changed by the first rewrite, so by none: it skips them all.
     """
-    out = reduce(lambda acc, pr: F.regexp_replace(acc, "(?d)" + pr[0], pr[1]), EXTRAS_REWRITES, _c(col))
-    return strip_ws(out)
+    def rewritten(s: Column) -> Column:
+        return reduce(lambda acc, pr: F.regexp_replace(acc, "(?d)" + pr[0], pr[1]), EXTRAS_REWRITES, s)
+
+    trigger = rewrite_trigger([p for p, _ in EXTRAS_REWRITES])
+    return let(_c(col), lambda s: strip_ws(F.when(s.rlike(trigger), rewritten(s)).otherwise(s)))
 
 
 def full_names(col) -> Column:

@@ -19,8 +19,8 @@ def _norm(c: Column) -> Column:
 
 
 def actual_byline(is_correct: Column, labelled: Column, corrected: Column) -> Column:
-    """E-1: the labelled byline when marked correct (any case of 'y'), else the correction."""
-    return F.when(F.lower(is_correct) == "y", labelled).otherwise(corrected)
+    """E-1: the labelled byline when marked correct (any case of 'y'), else the correction (none: empty)."""
+    return F.when(F.lower(is_correct) == "y", labelled).otherwise(F.coalesce(corrected, F.lit("")))
 
 
 def extra_text(extracted: Column, actual: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.functions.names import full_names
+from quillstat.operators.joins import small_side
 
 
 def opinion_filter(section) -> Column:
@@ -66,4 +67,15 @@ def gender_rollup(articles: DataFrame, by: list[str]) -> DataFrame:
 
 def unmatched_media(stories: DataFrame, media: DataFrame) -> DataFrame:
     """J-2 check: stories whose media_id has no outlet (the source would raise)."""
-    return stories.join(F.broadcast(media.select("media_id")), "media_id", "left_anti")
+    return stories.join(small_side(media.select("media_id").distinct()), "media_id", "left_anti")
+
+
+def unmatched_report(stories: DataFrame, media: DataFrame) -> DataFrame:
+    """J-2: (media_id, n_stories) of the outlets that have to be known but are not."""
+    return unmatched_media(stories, media).groupBy("media_id").agg(F.count(F.lit(1)).alias("n_stories"))
+
+
+def matched_articles(articles: DataFrame, media: DataFrame) -> DataFrame:
+    """J-2: articles with the outlet name of their media id; others are left out (``unmatched_report`` lists them)."""
+    names = small_side(media.select("media_id", F.col("media_name").alias("_name")))
+    return articles.join(names, "media_id", "inner").withColumn("media_name", F.col("_name")).drop("_name")

@@ -21,6 +21,7 @@ from quillstat.operators import extract as X
 from quillstat.operators import gender as G
 from quillstat.operators import mentions as M
 from quillstat.operators import reports as RP
+from quillstat.operators import rollups as RU
 from quillstat.operators import sampling as S
 from quillstat.plans import derived as D
 from quillstat.plans import duck as Q
@@ -162,6 +163,35 @@ def story_page(spark, sf):
     return S.page(D.stories(spark, sf), 100, 50).select("stories_id", "media_id")
 
 
+@query("large_sample", f"""
+SELECT stories_id, media_id FROM (SELECT *, row_number() OVER (ORDER BY (stories_id * {S.MIX_MULT} + 1) % {S.MIX_MOD}, stories_id) AS k,
+       count(*) OVER () AS n FROM {D.stories_sql()} AS s) AS t WHERE k <= n // 3""")
+def large_sample(spark, sf):
+    """A third of all stories by the histogram cut, at any size (a small sample is a top-k)."""
+    st = D.stories(spark, sf)
+    return S.sample_below_cut(st, st.count() // 3).select("stories_id", "media_id")
+
+
+@query("deep_story_page", f"""
+SELECT stories_id, media_id FROM (SELECT *, row_number() OVER (ORDER BY stories_id) AS k, count(*) OVER () AS n
+       FROM {D.stories_sql()} AS s) AS t WHERE k > n // 2 AND k <= n // 2 + 500""")
+def deep_story_page(spark, sf):
+    """500 stories from the middle of the list, by prefix sums of id ranges."""
+    st = D.stories(spark, sf)
+    return S.deep_page(st, st.count() // 2, 500).select("stories_id", "media_id")
+
+
+@query("closed_month_scan", f"""
+SELECT media_id, stories_id, {DAY} AS publish_day FROM {D.stories_sql()} AS s
+WHERE publish_date >= TIMESTAMP '{MONTH_FROM}' AND publish_date <= TIMESTAMP '{MONTH_TO}'""")
+def closed_month_scan(spark, sf):
+    """SRC-1 in its sentence form (three sentences a story, the first is the story) over a range closed at both ends."""
+    from quillstat.sources import readers
+    sentences = D.stories(spark, sf).withColumn("sentence_number", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    st = S.story_scan(readers.stories_from_sentences(sentences), MONTH_FROM, MONTH_TO, closed=True)
+    return st.select("media_id", "stories_id", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_day"))
+
+
 # =============================================================================
 # Extraction (X-1 … X-10, J-1, J-7, P-2, L-3)
 # =============================================================================
@@ -210,6 +240,60 @@ def extract_metadata(spark, sf):
                     "status", "error")
 
 
+def _q_labels() -> list[tuple[str, str]]:
+    """Opinion labels of a user: those shipped, and one for an outlet that has none."""
+    return [*R.OPINION_LABELS, ("dailybeast", "Sports"), ("salon", "arts")]
+
+
+@query("user_opinion_labels", f"""
+SELECT stories_id, section, {Q.is_opinion('outlet', 'section', _q_labels())} AS is_opinion FROM {Q.articles_sql()} AS a WHERE status = 'ok'
+UNION ALL SELECT stories_id, section, NULL AS is_opinion FROM {Q.articles_sql()} AS b WHERE status <> 'ok'""")
+def user_opinion_labels(spark, sf):
+    """X-5 with the user's own labels, also for outlets that have none shipped."""
+    labels = spark.createDataFrame(_q_labels(), "outlet string, label string")
+    return X.extract_metadata(D.stories(spark, sf), D.pages(spark, sf), labels=labels).select("stories_id", "section", "is_opinion")
+
+
+KNOWN_MEDIA = [m for m in R.MEDIA if m[0] not in ("1707", "27502")]
+
+
+@query("unmatched_media", f"""
+SELECT media_id, count(*) AS n_stories FROM {D.stories_sql()} AS s
+WHERE media_id NOT IN ({', '.join(D.q(m[0]) for m in KNOWN_MEDIA)}) GROUP BY media_id""")
+def unmatched_media(spark, sf):
+    """J-2: stories of outlets that the report has to know but does not (a media table without two outlets)."""
+    media = spark.createDataFrame(KNOWN_MEDIA, "media_id string, media_name string, outlet string")
+    return RP.unmatched_report(D.stories(spark, sf), media)
+
+
+@query("matched_articles", f"""
+SELECT a.stories_id, m.media_name, a.section FROM {Q.articles_sql()} AS a JOIN {D.media_sql()} AS m ON a.media_id = m.media_id
+WHERE a.media_id IN ({', '.join(D.q(m[0]) for m in KNOWN_MEDIA)})""")
+def matched_articles(spark, sf):
+    """J-2: the articles of known outlets, with their name (inner join)."""
+    media = spark.createDataFrame(KNOWN_MEDIA, "media_id string, media_name string, outlet string")
+    return RP.matched_articles(article_table(spark, sf), media).select("stories_id", "media_name", "section")
+
+
+@query("page_gate", f"""
+SELECT count(*) AS n_pages,
+       count(*) FILTER (WHERE {Q.any_needle('p.html')}) AS n_parsed FROM {D.pages_sql()} AS p""")
+def page_gate(spark, sf):
+    """Pages, and those on which any outlet's rule can find something (only these are parsed)."""
+    return X.gate_report(D.pages(spark, sf)).select("n_pages", "n_parsed")
+
+
+@query("bucketed_articles", f"""
+SELECT stories_id, media_id, byline, section, status, is_opinion FROM {Q.articles_sql()} AS a""")
+def bucketed_articles(spark, sf):
+    """J-7: stories and page hits stored as bucketed tables and joined without an exchange."""
+    import uuid
+    from quillstat.sources import bucketed
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = bucketed.bucketed_articles(D.stories(spark, sf), D.pages(spark, sf), f"q{uuid.uuid4().hex}", _scratch(spark, "bucketed"), n)
+    return a.select("stories_id", "media_id", "byline", "section", "status", "is_opinion")
+
+
 _STRIP_TAGS_DUCK = (r"<script\b[^>]*>(.*?)</script\s*>|<style\b[^>]*>(.*?)</style\s*>"
                     r"|<!--.*?-->|<[!?/a-z][^>]*>|&#?[a-z0-9]+;?")
 
@@ -410,6 +494,46 @@ def _q_mentions() -> str:
             f"WHERE gram IN (SELECT name FROM {D.gazetteer_sql()} AS z) GROUP BY stories_id, gram)")
 
 
+def _rollups(spark, sf) -> str:
+    """Folder of the stored month roll-ups of the article table."""
+    def write():
+        path = _scratch(spark, "rollups")
+        RU.write_rollups(article_table(spark, sf), path)
+        return path
+    return _memo(spark, f"rollups {sf.rstrip('/')}", write)
+
+
+@query("rollup_section_counts", f"""
+SELECT media_name, coalesce(section, '') AS section, count(*) AS n_articles
+FROM {Q.articles_sql()} AS a GROUP BY media_name, coalesce(section, '')""")
+def rollup_section_counts(spark, sf):
+    """A-1 for all months from the stored month roll-ups."""
+    return RU.section_counts(RU.read_rollup(spark, _rollups(spark, sf), RU.SECTIONS))
+
+
+@query("rollup_half_year", f"""
+SELECT t.media_name, t.n_sections, t.n_articles, coalesce(p.n_people, 0) AS n_people
+FROM (SELECT media_name, count(DISTINCT coalesce(section, '')) AS n_sections, count(*) AS n_articles FROM {Q.articles_sql()} AS a
+      WHERE strftime(publish_date, '%Y-%m') BETWEEN '2013-09' AND '2014-02' GROUP BY media_name) AS t
+LEFT JOIN (SELECT media_name, count(DISTINCT person) AS n_people FROM
+           (SELECT media_name, unnest({Q.full_names('byline')}) AS person FROM {Q.articles_sql()} AS a2
+            WHERE {OPINION} AND strftime(publish_date, '%Y-%m') BETWEEN '2013-09' AND '2014-02') AS x GROUP BY media_name) AS p
+  ON t.media_name = p.media_name""")
+def rollup_half_year(spark, sf):
+    """A-2 and A-5 of six months: distinct sections and people merged exactly from the months' roll-ups."""
+    months, path = X.months_between("2013-09-01", "2014-03-01"), _rollups(spark, sf)
+    people = RU.outlet_people(RU.read_rollup(spark, path, RU.PEOPLE, months))
+    totals = RU.outlet_totals(RU.read_rollup(spark, path, RU.SECTIONS, months))
+    return totals.join(people, "media_name", "left").withColumn("n_people", F.coalesce("n_people", F.lit(0)))
+
+
+@query("rollup_byline_counts", f"""
+SELECT org AS media_name, name AS person, n AS n_articles FROM {_q_people_counts()} AS p""")
+def rollup_byline_counts(spark, sf):
+    """A-4 for all months from the stored month roll-ups."""
+    return RU.byline_counts(RU.read_rollup(spark, _rollups(spark, sf), RU.PEOPLE))
+
+
 def _mentions(spark, sf):
     txt = D.pages(spark, sf).select("stories_id", X.full_text_col(F.lit(None).cast("string"), F.col("html"))
                                     .alias("full_text"))
@@ -532,7 +656,8 @@ def _q_legacy() -> str:
 
 
 def _legacy(spark, sf):
-    return X.legacy_extract(D.stories(spark, sf), D.pages(spark, sf))
+    """The stored legacy result: pages are parsed once, the legacy queries read this."""
+    return _stored(spark, sf, "legacy", lambda: X.legacy_extract(D.stories(spark, sf), D.pages(spark, sf)))
 
 
 @query("legacy_found", f"""
@@ -648,6 +773,47 @@ def full_text_articles(spark, sf):
     return a.select("stories_id", "byline", "section", "full_text")
 
 
+STORY_TEXT_SQL = "(CASE WHEN stories_id % 3 = 0 THEN 'Text of story ' || CAST(stories_id AS STRING) || ', as known (' || CAST(stories_id % 7 AS STRING) || ').' END)"
+
+
+@query("known_story_text", f"""
+SELECT a.stories_id, a.byline, {q_token_string(f"coalesce({STORY_TEXT_SQL.replace('stories_id', 'a.stories_id')}, {q_strip_tags('p.html')})")} AS full_text
+FROM {Q.articles_sql()} AS a LEFT JOIN {D.pages_sql()} AS p ON a.stories_id = p.stories_id""")
+def known_story_text(spark, sf):
+    """X-10: every third page comes with its story text, which goes before the page's own text."""
+    pages = D.pages(spark, sf).withColumn("story_text", F.expr(STORY_TEXT_SQL))
+    return X.extract_metadata(D.stories(spark, sf), pages, full_text=True).select("stories_id", "byline", "full_text")
+
+
+BROKEN_TAG = '<head><meta name="CG">'
+
+
+@query("section_tag_errors", f"""
+SELECT a.stories_id,
+       CASE WHEN b.status <> 'ok' OR (a.outlet = 'nyt' AND a.stories_id % 3 = 0 AND (a.stories_id // 10) % 2 = 0) THEN 'failed' ELSE 'ok' END AS status
+FROM {Q.articles_sql()} AS a JOIN {Q.articles_sql()} AS b ON a.stories_id = b.stories_id""")
+def section_tag_errors(spark, sf):
+    """P-2: pages whose first section tag lacks its attribute fail where the URL tells no section, and only there."""
+    tens, third = F.floor(F.col("stories_id") / 10) % 2, F.col("stories_id") % 3
+    st = D.stories(spark, sf).withColumn("url", F.when((F.col("media_id") == "1") & (tens == 0), F.lit("http://example.invalid/x")).otherwise(F.col("url")))
+    pages = D.pages(spark, sf).withColumn("html", F.when(third == 0, F.replace("html", F.lit("<head>"), F.lit(BROKEN_TAG))).otherwise(F.col("html")))
+    return X.extract_metadata(st, pages).select("stories_id", "status")
+
+
+@query("ingest_batches", f"""
+SELECT media_id, stories_id, {DAY} AS publish_day, strftime(publish_date, '%Y-%m') AS publish_month FROM {D.stories_sql()} AS s""")
+def ingest_batches(spark, sf):
+    """SRC-2 without state: overlapping drops, one batch a drop, against the stored month table."""
+    from quillstat.streaming import ingest
+    st = D.stories(spark, sf).drop("publish_month")
+    src, sink, ck = (_scratch(spark, n) for n in ("drops", "month-table", "batches-ckpt"))
+    drops = F.array(F.pmod(F.col("stories_id"), F.lit(3)), F.pmod(F.col("stories_id") + 1, F.lit(3)))  # every story in two drops
+    st.withColumn("drop", F.explode(drops)).hint("rebalance", F.col("drop")).write.partitionBy("drop").parquet(src)
+    ingest.ingest_batches(spark, f"{src}/*", sink, ck, max_files_per_trigger=1).awaitTermination()
+    return ingest.stored_stories(spark, sink).select("media_id", "stories_id", F.date_format("publish_date", "yyyy-MM-dd").alias("publish_day"),
+                                                     "publish_month")
+
+
 # =============================================================================
 # Files written and read back (SRC-4 … SRC-8, SNK-2, SNK-5)
 # =============================================================================
@@ -667,11 +833,11 @@ def story_list_file(spark, sf):
 @query("stored_pages", f"""
 SELECT stories_id, media_id, byline, section, status FROM {Q.articles_sql()} AS a""")
 def stored_pages(spark, sf):
-    """Every page written as a text file of its own, read back as stored pages and extracted."""
-    from quillstat.sources import readers
+    """Every page stored in container files, read back by split and extracted."""
+    from quillstat.sources import containers
     out = _scratch(spark, "stored-pages")
-    D.pages(spark, sf).select("stories_id", "html").write.partitionBy("stories_id").text(out)
-    a = X.extract_metadata(D.stories(spark, sf), readers.read_page_files(spark, out))
+    containers.write_page_container(D.pages(spark, sf), out)
+    a = X.extract_metadata(D.stories(spark, sf), containers.read_page_container(spark, out))
     return a.select("stories_id", "media_id", "byline", "section", "status")
 
 
@@ -725,6 +891,21 @@ def routed_roundtrip(spark, sf):
     return readers.read_routed_results(spark, f"{out}/found", f"{out}/failed", header=True)
 
 
+@query("run_log", f"""
+SELECT 'run-' || CAST(stories_id % 2 AS VARCHAR) AS run_id, count(*) AS n_rows FROM {_q_eval()} AS v GROUP BY stories_id % 2""")
+def run_log(spark, sf):
+    """SNK-3: two evaluation runs, each with a line of the run log; the rows of the runs that the log lists."""
+    from quillstat.sources import sinks
+    out, rows = _scratch(spark, "logged-runs"), _evaluated(spark, sf)
+    for i in range(2):
+        part = rows.where(F.col("stories_id") % 2 == i)
+        sinks.write_run_results(part.select("media_id", "stories_id"), part, out, f"run-{i}")
+        sinks.append_run_log(spark, f"{out}/run_log", f"run-{i}")
+    logged = spark.read.text(f"{out}/run_log").select(F.regexp_extract("value", r"^\d{4}-\d\d-\d\dT[0-9:.]+: (.*)$", 1).alias("run_id"))
+    results = spark.read.parquet(f"{out}/evaluated_results").select(F.col("run_id").cast("string").alias("run_id"))
+    return results.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows")).join(F.broadcast(logged), "run_id", "left_semi")
+
+
 @query("run_results", f"""
 SELECT stories_id, extracted_byline, actual_byline, correct, 'run-1' AS run_id FROM {_q_eval()} AS v""")
 def run_results(spark, sf):

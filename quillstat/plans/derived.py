@@ -32,7 +32,7 @@ SECTION_TAG_WORDS = ["Opinion", "Sports", "U.S.", "Arts"]
 NAME_GENDER = [
     ("mary", "female"), ("john", "male"), ("linda", "female"), ("james", "male"),
     ("susan", "female"), ("robert", "male"), ("karen", "female"), ("michael", "male"),
-    ("ana", "female"), ("nathan", "male"), ("pamela", "female"), ("jn", "unknown"),
+    ("ana", "female"), ("corwin", "male"), ("odette", "female"), ("jn", "unknown"),
 ]
 MEDIA_IDS = [m[0] for m in rules.MEDIA]
 

@@ -183,9 +183,20 @@ def clean_byline(x: str) -> str:
     return strip_ws(v)
 
 
-def is_opinion(outlet: str, section: str) -> str:
+def any_needle(html: str) -> str:
+    """Whether any selector of the byline and section rules has all its values behind an '=' of the page."""
+    tests = []
+    for _, kind, _, sel, *_ in rules.extractor_rule_rows():
+        if kind in ("byline", "section_tag"):
+            values = [step.split("=", 1)[1].strip('"]') for step in sel.split() if "[" in step]
+            ends = ["" if "^=" in step else "\\b" for step in sel.split() if "[" in step]
+            tests.append(" AND ".join(f"regexp_matches({html}, {q('=[[:space:]]*[\x22\x27]?' + _re_escape(v) + e)})" for v, e in zip(values, ends)))
+    return "(" + " OR ".join(dict.fromkeys(f"({t})" for t in tests)) + ")"
+
+
+def is_opinion(outlet: str, section: str, labels: list[tuple[str, str]] | None = None) -> str:
     per: dict[str, list[str]] = {}
-    for o, lab in rules.OPINION_LABELS:
+    for o, lab in labels if labels is not None else rules.OPINION_LABELS:
         per.setdefault(o, []).append(lab.lower())
     whens = " ".join(f"WHEN {q(o)} THEN lower({section}) IN ({', '.join(q(x) for x in labs)})"
                      for o, labs in per.items())

@@ -34,8 +34,8 @@ MEDIA = [
 # Regexes are anchored with ^ (the rules match at the start of the value) and name their
 # capture by position (Spark's regexp_extract takes a group index).
 # ---------------------------------------------------------------------------
-_BY_NAME = r"^By ([A-Za-z.\- ]*)"
-_BY_SPACES_NAME = r"^By[\s]+([A-Za-z.\- ]*)"
+_BY_NAME = r"^By ([A-Za-z\.\- ]*)"
+_BY_SPACES_NAME = r"^By[\s]+([A-Za-z\.\- ]*)"
 _LAT_CONTACT = r"^([A-Za-z. -]+) contact the reporter"
 _LAT_DATED = r"^((January|February|March|April|June|July|August|September|October|November|December)( \d\d?, \d\d\d\d\|)(By )?)([A-Z]{1}[A-Za-z. -]+)($|, Los Angeles Times)"  # noqa: E501
 

@@ -6,21 +6,21 @@ from pyspark.sql import functions as F
 from quillstat.functions import names as N
 
 FIRST = [
-    ("J. Nathan Matias", ["Nathan"]),
-    ("J. Matias", [None]),
-    ("J Matias", [None]),
-    ("J N Matias", [None]),
-    ("J. N. Matias", [None]),
-    ("JN Matias", ["JN"]),
-    ("Matias, J. Nathan", ["Nathan"]),
-    ("Mishkin, Pamela", ["Pamela"]),
-    ("Pamela Mishkin", ["Pamela"]),
-    ("Nathan Matias and Pamela Mishkin", ["Nathan", "Pamela"]),
-    ("J. Nathan Matias and Pamela Mishkin", ["Nathan", "Pamela"]),
+    ("J. Corwin Varley", ["Corwin"]),
+    ("J. Varley", [None]),
+    ("J Varley", [None]),
+    ("J N Varley", [None]),
+    ("J. N. Varley", [None]),
+    ("JN Varley", ["JN"]),
+    ("Varley, J. Corwin", ["Corwin"]),
+    ("Farrow, Odette", ["Odette"]),
+    ("Odette Farrow", ["Odette"]),
+    ("Corwin Varley and Odette Farrow", ["Corwin", "Odette"]),
+    ("J. Corwin Varley and Odette Farrow", ["Corwin", "Odette"]),
     ("", [None]),
     (None, []),
     ("AP/April 18, 2013, 8:46 PM", []),
-    ("Bob Egelko, Chronicle Staff Writer", []),
+    ("Rob Tarrant, Chronicle Staff Writer", []),
     ("THE ASSOCIATED PRESS", ["THE"]),
     ("U.S. News", [None]),
     ("Madonna", [None]),
@@ -30,28 +30,28 @@ FIRST = [
 ]
 
 FULL = [
-    ("MARK LANDLER", ["mark landler"]),
-    ("Eric Johnson and Michelle Nichols", ["eric johnson", "michelle nichols"]),
-    ("Bob Egelko, Chronicle Staff Writer", ["bob egelko", "chronicle staff writer"]),
-    ("Matias, J. Nathan", ["matias", "j. nathan"]),
-    ("Mishkin, Pamela", []),
+    ("RUFUS OLDEN", ["rufus olden"]),
+    ("Ivor Stanley and Beatrix Holloway", ["ivor stanley", "beatrix holloway"]),
+    ("Rob Tarrant, Chronicle Staff Writer", ["rob tarrant", "chronicle staff writer"]),
+    ("Varley, J. Corwin", ["varley", "j. corwin"]),
+    ("Farrow, Odette", []),
     ("Smith and Jones, Bob", ["smith"]),
     ("a lee; b cho and c diaz, d evans", ["a lee", "b cho", "c diaz", "d evans"]),
-    ("Sportsmail Reporter", ["sportsmail orter"]),
+    ("Sportswire Reporter", ["sportswire orter"]),
     ("AP/April 18, 2013, 8:46 PM", []),
     ("", []),
     (None, []),
 ]
 
 EXTRAS = [
-    ("mark landler", "mark landler"),
+    ("rufus olden", "rufus olden"),
     ("professor ann lee", "essor ann lee"),
-    ("by chris longbbc news", "chris longbbc news"),
+    ("by piers shortbbc news", "piers shortbbc news"),
     ("chet atkins", "chet"),
     ("ann lee for reuters", "ann lee"),
     ("gov. jane roe", "jane roe"),
     ("sir john smith", "john smith"),
-    ("more stories by lindsey boerma", "lindsey boerma"),
+    ("more stories by imogen castle", "imogen castle"),
     ("jane  roe", "jane"),
     ("dr ann lee", "ann lee"),
     ("the rt revd john smith", "john smith"),
