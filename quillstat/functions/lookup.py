@@ -28,6 +28,16 @@ def bounded_values(table: DataFrame, value: str, max_bytes: int = LITERAL_BYTES)
     return (n or 0) <= max_bytes
 
 
+def few_rows(table: DataFrame, value: str, max_bytes: int = LITERAL_BYTES) -> list | None:
+    """All rows of a table whose ``value`` column takes at most ``max_bytes``, else None. A short table is one job."""
+    if max_bytes <= 0:
+        return None
+    rows = table.limit(IN_VALUES + 1).collect()
+    if len(rows) <= IN_VALUES:
+        return rows if sum(len((r[value] or "").encode()) + 1 for r in rows) <= max_bytes else None
+    return table.collect() if bounded_values(table, value, max_bytes) else None
+
+
 def member(value: Column, values: Sequence[str]) -> Column:
     """True where ``value`` is one of ``values``, null where it is null (False for no values)."""
     if not values:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.functions.lookup import LITERAL_BYTES, bounded_values, member
+from quillstat.functions.lookup import LITERAL_BYTES, few_rows, member
 from quillstat.functions.names import drop_punct, first_names, plus_to_space, space_to_plus
 from quillstat.functions.text import _c, ascii_fold_native, let, strip_ws
 from quillstat.operators.joins import small_side
@@ -33,10 +33,10 @@ SALTS = 16
 def name_sets(names: DataFrame, max_bytes: int = LITERAL_BYTES) -> tuple[list[str], list[str]] | None:
     """(female, male) lower-case first names when they take at most ``max_bytes``."""
     used = names.where(F.col("gender").isin("female", "male") & F.col("first_name").isNotNull()).select(
-        F.lower("first_name").alias("n"), "gender").distinct()
-    if max_bytes <= 0 or not bounded_values(used, "n", max_bytes):
+        F.lower("first_name").alias("n"), "gender")
+    rows = few_rows(used, "n", max_bytes)
+    if rows is None:
         return None
-    rows = used.collect()
     fem = {r.n for r in rows if r.gender == "female"}
     mal = {r.n for r in rows if r.gender == "male"}
     return sorted(fem - mal), sorted(mal - fem)  # a name listed under both is unknown

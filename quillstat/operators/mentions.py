@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.functions.lookup import LITERAL_BYTES, bounded_values, member
+from quillstat.functions.lookup import LITERAL_BYTES, bounded_values, few_rows, member
 from quillstat.functions.names import full_names
 from quillstat.functions.text import tokens
 from quillstat.operators.gender import SALTS, with_gender
@@ -47,8 +47,9 @@ def started_grams(tok: Column, sizes: list[int], starts: list[str]) -> Column:
     per_size = []
     for n in sizes:
         begins = [s.split(" ", 1)[1] for s in starts if s.startswith(f"{n} ")]
-        at = F.transform(tok, lambda t, i: F.when(member(t, begins) & (i <= F.size(tok) - n), i))  # noqa: B023
-        per_size.append(F.transform(F.filter(at, lambda i: i.isNotNull()), lambda i: F.array_join(F.slice(tok, i + 1, F.lit(n)), " ")))  # noqa: B023
+        places = F.when(F.size(tok) >= n, F.sequence(F.lit(1), F.size(tok) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        at = F.filter(places, lambda i: member(F.element_at(tok, i), begins))  # noqa: B023
+        per_size.append(F.transform(at, lambda i: F.array_join(F.slice(tok, i, F.lit(n)), " ")))  # noqa: B023
     return F.concat(*per_size)
 
 
@@ -62,18 +63,20 @@ def gazetteer_mentions(docs: DataFrame, people: DataFrame, key: str = "stories_i
     ``max_starts`` bytes, beyond that joined on salted tokens as well."""
     names = usable_names(people)
     starts = names.select("n", "first").distinct()
+    listed = few_rows(names, "name", max_inline)
+    begins = listed if listed is not None and max_starts > 0 else few_rows(starts, "first", max_starts)
     # materialise the tokens once (referenced by every n-gram size)
     docs = docs.select(key, tokens(F.col(text_col)).alias("_tok"))
-    if max_starts > 0 and bounded_values(starts, "first", max_starts):
-        index = [f"{r.n} {r.first}" for r in starts.collect()]
+    if begins is not None:
+        index = sorted({f"{r.n} {r.first}" for r in begins})
         if not index:
             return docs.select(key, F.lit("").alias("name"), F.lit(0).cast("long").alias("count")).where(F.lit(False))
         grams = started_grams(F.col("_tok"), sorted({int(s.split(" ", 1)[0]) for s in index}), index)
     else:
         grams = None
-    if grams is not None and max_inline > 0 and bounded_values(names, "name", max_inline):
-        listed = [r.name for r in names.select("name").collect()]
-        hits = docs.select(key, F.explode(F.filter(grams, lambda g: member(g, listed))).alias("gram"))
+    if grams is not None and listed is not None:
+        told = sorted({r.name for r in listed})
+        hits = docs.select(key, F.explode(F.filter(grams, lambda g: member(g, told))).alias("gram"))
         return hits.groupBy(key, F.col("gram").alias("name")).agg(F.count(F.lit(1)).alias("count"))
     if grams is not None:
         found = docs.select(key, F.explode(grams).alias("gram"))
