@@ -5,10 +5,10 @@
 2. The pieces are written once to the shared folder, and dealt evenly to packing groups by
    their row numbers, whatever their ids are. Groups have a bounded number of pieces; more
    documents make more groups.
-3. A group starts from best-fit decreasing and goes on by local search: the least filled
-   bin gives documents away by moves, one-for-one and two-for-one exchanges with bins that
-   are at least as full. Every step raises the sum of squared fills, so the search ends;
-   bins that become empty are gone. It stops early when the bins reach the lower bound.
+3. A group starts from best-fit decreasing and goes on by local search: underfull bins
+   exchange one-for-one, two-for-one or move documents between all pairs of them. Every step raises
+   the sum of squared fills, so the search ends; bins that become empty are gone. It stops
+   early when the bins reach the lower bound, or after ``STEPS_A_PIECE`` steps a piece.
 """
 
 from __future__ import annotations
@@ -29,6 +29,12 @@ from quillstat.llm.common import slices, unused, written
 GROUP_PIECES = 16_384
 
 
+#: Steps of the search for each piece of its group (it takes about one for two pieces before it ends by itself).
+STEPS_A_PIECE = 2
+#: Bins of more items take part in pairs of items no longer: with so many small ones, single items fit.
+PAIR_ITEMS = 8
+
+
 def _low_bit(mask: int) -> int:
     return (mask & -mask).bit_length() - 1
 
@@ -58,120 +64,121 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class Search:
-    """Local search over underfull bins.
+    """Local search over all underfull bins.
 
-    ``by_room[r]`` holds bins with r tokens free, ``by_reach[m]`` pairs (size t, bin, item) where
-    putting up to m tokens in the place of that item still fits. Entries carry the
-    bin's version and are dropped when they turn out stale."""
+    The bins are gone through from the fullest on. Each takes what leaves it least room: an item or a pair of
+    another bin, for nothing (a move), for one of its own items (one-for-one, two-for-one) or for two of them
+    (one-for-two). It takes from a bin that is less full than it becomes itself, so every step raises the sum of
+    squared fills. A bin that nothing improves is tried again in the next round, when others have
+    changed; the search ends with a round without steps, at the lower bound, or after ``steps`` steps.
 
-    def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
-        self.sizes, self.bins, self.capacity = sizes, bins, capacity
+    ``single[s]`` and ``double[s]`` hold the items and pairs of size s in underfull bins, those of the least
+    filled bin first. Entries carry the bin's version and are dropped when they turn out stale."""
+
+    def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int, steps: int | None = None):
+        self.sizes, self.bins, self.capacity = sizes, [list(b) for b in bins], capacity
         self.fill = [sum(sizes[i] for i in b) for b in bins]
         self.version = [0] * len(bins)
-        self.by_room: list[list] = [[] for _ in range(capacity + 1)]
-        self.by_reach: list[list] = [[] for _ in range(capacity + 1)]
-        self.rooms = self.reaches = 0
+        self.single: list[list] = [[] for _ in range(capacity + 1)]
+        self.double: list[list] = [[] for _ in range(capacity + 1)]
+        self.singles = self.doubles = 0  # sizes that have entries, as bits
+        self.steps = STEPS_A_PIECE * len(sizes) if steps is None else steps
+        self.taken = 0
         for b in range(len(bins)):
             self.enter(b)
 
     def enter(self, b: int) -> None:
         """Index a bin anew after a change."""
         self.version[b] += 1
-        room = self.capacity - self.fill[b]
-        if not room or not self.bins[b]:
+        fill, items, version = self.fill[b], self.bins[b], self.version[b]
+        if fill == self.capacity:
             return
-        heapq.heappush(self.by_room[room], (b, self.version[b]))
-        self.rooms |= 1 << room
-        for item in self.bins[b]:
-            reach = self.sizes[item] + room
-            heapq.heappush(self.by_reach[reach], (self.sizes[item], b, item, self.version[b]))
-            self.reaches |= 1 << reach
+        for i in items:
+            heapq.heappush(self.single[self.sizes[i]], (fill, b, version, i, -1))
+            self.singles |= 1 << self.sizes[i]
+        if len(items) <= PAIR_ITEMS:
+            for i, j in combinations(items, 2):
+                size = self.sizes[i] + self.sizes[j]
+                heapq.heappush(self.double[size], (fill, b, version, i, j))
+                self.doubles |= 1 << size
 
     def leave(self, b: int) -> None:
         self.version[b] += 1
 
-    def room_for(self, size: int) -> int | None:
-        """The fullest bin that takes ``size`` more tokens."""
-        mask = self.rooms >> size << size
+    def largest(self, pairs: bool, low: int, high: int, below: int) -> tuple[int, tuple] | None:
+        """The largest item (or pair) over ``low`` up to ``high`` of a bin whose fill is under
+        ``below`` plus its size."""
+        heaps, mask = (self.double, self.doubles) if pairs else (self.single, self.singles)
+        mask &= (1 << (high + 1)) - 1
+        mask = mask >> (low + 1) << (low + 1)
         while mask:
-            room = _low_bit(mask)
-            held = self.by_room[room]
-            while held and self.version[held[0][0]] != held[0][1]:
+            size = mask.bit_length() - 1
+            held = heaps[size]
+            while held and self.version[held[0][1]] != held[0][2]:
                 heapq.heappop(held)
             if held:
-                return held[0][0]
-            self.rooms &= ~(1 << room)
-            mask &= mask - 1
+                if held[0][0] < below + size:
+                    return size, held[0]
+            elif pairs:
+                self.doubles &= ~(1 << size)
+            else:
+                self.singles &= ~(1 << size)
+            mask ^= 1 << size
         return None
 
-    def exchange_for(self, size: int) -> tuple[int, int] | None:
-        """(bin, item): an item smaller than ``size`` whose bin can take ``size`` in its place,
-        leaving the least room."""
-        mask = self.reaches >> size << size
-        while mask:
-            reach = _low_bit(mask)
-            held = self.by_reach[reach]
-            while held and self.version[held[0][1]] != held[0][3]:
-                heapq.heappop(held)
-            if held and held[0][0] < size:
-                return held[0][1], held[0][2]
-            if not held:
-                self.reaches &= ~(1 << reach)
-            mask &= mask - 1
-        return None
-
-    def give(self, victim: int, items: tuple[int, ...], to: int, back: int | None) -> None:
-        gone = sum(self.sizes[i] for i in items)
-        come = 0 if back is None else self.sizes[back]
-        for i in items:
-            self.bins[victim].remove(i)
-            self.bins[to].append(i)
-        if back is not None:
-            self.bins[to].remove(back)
-            self.bins[victim].append(back)
-        self.fill[victim] += come - gone
-        self.fill[to] += gone - come
-        self.enter(to)
-
-    def step(self, victim: int) -> bool:
-        """One improving step that takes tokens from ``victim``."""
-        items = sorted(self.bins[victim], key=lambda i: -self.sizes[i])
-        for i in items:
-            to = self.room_for(self.sizes[i])
-            if to is not None:
-                self.give(victim, (i,), to, None)
-                return True
-        for i in items:
-            found = self.exchange_for(self.sizes[i])
-            if found:
-                self.give(victim, (i,), *found)
-                return True
-        for pair in combinations(items, 2):
-            size = self.sizes[pair[0]] + self.sizes[pair[1]]
-            found = self.exchange_for(size) if size <= self.capacity else None
-            if found:
-                self.give(victim, pair, *found)
-                return True
-        return False
+    def improvement(self, b: int) -> tuple[tuple[int, ...], tuple] | None:
+        """(items to give, entry to take) that leaves bin b least room; b itself is not indexed."""
+        fill, items = self.fill[b], self.bins[b]
+        room = self.capacity - fill
+        gain, best, seen = 0, None, set()
+        offers = [(), *((i,) for i in items), *(combinations(items, 2) if len(items) <= PAIR_ITEMS else ())]
+        for out in offers:
+            gone = sum(self.sizes[i] for i in out)
+            if (len(out), gone) in seen:
+                continue
+            seen.add((len(out), gone))
+            for pairs in (False, True)[:1 if len(out) == 2 else 2]:
+                found = self.largest(pairs, gone + gain, gone + room, fill - gone)
+                if found:
+                    gain, best = found[0] - gone, (out, found[1])
+                    if gain == room:
+                        return best
+        return best
+
+    def exchange(self, b: int, out: tuple[int, ...], entry: tuple) -> int:
+        """Take the step; returns the other bin."""
+        _, other, _, *come = entry
+        come = [i for i in come if i >= 0]
+        for i in out:
+            self.bins[b].remove(i)
+            self.bins[other].append(i)
+        for i in come:
+            self.bins[other].remove(i)
+            self.bins[b].append(i)
+        gain = sum(self.sizes[i] for i in come) - sum(self.sizes[i] for i in out)
+        self.fill[b] += gain
+        self.fill[other] -= gain
+        self.enter(other)
+        self.taken += 1
+        return other
 
     def run(self) -> list[list[int]]:
         least = -(-sum(self.fill) // self.capacity)
-        left = sum(map(bool, self.bins))
-        queue = [(f, b) for b, f in enumerate(self.fill) if f < self.capacity]
-        heapq.heapify(queue)
-        while queue and left > least:
-            fill, victim = heapq.heappop(queue)
-            if fill != self.fill[victim] or not self.bins[victim]:
-                if self.bins[victim] and self.fill[victim] < self.capacity:
-                    heapq.heappush(queue, (self.fill[victim], victim))
-                continue
-            self.leave(victim)
-            while self.bins[victim] and self.step(victim):
-                pass
-            if not self.bins[victim]:
-                left -= 1
-            # a bin that could not be emptied stays out of the search: it is the least filled one,
-            # so every later step goes from a fuller bin and would not raise the squares by filling it
+        left, before = sum(map(bool, self.bins)), -1
+        while left > least and before < self.taken < self.steps:
+            before = self.taken
+            for b in sorted((b for b, f in enumerate(self.fill) if f < self.capacity and self.bins[b]), key=lambda b: -self.fill[b]):
+                if not self.bins[b]:
+                    continue
+                self.leave(b)
+                while self.fill[b] < self.capacity and self.taken < self.steps:
+                    found = self.improvement(b)
+                    if not found:
+                        break
+                    left -= not self.bins[self.exchange(b, *found)]
+                self.enter(b)
+                if left <= least:
+                    break
         return [b for b in self.bins if b]
 
 

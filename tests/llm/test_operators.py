@@ -91,6 +91,61 @@ def test_local_search_empties_bins():
     assert len(packing.Search([6, 2, 5, 3, 4], [[0, 1], [2, 3], [4]], 10).run()) == 2
 
 
+def fewest(sizes, capacity):
+    """The least number of bins, over all subsets."""
+    best = [(0, capacity + 1)] + [(len(sizes) + 1, 0)] * ((1 << len(sizes)) - 1)
+    for m in range(1 << len(sizes)):
+        k, last = best[m]
+        for i, s in enumerate(sizes):
+            if not m >> i & 1:
+                best[m | 1 << i] = min(best[m | 1 << i], (k, last + s) if k and last + s <= capacity else (k + 1, s))
+    return best[-1][0]
+
+
+def searched(sizes, capacity, start=None):
+    """The search's bins; the sum of squares rises with every step and the bins stay valid."""
+    start = packing.best_fit_decreasing(sizes, capacity) if start is None else start
+    search, squares = packing.Search(sizes, start, capacity), []
+    step = search.exchange
+
+    def exchange(*args):
+        squares.append(sum(f * f for f in search.fill))
+        other = step(*args)
+        assert sum(f * f for f in search.fill) > squares[-1]
+        return other
+
+    search.exchange = exchange
+    bins = search.run()
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(b and sum(sizes[i] for i in b) <= capacity for b in bins)
+    return len(start), len(bins)
+
+
+def test_local_search_saves_sequences():
+    rng = random.Random(3)
+    triplets = []
+    for _ in range(300):
+        a = rng.randint(257, 479)
+        b = rng.randint(max(256, 512 - a), min(512, 768 - a))
+        triplets += [a, b, 1024 - a - b]
+    start, end = searched(triplets, 1024)
+    assert start > 320 and end - 300 <= (start - 300) / 2
+    for low, high in ((200, 500), (250, 520), (150, 400)):
+        start, end = searched([rng.randint(low, high) for _ in range(1500)], 1024)
+        assert end < start
+    missed = [0, 0]
+    for _ in range(150):
+        low, high = rng.choice([(10, 60), (20, 50), (25, 45), (5, 70), (1, 100)])
+        sizes = [rng.randint(low, high) for _ in range(rng.randint(8, 11))]
+        want, (start, end) = fewest(sizes, 100), searched(sizes, 100)
+        missed[0] += start > want
+        missed[1] += end > want
+    assert missed[0] > 8 and missed[1] <= missed[0] // 5
+    # from single documents, with repeated and zero sizes
+    start, end = searched([5, 5, 5, 5, 10, 10, 3, 3, 4], 10, [[i] for i in range(9)])
+    assert end == 5
+    searched([0, 0, 7, 5], 10)
+
+
 def test_token_counts(spark):
     got = {r["doc_id"]: r for r in token_counts.count_tokens(table(spark), queries.BYTE_BPE, 512).collect()}
     for i, t in enumerate(TEXTS):
