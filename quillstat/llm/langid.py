@@ -31,7 +31,9 @@ CELLS = 1 << CELL_BITS
 PROBES = 3
 MIN_SHARE = 1e-6
 PART_OF_LARGEST = 0.2
-MAX_LANGUAGES = 63
+#: Languages of one bitmask; more take further slices of the filter, up to so many languages.
+SLICE_LANGUAGES = 63
+MAX_LANGUAGES = 8 * SLICE_LANGUAGES
 #: N-gram counts a training task holds before it adds up equal ones, and emits at once.
 HELD = 4_000_000
 EMIT = 200_000
@@ -73,11 +75,19 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
     """Lower-case letter runs of all texts, and how many each text has."""
-    found = [WORD.findall(t.lower()) if t else [] for t in texts]
+    found = [letter_runs(t) for t in texts]
     return (pa.array([w for f in found for w in f], pa.large_utf8()),
             np.fromiter(map(len, found), np.int64, len(found)))
 
 
+def letter_runs(text: str | None) -> list[str]:
+    """The lower-case runs of letters of a text; signs like one half or superscript two are no letters."""
+    words = WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [run for w in words for run in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, where = np.unique(keys, return_inverse=True)
     return distinct, np.bincount(where, counts, len(distinct)).astype(np.int64)
@@ -125,20 +135,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 @dataclass
 class Model:
-    """Learned languages and the filter; bounded by ``CELLS`` cells of 8 bytes."""
+    """Learned languages and the filter: for each ``SLICE_LANGUAGES`` languages a row of ``CELLS`` cells of 8 bytes."""
 
     languages: list[str]
     cells: np.ndarray
 
     def rates(self) -> np.ndarray:
-        """False-positive rate of each language's slice."""
-        bits = [np.count_nonzero(self.cells >> np.uint64(i) & np.uint64(1)) / CELLS for i in range(len(self.languages))]
+        """False-positive rate of each language's bits."""
+        bits = [np.count_nonzero(self.cells[i // SLICE_LANGUAGES] >> np.uint64(i % SLICE_LANGUAGES) & np.uint64(1)) / CELLS
+                for i in range(len(self.languages))]
         return np.array(bits) ** PROBES
 
     def masks(self, hashes: np.ndarray) -> np.ndarray:
-        out = self.cells[hashes & np.uint64(CELLS - 1)]
+        """The languages of each n-gram, a row for each slice of languages."""
+        out = self.cells[:, hashes & np.uint64(CELLS - 1)]
         for k in range(1, PROBES):
-            out = out & self.cells[hashes >> np.uint64(k * CELL_BITS) & np.uint64(CELLS - 1)]
+            out = out & self.cells[:, hashes >> np.uint64(k * CELL_BITS) & np.uint64(CELLS - 1)]
         return out
 
 
@@ -148,7 +160,8 @@ def train(docs: DataFrame) -> Model:
     names = [r["lang"] for r in usable.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    cells = np.zeros(CELLS, np.uint64)
+    n_slices = max(1, -(-len(names) // SLICE_LANGUAGES))
+    cells = np.zeros((n_slices, CELLS), np.uint64)
     if not names:
         return Model([], cells)
     by_gram = gram_counts(usable).groupBy("h").agg(
@@ -157,14 +170,17 @@ def train(docs: DataFrame) -> Model:
     totals = by_gram.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))]).first()
     share = [F.col(f"n{i}") / F.lit(float(totals[i] or 1)) for i in range(len(names))]
     largest = F.greatest(*share) if len(share) > 1 else share[0]
-    mask = F.lit(0).cast("long")
+    masks = [F.lit(0).cast("long")] * n_slices
     for i, s in enumerate(share):
-        mask = mask.bitwiseOR(F.when((s >= MIN_SHARE) & (s >= largest * PART_OF_LARGEST), F.lit(1 << i)).otherwise(0).cast("long"))
+        bit = F.when((s >= MIN_SHARE) & (s >= largest * PART_OF_LARGEST), F.lit(1 << i % SLICE_LANGUAGES)).otherwise(0).cast("long")
+        masks[i // SLICE_LANGUAGES] = masks[i // SLICE_LANGUAGES].bitwiseOR(bit)
+    held = [f"mask{k}" for k in range(n_slices)]
     probes = F.array(*[F.shiftrightunsigned("h", k * CELL_BITS).bitwiseAND(F.lit(CELLS - 1)) for k in range(PROBES)])
-    filled = (by_gram.select("h", mask.alias("mask")).where("mask != 0").select(F.explode(probes).alias("cell"), "mask")
-              .groupBy("cell").agg(F.bit_or("mask").alias("mask")))
+    filled = (by_gram.select("h", *[m.alias(c) for m, c in zip(masks, held)]).where(" or ".join(f"{c} != 0" for c in held))
+              .select(F.explode(probes).alias("cell"), *held).groupBy("cell").agg(*[F.bit_or(c).alias(c) for c in held]))
     table = filled.toArrow()
-    cells[table.column("cell").to_numpy()] = table.column("mask").to_numpy().astype(np.uint64)
+    for k, c in enumerate(held):
+        cells[k, table.column("cell").to_numpy()] = table.column(c).to_numpy().astype(np.uint64)
     return Model(names, cells)
 
 
@@ -181,7 +197,8 @@ def predictor(model: Model):
         hashes, owners = grams(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         masks, distinct = model.masks(hashes), len(coded.dictionary)
         per_word = np.stack([np.bincount(owners, minlength=distinct)] + [
-            np.bincount(owners, (masks >> np.uint64(i) & np.uint64(1)).astype(float), distinct) for i in range(n_langs)], 1)
+            np.bincount(owners, (masks[i // SLICE_LANGUAGES] >> np.uint64(i % SLICE_LANGUAGES) & np.uint64(1)).astype(float), distinct)
+            for i in range(n_langs)], 1)
         sums = np.concatenate((np.zeros((1, n_langs + 1)), np.cumsum(per_word[coded.indices.to_numpy()], 0)))
         edges = np.concatenate(([0], np.cumsum(counts)))
         of_text = sums[edges[1:]] - sums[edges[:-1]]

@@ -16,7 +16,6 @@ from quillstat.llm.common import let, text_hash, written
 K = 128
 WORDS = 5
 #: Stands for a null id in joins and in the order (nulls come first).
-NULL_ID = -(1 << 63)
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -95,7 +94,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
     Repeated rows (same id and text) are one document in the order and give the same result;
     a null id comes first; a table of one document follows itself; an empty one gives no rows."""
     # both branches read the same three columns, so the texts are shuffled once
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), text_hash().alias("h"),
+    known = F.col("doc_id").isNotNull()
+    keyed = docs.select(F.struct(known.alias("known"), F.coalesce("doc_id", F.lit(0)).alias("value")).alias("id"), text_hash().alias("h"),
                         F.coalesce("text", F.lit("")).alias("text"))
     order = followers(keyed)
     back = order.select(F.col("next_id").alias("id"), F.col("next_h").alias("h"), F.col("id").alias("of_id"),
@@ -106,7 +106,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
     whole = keyed.join(heads, (F.col("id") == F.col("of_id")) & (F.col("h") == F.col("of_h")))
     n = F.length("text")
     edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.col("head"))
-    made = whole.select(F.nullif("id", F.lit(NULL_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"),
+    made = whole.select(F.when(F.col("id.known"), F.col("id.value")).alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"),
                         sketch(F.col("text"), k).alias("own"), "next_sketch")
     made = made.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own",
                        sketch(F.col("edited"), k).alias("other"), "next_sketch")

@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from quillstat.llm.bpe import coder
 from quillstat.llm.common import cpu_partitions, scratch, slices, text_hash
 
-NULL_ID = np.iinfo(np.int64).min
 ROWS_READ = 16_384
 IDS_READ = 1 << 20
 
@@ -65,7 +64,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         code, end = coder(vocabulary), None
         names = {kind: shard_file(place, shard, kind) for kind in ("ids", "offsets", "docs")}
         mark = f".{uuid.uuid4().hex}"
-        files, n_docs, n_ids = {}, 0, 0
+        files, n_docs, n_null, n_ids = {}, 0, 0, 0
         try:
             for part in slices(batches):
                 if not files:
@@ -77,7 +76,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
                 np.insert(flat, ends, end).astype(code.dtype, copy=False).tofile(files["ids"])
                 sizes = sizes + 1
                 (n_ids + np.cumsum(sizes) - sizes).astype("<i8").tofile(files["offsets"])
-                part.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tofile(files["docs"])
+                n_null += part.column(0).null_count  # null ids come first
+                part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tofile(files["docs"])
                 n_docs, n_ids = n_docs + len(sizes), n_ids + int(sizes.sum())
             if files:
                 np.array([n_ids], "<i8").tofile(files["offsets"])
@@ -87,17 +87,17 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, folder: str
         for kind in files:
             os.replace(names[kind] + mark, names[kind])
         if files:
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [n_docs],
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [n_docs], "n_null": [n_null],
                                               "n_ids": [n_ids], "width": pa.array([code.dtype.itemsize], pa.int32())})
 
-    rows.mapInArrow(write, "shard int, n_docs long, n_ids long, width int").write.parquet(f"{folder}/manifest")
+    rows.mapInArrow(write, "shard int, n_docs long, n_null long, n_ids long, width int").write.parquet(f"{folder}/manifest")
     return folder
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The shards with ``base``, the number of ids before each (one row per shard)."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return (spark.read.schema("shard int, n_docs long, n_ids long, width int").parquet(f"{folder}/manifest")
+    return (spark.read.schema("shard int, n_docs long, n_null long, n_ids long, width int").parquet(f"{folder}/manifest")
             .withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))))
 
 
@@ -139,7 +139,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                     edges = np.asarray(shard.offsets[at:to + 1])
                     ids = np.asarray(shard.docs[at:to])
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(ids, pa.int64(), mask=ids == NULL_ID),
+                        "doc_id": pa.array(ids, pa.int64(), mask=np.arange(at, to) < row["n_null"]),
                         "start": row["base"] + edges[:-1],
                         "n_tokens": np.diff(edges),
                         "ids_crc32": pa.array([ids_crc32(shard[i]) for i in range(at, to)], pa.int64()),
