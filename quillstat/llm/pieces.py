@@ -32,6 +32,8 @@ SPACE_SIGN = "▁"
 #: Text bytes encoded together: the lattice of a batch takes some hundred bytes for each.
 BATCH_BYTES = 3 << 19
 BLOCK = re.compile(r" *[^ ]+| +")
+#: Blocks of more signs are cut where no piece goes across (shorter ones are quick as they are).
+LONG_BLOCK = 64
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,6 +97,21 @@ class Vocabulary:
             self.piece_at[numbers[piece]] = number
             self.log_weight[number] = np.log(weight)
 
+        inside = {ord(p[i]) << 21 | ord(p[i + 1]) for p in self.weight for i in range(len(p) - 1)}
+        #: neighbouring signs that some piece holds together, as sorted numbers
+        self.together = np.array(sorted(inside), np.int64)
+
+    def cut(self, block: str) -> list[str]:
+        """A long block in parts: between signs that no piece holds together every segmentation has a
+        border, so the parts' lattices are the block's."""
+        if len(block) <= LONG_BLOCK:
+            return [block]
+        codes = np.frombuffer(block.encode("utf-32-le"), np.uint32).astype(np.int64)
+        pairs = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.together, pairs), len(self.together) - 1)
+        borders = [0, *(np.flatnonzero(self.together[at] != pairs) + 1).tolist(), len(block)] if len(self.together) else list(range(len(block) + 1))
+        return [block[a:b] for a, b in zip(borders, borders[1:])]
+
     def in_bytes(self, sign: int) -> int:
         if sign not in self.spelled:
             self.spelled[sign] = len(self.surface) + len(self.spelling)
@@ -168,7 +185,7 @@ class Vocabulary:
         return first, cums, piece, length
 
     def encode(self, texts: list[str | None], keys: np.ndarray) -> list[np.ndarray]:
-        found = [BLOCK.findall(t) if t else [] for t in texts]
+        found = [[part for b in BLOCK.findall(t) for part in self.cut(b)] if t else [] for t in texts]
         blocks = pa.array([b for f in found for b in f], pa.large_utf8())
         if not len(blocks):
             return [np.empty(0, "<u4")] * len(texts)

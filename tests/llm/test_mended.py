@@ -2,11 +2,12 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from quillstat.llm import langid, licenses, queries, sketches, token_files
+from quillstat.llm import langid, licenses, pieces, queries, sketches, token_files
 
 WARRANTY = licenses.TEMPLATES[2][1]
 LONG = -(1 << 63)
@@ -96,3 +97,24 @@ def test_the_smallest_id_is_not_null(spark, ids):
     key = lambda i: (i is not None, i or 0)
     assert sorted((r["doc_id"] for r in token_files.read_documents(spark, folder).collect()), key=key) == sorted(ids, key=key)
     assert sorted((r["doc_id"] for r in sketches.fingerprint_edits(df).collect()), key=key) == sorted(ids, key=key)
+
+
+def test_long_blocks_are_cut_where_no_piece_goes_across():
+    words = pieces.vocabulary(queries.PIECE_BPE)
+    rng = random.Random(4)
+    long = ["".join(rng.choices("abcdefghé日本語中0123456789+/", k=3000)), "日本語" * 2000, "x" * 300, "Donaudampfschifffahrt" * 40 + "±±" + "the" * 90]
+    whole = words.encode(long, np.arange(4, dtype=np.uint64))
+    assert [b"".join(words.surface[i] for i in ids).decode() for ids in whole] == long
+    inside = {p[i:i + 2] for p in words.weight for i in range(len(p) - 1)}
+    for t in long:
+        parts = words.cut(t)
+        assert "".join(parts) == t and all(p[-1] + q[0] not in inside for p, q in zip(parts, parts[1:]))
+    assert max(map(len, words.cut(long[1]))) == 1 and len(words.cut(long[2][:50])) == 1
+    cut, words.cut = words.cut, lambda block: [block]  # the same draws without the cuts
+    try:
+        assert all((a == b).all() for a, b in zip(whole, words.encode(long, np.arange(4, dtype=np.uint64))))
+    finally:
+        words.cut = cut
+    start = time.time()
+    words.encode(["日本語" * 70_000], np.zeros(1, np.uint64))
+    assert time.time() - start < 10
