@@ -14,7 +14,8 @@ listing all pairs of a dense group.
 
 An anchor with very many members is split: two linked fingerprints differ in at most three
 bits, so one of the four bytes of the half that the anchor does not cover is equal, and the members
-meet again at (anchor, byte, its value), in tasks of their own.
+meet again at (anchor, byte, its value), in tasks of their own; a value that very many of them
+share is compared as pairs of slices.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import cpu_partitions, map_text, quoted, text_hash, unused, written
+from quillstat.llm.blocks import HIGH, LOW, dealt, paired_slices, whole_groups
+from quillstat.llm.common import map_text, quoted, text_hash, unused, written
 from quillstat.llm.components import components
 
 MAX_BITS = 3
@@ -36,6 +38,8 @@ SHINGLES_AT_ONCE = 1 << 16
 SPLIT_MEMBERS = 4096
 #: Split anchors up to this number (one long each) are broadcast; more are joined by a shuffle.
 BROADCAST_ANCHORS = 1_000_000
+#: Low bits of a place's number that tell byte and value of a split anchor (zero: an anchor as it is).
+PLACE_BITS = 11
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -92,23 +96,28 @@ def at_anchors(nodes: DataFrame) -> DataFrame:
 
 
 def meeting_places(nodes: DataFrame, max_bits: int = MAX_BITS, split: int = SPLIT_MEMBERS) -> DataFrame:
-    """``nodes`` (fp) to (place, fp): an anchor, or with more than ``split`` members its four
-    bytes' values. Any two fingerprints within ``max_bits`` (up to 3) share a place."""
+    """``nodes`` (fp) to (place, fp, slices): an anchor, or with more than ``split`` members its four
+    bytes' values, or where one of these has more than ``split`` again, the pairs of its slices. Any two fingerprints
+    within ``max_bits`` (up to 3) share a place and pair."""
     if max_bits > MAX_BITS:
         raise ValueError(f"anchors of radius 1 on halves cover at most {MAX_BITS} bits")
     met = at_anchors(nodes)
     full = written(met.groupBy("anchor").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > split)
                    .select("anchor", F.lit(True).alias("full")), "full-anchors")
     n = full.count()
-    whole = F.shiftleft("anchor", 11)
+    whole = F.shiftleft("anchor", PLACE_BITS)
     if not n:
-        return met.select(whole.alias("place"), "fp")
+        return met.select(whole.alias("place"), "fp", *[F.lit(0).alias(c) for c in (LOW, HIGH)])
     marked = met.join(F.broadcast(full) if n <= BROADCAST_ANCHORS else full, "anchor", "left")
     # the anchor's bit 31 tells which half it is of; the bytes are those of the other one
     other = F.when(F.col("anchor") < F.lit(1 << CODE_BITS), F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
     parts = [F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255)) + F.lit(1 + 256 * k) for k in range(4)]
     places = F.when(F.col("full"), F.transform(F.array(*parts), lambda x: whole.bitwiseOR(x))).otherwise(F.array(whole))
-    return marked.select(F.explode(places).alias("place"), "fp")
+    met = marked.select(F.explode(places).alias("place"), "fp")
+    # a byte's value that very many members share is compared as pairs of slices
+    is_split = F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) != 0
+    again = paired_slices(met.where(is_split), "place", F.col("fp"), split)
+    return met.where(~is_split).select("place", "fp", *[F.lit(0).alias(c) for c in (LOW, HIGH)]).unionByName(again.select("place", "fp", LOW, HIGH))
 
 
 def spanning_links(values: np.ndarray, max_bits: int) -> tuple[list, list]:
@@ -132,38 +141,21 @@ def spanning_links(values: np.ndarray, max_bits: int) -> tuple[list, list]:
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, split: int = SPLIT_MEMBERS) -> DataFrame:
     """(u, v): links between distinct fingerprints, enough to join each component."""
-    met = meeting_places(nodes, max_bits, split)
-    met = met.repartition(cpu_partitions(met), "place").sortWithinPartitions("place")
-
-    def found(place: np.ndarray, fp: np.ndarray):
-        """Links of whole places, sorted by place."""
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)]))
-        sizes = np.diff(edges)
-        two = edges[:-1][sizes == 2]
-        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits]
-        us, vs = fp[near].tolist(), fp[near + 1].tolist()
-        for i in np.flatnonzero(sizes > 2).tolist():
-            u, v = spanning_links(fp[edges[i]:edges[i + 1]], max_bits)
-            us.extend(u)
-            vs.extend(v)
-        if us:
-            pairs = np.unique(np.sort(np.array([us, vs], np.uint64).view(np.int64), 0), axis=1)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(pairs[1]), "v": pa.array(pairs[0])})
+    met = dealt(meeting_places(nodes, max_bits, split).select("place", LOW, HIGH, "fp"), "place")
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of places that may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            place, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            last = int(np.searchsorted(place, place[-1]))  # the last place may go on
-            if last or (held and held[-1][0][-1] != place[-1]):
-                held.append((place[:last], fp[:last]))
-                yield from found(*map(np.concatenate, zip(*held)))
-                held = []
-            held.append((place[last:], fp[last:]))
-        if held:
-            yield from found(*map(np.concatenate, zip(*held)))
+        for table, edges in whole_groups(batches, 3):
+            fp, sizes = table.column(3).to_numpy().view(np.uint64), np.diff(edges)
+            two = edges[:-1][sizes == 2]
+            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits]
+            us, vs = fp[near].tolist(), fp[near + 1].tolist()
+            for i in np.flatnonzero(sizes > 2).tolist():
+                u, v = spanning_links(fp[edges[i]:edges[i + 1]], max_bits)
+                us.extend(u)
+                vs.extend(v)
+            if us:
+                pairs = np.unique(np.sort(np.array([us, vs], np.uint64).view(np.int64), 0), axis=1)
+                yield pa.RecordBatch.from_pydict({"u": pa.array(pairs[1]), "v": pa.array(pairs[0])})
 
     return met.mapInArrow(run, "u long, v long")
 

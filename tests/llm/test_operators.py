@@ -271,7 +271,7 @@ def test_url_suffixes_count_all_labelled_urls(spark):
     assert scores[0] == scores[1] and len(scores[0]) == 321
 
 
-@pytest.mark.parametrize("split", [simhash.SPLIT_MEMBERS, 3])
+@pytest.mark.parametrize("split", [simhash.SPLIT_MEMBERS, 20, 3])
 def test_simhash_components(spark, split):
     random.seed(2)
     base = [random.getrandbits(64) for _ in range(150)]
