@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,8 +187,11 @@ class Vocabulary:
         return first, cums, piece, length
 
     def encode(self, texts: list[str | None], keys: np.ndarray) -> list[np.ndarray]:
-        found = [[part for b in BLOCK.findall(t) for part in self.cut(b)] if t else [] for t in texts]
-        blocks = pa.array([b for f in found for b in f], pa.large_utf8())
+        found = [BLOCK.findall(t) if t else [] for t in texts]
+        for i, f in enumerate(found):
+            if max(map(len, f), default=0) > LONG_BLOCK:
+                found[i] = [part for b in f for part in self.cut(b)]
+        blocks = pa.array(list(chain.from_iterable(found)), pa.large_utf8())
         if not len(blocks):
             return [np.empty(0, "<u4")] * len(texts)
         coded = blocks.dictionary_encode()
@@ -196,7 +201,7 @@ class Vocabulary:
         rank[ranked] = np.arange(len(distinct))
         first, cums, piece, length = self.filtered([distinct[i] for i in ranked])
         index = rank[coded.indices.to_numpy()]
-        left = np.fromiter((len(b) for f in found for b in f), np.int64, len(index))
+        left = pc.utf8_length(blocks).to_numpy().astype(np.int64)
         of_text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, found), np.int64, len(found)))
         at = np.cumsum(left)  # ends in the batch
         text_sizes = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
