@@ -35,6 +35,10 @@ STEPS_A_PIECE = 2
 PAIR_ITEMS = 8
 
 
+#: Stale entries that the search's index may gather, besides twice its live ones.
+STALE_ENTRIES = 50_000
+
+
 def _low_bit(mask: int) -> int:
     return (mask & -mask).bit_length() - 1
 
@@ -79,13 +83,19 @@ class Search:
         self.sizes, self.bins, self.capacity = sizes, [list(b) for b in bins], capacity
         self.fill = [sum(sizes[i] for i in b) for b in bins]
         self.version = [0] * len(bins)
-        self.single: list[list] = [[] for _ in range(capacity + 1)]
-        self.double: list[list] = [[] for _ in range(capacity + 1)]
-        self.singles = self.doubles = 0  # sizes that have entries, as bits
         self.steps = STEPS_A_PIECE * len(sizes) if steps is None else steps
         self.taken = 0
-        for b in range(len(bins)):
+        self.index()
+
+    def index(self) -> None:
+        """Index all bins anew, without the stale entries that have gathered."""
+        self.single: list[list] = [[] for _ in range(self.capacity + 1)]
+        self.double: list[list] = [[] for _ in range(self.capacity + 1)]
+        self.singles = self.doubles = 0  # sizes that have entries, as bits
+        self.entries = 0
+        for b in range(len(self.bins)):
             self.enter(b)
+        self.most_entries = 3 * self.entries + STALE_ENTRIES
 
     def enter(self, b: int) -> None:
         """Index a bin anew after a change."""
@@ -93,10 +103,12 @@ class Search:
         fill, items, version = self.fill[b], self.bins[b], self.version[b]
         if fill == self.capacity:
             return
+        self.entries += len(items)
         for i in items:
             heapq.heappush(self.single[self.sizes[i]], (fill, b, version, i, -1))
             self.singles |= 1 << self.sizes[i]
         if len(items) <= PAIR_ITEMS:
+            self.entries += len(items) * (len(items) - 1) // 2
             for i, j in combinations(items, 2):
                 size = self.sizes[i] + self.sizes[j]
                 heapq.heappush(self.double[size], (fill, b, version, i, j))
@@ -170,6 +182,8 @@ class Search:
             for b in sorted((b for b, f in enumerate(self.fill) if f < self.capacity and self.bins[b]), key=lambda b: -self.fill[b]):
                 if not self.bins[b]:
                     continue
+                if self.entries > self.most_entries:
+                    self.index()
                 self.leave(b)
                 while self.fill[b] < self.capacity and self.taken < self.steps:
                     found = self.improvement(b)
