@@ -407,7 +407,8 @@ def gazetteer_sql() -> str:
 # The derived inputs are written once per session as parquet tables in the shared
 # checkpoint folder and every query scans those tables, as it would scan the stored
 # story/page tables of a deployment: filters and column pruning reach the parquet scan,
-# and ``stories`` is partitioned by publish_month so month ranges prune partitions.
+# and ``stories`` is partitioned by publish_month so month ranges prune partitions. Files follow
+# from bytes: the splits of the page scan, and partitions of the advisory size for stories.
 
 _MATERIALISED: dict[tuple, str] = {}
 
@@ -437,17 +438,13 @@ def _materialised(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             day = F.col("publish_date") if "publish_date" in df.columns else \
                 F.expr(publish_date_sql("stories_id")).cast("timestamp")
             df = df.withColumn("publish_month", F.date_format(day, "yyyy-MM"))
-            from quillstat.sources.sinks import by_month_files
-            try:
-                k = max(1, spark.sparkContext.defaultParallelism // 4)
-            except Exception:
-                k = 2
-            by_month_files(df, k).write.partitionBy("publish_month").parquet(path)
+            if name != "pages":  # pages are written where they are read: their HTML is not moved
+                df = df.hint("rebalance", F.col("publish_month"))
+            df.write.partitionBy("publish_month").parquet(path)
         else:
             df.write.parquet(path)
         _MATERIALISED[key] = path
-    out = spark.read.schema(schema).parquet(path)
-    return out if part == "publish_month" else out
+    return spark.read.schema(schema).parquet(path)
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A container is a text file of records ``<stories_id>\\t<V|N><html>``, ended by ``RECORD_END``. The one
 character that can begin a record's end is doubled up with a letter inside pages, so a page never
-holds one and any reader can start at a split. The number of files follows from the bytes (the
-session's advisory partition size), not from the number of pages.
+holds one and any reader can start at a split. A task writes one file, so the number of files follows
+from the bytes of the page scan's splits, not from the number of pages.
 
 The offset table (``index/``: stories_id, file, start, length in bytes) tells which file holds a page and
 where; ``read_pages_of`` opens only the files that hold the pages asked for.
@@ -29,10 +29,10 @@ def _record(stories_id: Column, html: Column) -> Column:
 
 def write_page_container(pages: DataFrame, path: str) -> None:
     """``pages`` (stories_id, html) as container files under ``path``/pages and their offset table under
-    ``path``/index. The pages move once, to files of even size; a folder that is there is an error."""
+    ``path``/index. The pages are not moved; a folder that is there is an error."""
     spark = pages.sparkSession
     records = pages.select(_record(F.col("stories_id"), F.col("html")).alias("value"))
-    records.hint("rebalance").write.option("lineSep", RECORD_END).text(f"{path}/pages")
+    records.write.option("lineSep", RECORD_END).text(f"{path}/pages")
     # a file's records in order: its splits by their start, a split's rows as they are read
     read = _records(spark, f"{path}/pages").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     sized = read.select("file", "block", F.monotonically_increasing_id().alias("row"), _id(F.col("value")).alias("stories_id"),

@@ -17,13 +17,6 @@ ARTICLE_COLUMNS = ["media_id", "stories_id", "publish_date", "url", "byline", "f
                    "section", "is_opinion", "full_text"]
 
 
-def by_month_files(df: DataFrame, files_per_month: int, key: str = "stories_id") -> DataFrame:
-    """Layout for a month-partitioned write: rows of a month spread over ``files_per_month``
-    tasks by a hash of the key, so no month (even one holding a third of the rows) lands
-    in one task, and each month gets at most ``files_per_month`` files."""
-    return df.repartition("publish_month", F.pmod(F.xxhash64(key), F.lit(files_per_month)))
-
-
 def write_articles(articles: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                    by_size: bool = False) -> None:
     """SNK-1 / SNK-4: article table partitioned by publish_month (partition pruning for
