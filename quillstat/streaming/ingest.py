@@ -75,6 +75,12 @@ def stored_stories(spark: SparkSession, sink_dir: str) -> DataFrame:
     return spark.read.schema(STORED_SCHEMA).parquet(sink_dir)
 
 
+def _stored_months(spark: SparkSession, sink_dir: str, months: list[str]) -> DataFrame | None:
+    """The stored stories of ``months``, whose folders alone are listed; None where none is stored."""
+    paths = [p for p in (f"{sink_dir}/publish_month={m}" for m in months) if _there(spark, p)]
+    return spark.read.schema(STORED_SCHEMA).option("basePath", sink_dir).parquet(*paths) if paths else None
+
+
 def _there(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
@@ -86,18 +92,24 @@ def store_batch(batch: DataFrame, number: int, sink_dir: str) -> None:
     A story id is new when no other batch has stored it in its month (a story has one date; without one
     its month is ``none``). Each id comes once, also within the batch: the row with the smallest date, then outlet, then
     URL. Storing the same batch again, after a kill at any point, gives the same rows: its own rows are not
-    compared with, and replace what a former attempt has left."""
+    compared with, and replace what a former attempt has left. Files follow from bytes (one exchange by month, with
+    large months in many files), not from the session's number of shuffle partitions."""
     spark = batch.sparkSession
-    month = F.coalesce(F.date_format("publish_date", "yyyy-MM"), F.lit("none"))
-    first = (batch.groupBy("stories_id").agg(F.min(F.struct("publish_date", "media_id", "url")).alias("s"))
-             .select("s.media_id", "stories_id", "s.publish_date", "s.url").withColumn("publish_month", month))
-    if _there(spark, sink_dir):
-        months = [r[0] for r in first.select("publish_month").distinct().collect()]  # the months of one drop
-        stored = stored_stories(spark, sink_dir).where(F.col("publish_month").isin(months) & (F.col("batch") != number))
-        same = F.col("new.publish_month").eqNullSafe(F.col("old.publish_month")) & F.col("new.stories_id").eqNullSafe(F.col("old.stories_id"))
-        first = first.alias("new").join(stored.select("stories_id", "publish_month").alias("old"), same, "left_anti")
-    (first.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("publish_month", "batch").parquet(sink_dir))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")  # a stream's session has it off; this is a batch job
+    try:
+        month = F.coalesce(F.date_format("publish_date", "yyyy-MM"), F.lit("none"))
+        first = (batch.groupBy("stories_id").agg(F.min(F.struct("publish_date", "media_id", "url")).alias("s"))
+                 .select("s.media_id", "stories_id", "s.publish_date", "s.url").withColumn("publish_month", month))
+        stored = _stored_months(spark, sink_dir, [r[0] for r in batch.select(month).distinct().collect()])  # the months of one drop
+        if stored is not None:
+            same = F.col("new.publish_month").eqNullSafe(F.col("old.publish_month")) & F.col("new.stories_id").eqNullSafe(F.col("old.stories_id"))
+            others = stored.where(F.col("batch") != number).select("stories_id", "publish_month")
+            first = first.alias("new").join(others.alias("old"), same, "left_anti")
+        (first.withColumn("batch", F.lit(number).cast("long")).hint("rebalance", F.col("publish_month")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("publish_month", "batch").parquet(sink_dir))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def ingest_batches(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,

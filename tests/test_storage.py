@@ -156,6 +156,23 @@ def test_a_batch_reads_its_own_months_only(spark):
     stored = ingest.stored_stories(spark, f"{base}/sink").where(F.col("publish_month").isin(["2011-02"]) & (F.col("batch") != 5))
     line = _plan(stored).split("PartitionFilters:")[1].split("\n")[0]
     assert "publish_month" in line and "batch" in line
+    seen = ingest._stored_months(spark, f"{base}/sink", ["2011-02", "1990-01"])
+    assert {re.search("publish_month=([^/]*)/", f)[1] for f in seen.inputFiles()} == {"2011-02"} and seen.columns[-2:] == ["publish_month", "batch"]
+    assert ingest._stored_months(spark, f"{base}/sink", ["1990-01"]) is None and ingest._stored_months(spark, f"{base}/sink", []) is None
+
+
+def test_files_of_a_batch_do_not_follow_the_shuffle_partitions(spark):
+    base = _tmp("files")
+    _drops(spark).coalesce(1).write.parquet(f"{base}/src")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        ingest.ingest_batches(spark, f"{base}/src", f"{base}/sink", f"{base}/ck").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    folders = glob.glob(f"{base}/sink/publish_month=*/batch=0")
+    assert len(folders) > 5 and all(len(glob.glob(f"{f}/part-*")) == 1 for f in folders)
+    assert _same_as_stateful(spark, f"{base}/sink", f"{base}/src")
 
 
 def test_broadcasts_are_checked_by_bytes(spark):
