@@ -235,7 +235,10 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.2) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``."""
+    """The rows of ``docs``, all columns, whose language is known with at least ``min_score``.
+
+    Null and empty texts, and those without a letter, go; repeated rows are judged alike and stay or go together; an
+    empty table, or one without a labelled row to learn from, gives no rows. Columns of any name pass unchanged."""
     model = train(docs.where(~held_out()))
     names = (unused("lang_pred", docs.columns), unused("score", docs.columns))
     out = identify(docs, model, docs.columns, True, names)

@@ -221,7 +221,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and
     spans (label, first word, last word, share of the template).
 
-    A null text is empty; repeated rows are scanned each; other columns are ignored; an empty table gives no
+    A null text is empty, one of any length is scanned whole; repeated rows are scanned each; ids are longs; other columns are ignored; an empty table gives no
     rows. Of overlapping spans of one notice the one with the larger share is told (ties: the first).
     ``score`` is 1 with a phrase's place, else the best verified share, else 0."""
     rows = docs.select("doc_id", text_hash().alias("h"), "text")

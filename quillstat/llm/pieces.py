@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillstat.llm.common import slices
 
@@ -239,7 +240,8 @@ def encode(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, key: s
     """key, text and ids (binary, little-endian unsigned 32 bit) of every row.
 
     A null text has no ids; rows with the same key and text get the same ids; a null key is a key
-    like any other; other columns are ignored whatever their names."""
+    like any other; other columns are ignored whatever their names; an empty table gives no rows. A text of any
+    length is encoded whole."""
     rows = docs.select(F.col(key), F.xxhash64(F.lit(seed).cast("long"), F.col(key)).alias("_row_key"), "text")
     schema = rows.select(F.col(key), "text", F.lit(b"").alias("ids")).schema
 
@@ -257,14 +259,18 @@ def encode(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, key: s
 
 
 def decode(encoded: DataFrame, path: str, out: str = "decoded") -> DataFrame:
-    """``encoded`` (ids, any other columns) plus the decoded text (null ids: null)."""
-    schema = encoded.select("*", F.lit("").alias(out)).schema
+    """``encoded`` (ids, any other columns) plus the decoded text (null ids: null). Columns of any name pass, one
+    that is called ``out`` already is replaced; an empty table gives no rows."""
+    names = encoded.columns
+    ids_at, kept = f"c{names.index('ids')}", [i for i, c in enumerate(names) if c.lower() != out.lower()]
+    schema = StructType([encoded.schema.fields[i] for i in kept] + [StructField(out, StringType())])
+    placed = encoded.toDF(*[f"c{i}" for i in range(len(names))])  # mapInArrow takes no names with dots
 
     def run(batches):
         words = vocabulary(path)
-        for part in slices(batches, "ids", BATCH_BYTES):
-            ids = part.column(part.schema.get_field_index("ids")).to_pylist()
+        for part in slices(batches, ids_at, BATCH_BYTES):
+            ids = part.column(part.schema.get_field_index(ids_at)).to_pylist()
             texts = [None if i is None else words.decode(np.frombuffer(i, "<u4")) for i in ids]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], pa.array(texts, pa.string())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return placed.mapInArrow(run, schema)

@@ -154,7 +154,10 @@ def quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is kept."""
+    """The rows of ``docs``, all columns, whose text is kept.
+
+    Null, empty and very short texts go; texts of any length are judged whole; repeated rows stay or go together; an
+    empty table gives no rows. Columns of any name pass unchanged."""
     verdict = unused("kept", docs.columns)
 
     def make():

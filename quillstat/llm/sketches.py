@@ -15,7 +15,6 @@ from quillstat.llm.common import let, text_hash, written
 
 K = 128
 WORDS = 5
-#: Stands for a null id in joins and in the order (nulls come first).
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -92,7 +91,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
     first as many of the next document) and both likenesses; see the README for the columns.
 
     Repeated rows (same id and text) are one document in the order and give the same result;
-    a null id comes first; a table of one document follows itself; an empty one gives no rows."""
+    a null id comes first; a table of one document follows itself; an empty one gives no rows. Texts are
+    sketched whole at any length; other columns are ignored whatever their names. Ids are longs."""
     # both branches read the same three columns, so the texts are shuffled once
     known = F.col("doc_id").isNotNull()
     keyed = docs.select(F.struct(known.alias("known"), F.coalesce("doc_id", F.lit(0)).alias("value")).alias("id"), text_hash().alias("h"),

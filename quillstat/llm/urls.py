@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import unused, written
+from quillstat.llm.common import quoted, written
 
 #: (host, path, verdict), as given
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -33,6 +33,7 @@ TREES, DEPTH, SEED = 12, 4, 42
 PRIOR = 10.0
 FEATURES = ["url_length", "host_length", "path_length", "query_length", "depth", "labels", "digit_ratio", "entropy",
             "parameters", "hyphens", "signs", "longest_label", "has_fragment", "last_rate", "last_count", "two_rate", "two_count"]
+RESULT = ("host", "path", "rule", "verdict", "score")
 
 
 def host_of(url: Column) -> Column:
@@ -163,15 +164,17 @@ def judge(pages: DataFrame, rules=RULES, keep: tuple[str, ...] = ("page_id",), u
     block; null where a rule decided).
 
     A null url, or one without ``://``, has an empty host and path and is judged by the trees; ties
-    and repeated rows are judged alike; other columns are ignored whatever their names."""
-    hidden = unused("_url", list(keep))
-    parts = pages.select(*keep, F.col(url).alias(hidden)).select("*", host_of(F.col(hidden)).alias("f_host"), path_of(F.col(hidden)).alias("f_path"))
+    and repeated rows are judged alike, urls of any length whole; an empty table gives no rows. Other columns are
+    ignored whatever their names; a ``keep`` column that is called like one of the result gives way to it."""
+    kept = [c for c in keep if c.lower() not in RESULT]
+    parts = pages.select(F.struct(*quoted(kept)).alias("f_kept"), F.col(url).alias("f_url"))
+    parts = parts.select("*", host_of(F.col("f_url")).alias("f_host"), path_of(F.col("f_url")).alias("f_path"))
     rule, verdict = rule_columns(F.col("f_host"), F.col("f_path"), rules)
     parts = parts.select("*", rule.alias("f_rule"), verdict.alias("f_verdict"))
-    model = train(parts.where("f_verdict is not null").select(F.col(hidden).alias("url"), F.col("f_host").alias("host"),
+    model = train(parts.where("f_verdict is not null").select(F.col("f_url").alias("url"), F.col("f_host").alias("host"),
                                                              F.col("f_path").alias("path"), F.col("f_verdict").alias("verdict")))
-    scored = model.scored(lexical(parts, hidden, "f_host", "f_path"))
+    scored = model.scored(lexical(parts, "f_url", "f_host", "f_path"))
     method = F.when(F.col("f_score") >= threshold, "block").otherwise("allow")
-    return scored.select(*keep, F.col("f_host").alias("host"), F.col("f_path").alias("path"), F.col("f_rule").alias("rule"),
-                         F.coalesce("f_verdict", method).alias("verdict"),
+    return scored.select(*[F.col("f_kept")[c].alias(c) for c in kept], F.col("f_host").alias("host"), F.col("f_path").alias("path"),
+                         F.col("f_rule").alias("rule"), F.coalesce("f_verdict", method).alias("verdict"),
                          F.when(F.col("f_rule").isNull(), F.col("f_score")).alias("score"))
