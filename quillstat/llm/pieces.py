@@ -84,16 +84,22 @@ class Vocabulary:
         self.spelling: list[list[int]] = []
 
     def _trie(self) -> None:
-        """All pieces' prefixes: sorted keys (prefix number, next sign), the prefix each leads to, and the
-        piece (or -1) and log weight that a prefix is."""
+        """All pieces' prefixes: a hash table from keys (prefix number, next sign) to the prefix each leads to, and
+        the piece (or -1) and log weight that a prefix is."""
         numbers, links = {"": 0}, []
         for piece in self.weight:
             for n in range(1, len(piece) + 1):
                 if piece[:n] not in numbers:
                     numbers[piece[:n]] = len(numbers)
                     links.append((numbers[piece[:n - 1]] << 21 | ord(piece[n - 1]), numbers[piece[:n]]))
-        links.sort()
-        self.keys, self.child = (np.array(x, np.int64) for x in zip(*links))
+        bits = (4 * len(links)).bit_length()  # at most a quarter of the slots are taken
+        self.shift, self.slots = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.child = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        keys, child = (np.array(x, np.int64) for x in zip(*links))
+        for slot, key, to in zip(self.slot(keys).tolist(), keys.tolist(), child.tolist()):
+            while self.keys[slot] >= 0:
+                slot = slot + 1 & self.slots
+            self.keys[slot], self.child[slot] = key, to
         self.piece_at = np.full(len(numbers), -1, np.int64)
         self.log_weight = np.full(len(self.surface), -np.inf)
         for piece, (number, weight) in self.weight.items():
@@ -104,6 +110,20 @@ class Vocabulary:
         #: neighbouring signs that some piece holds together, as sorted numbers
         self.together = np.array(sorted(inside), np.int64)
 
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * GOLDEN >> self.shift).view(np.int64)
+
+    def linked(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where no piece goes on like that."""
+        slot = self.slot(keys)
+        found = self.keys[slot]
+        go = np.flatnonzero((found != keys) & (found >= 0))  # the slot is another key's: try the next one
+        while len(go):
+            slot[go] = slot[go] + 1 & self.slots
+            found[go] = now = self.keys[slot[go]]
+            go = go[(now != keys[go]) & (now >= 0)]
+        return np.where(found == keys, slot, -1)
+
     def cut(self, block: str) -> list[str]:
         """A long block in parts: between signs that no piece holds together every segmentation has a
         border, so the parts' lattices are the block's."""
@@ -131,8 +151,8 @@ class Vocabulary:
         while len(at):
             n += 1
             key = state << 21 | codes[at + n - 1]
-            link = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            there = self.keys[link] == key
+            link = self.linked(key)
+            there = link >= 0
             state = self.child[link[there]]
             piece = self.piece_at[state]
             if n == 1:
@@ -153,8 +173,8 @@ class Vocabulary:
 
     def filtered(self, blocks: list[str]) -> tuple[np.ndarray, ...]:
         """Forward filtering of distinct blocks, longest first. Node (j, b), the place after j signs of
-        block b, has the number ``first[j] + b``. Returns ``first`` and, for all edges in the order of the
-        node they end at, node + cumulated share, piece number and number of signs."""
+        block b, has the number ``first[j] + b``. Returns ``first``, each node's first edge and, for all edges
+        in the order of the node they end at, node + cumulated share, piece number and number of signs."""
         codes = np.frombuffer("".join(blocks).encode("utf-32-le"), np.uint32).astype(np.int64)
         size = np.fromiter(map(len, blocks), np.int64, len(blocks))
         block, begin, length, piece = self.edges(codes, np.cumsum(size) - size, size)
@@ -185,7 +205,8 @@ class Vocabulary:
             share = run / whole[own]
             share[np.append(heads[1:], b - a) - 1] = 1.0
             cums[a:b] = node[a:b] + np.minimum(share, 1.0)
-        return first, cums, piece, length
+        count = np.bincount(node, minlength=len(total))
+        return first, np.cumsum(count) - count, cums, piece, length
 
     def encode(self, texts: list[str | None], keys: np.ndarray) -> list[np.ndarray]:
         found = [BLOCK.findall(t) if t else [] for t in texts]
@@ -200,7 +221,7 @@ class Vocabulary:
         ranked = sorted(range(len(distinct)), key=lambda i: -len(distinct[i]))
         rank = np.empty(len(distinct), np.int64)
         rank[ranked] = np.arange(len(distinct))
-        first, cums, piece, length = self.filtered([distinct[i] for i in ranked])
+        first, edge, cums, piece, length = self.filtered([distinct[i] for i in ranked])
         index = rank[coded.indices.to_numpy()]
         left = pc.utf8_length(blocks).to_numpy().astype(np.int64)
         of_text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, found), np.int64, len(found)))
@@ -211,7 +232,12 @@ class Vocabulary:
         drawn = np.full(int(text_sizes.sum()) + 1, -1, np.int64)
         while len(left):
             # every node's cumulated shares end at the node's number plus 1
-            pick = np.searchsorted(cums, first[left] + block + uniform(key, at - origin), "right")
+            node = first[left] + block
+            drawn_share, pick = node + uniform(key, at - origin), edge[node]
+            more = np.flatnonzero(cums[pick] <= drawn_share)
+            while len(more):
+                pick[more] += 1
+                more = more[cums[pick[more]] <= drawn_share[more]]
             drawn[at] = piece[pick]
             left, at = left - length[pick], at - length[pick]
             go = left > 0
@@ -224,8 +250,8 @@ class Vocabulary:
         count = spread[number]
         ends = np.cumsum(count)
         ids = flat[np.repeat(start[number] - (ends - count), count) + np.arange(count.sum())].astype("<u4")
-        edge = np.append(0, ends)[np.searchsorted(placed, np.append(0, np.cumsum(text_sizes)), "right")]
-        return [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        borders = np.append(0, ends)[np.searchsorted(placed, np.append(0, np.cumsum(text_sizes)), "right")]
+        return [ids[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.surface.__getitem__, ids.tolist())).decode()
