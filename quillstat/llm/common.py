@@ -108,6 +108,14 @@ def cpu_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def read_partitions(df: DataFrame) -> int:
+    """Partitions that ``df`` comes in (a remote session: the session's shuffle partitions)."""
+    try:
+        return max(1, df.rdd.getNumPartitions())
+    except Exception:  # remote session: it has no RDDs
+        return cpu_partitions(df)
+
+
 def text_hash(column: str = "text"):
     """64-bit hash of a text, null as empty: tells rows with the same id apart."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

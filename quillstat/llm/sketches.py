@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import let, text_hash, written
+from quillstat.llm.common import let, read_partitions, text_hash, written
 
 K = 128
 WORDS = 5
@@ -73,9 +73,11 @@ def from_text(text: Column) -> Column:
 def followers(docs: DataFrame) -> DataFrame:
     """(id, h, n, next_id, next_h): each distinct document and the next one in order of id (then of
     text hash); after the last comes the first. No global sort in one task: ranges of ids are
-    sorted apart, and the last row of a range takes the first row of the next range."""
+    sorted apart, and the last row of a range takes the first row of the next range. The ranges are
+    written once, in as many files as the texts are read in, not in a file for each range."""
     ids = docs.select("id", "h", F.length("text").cast("long").alias("n")).distinct()
-    dealt = written(ids.repartitionByRange("id", "h").withColumn("part", F.spark_partition_id()), "order")
+    ranges = ids.repartitionByRange("id", "h").withColumn("part", F.spark_partition_id())
+    dealt = written(ranges.coalesce(read_partitions(docs)), "order")
     row = F.struct("id", "h")
     inside = dealt.withColumn("next", F.lead(row).over(Window.partitionBy("part").orderBy("id", "h")))
     firsts = dealt.groupBy("part").agg(F.min(row).alias("first"))
@@ -83,7 +85,7 @@ def followers(docs: DataFrame) -> DataFrame:
     every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select("part", F.coalesce(F.max("first").over(after), F.min("first").over(every)).alias("next_first"))
     chosen = inside.join(firsts, "part").select("id", "h", "n", F.coalesce("next", "next_first").alias("next"))
-    return written(chosen.select("id", "h", "n", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h")), "followers")
+    return chosen.select("id", "h", "n", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"))
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:

@@ -118,3 +118,27 @@ def test_long_blocks_are_cut_where_no_piece_goes_across():
     start = time.time()
     words.encode(["日本語" * 70_000], np.zeros(1, np.uint64))
     assert time.time() - start < 10
+
+
+def test_the_order_of_ids_is_written_in_as_many_files_as_the_texts_come_in(spark):
+    from pathlib import Path
+
+    from quillstat.session import checkpoint_dir
+
+    folder = Path(checkpoint_dir(spark).removeprefix("file:")) / "quillstat-llm"
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    before = set(folder.glob("*"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = [(7 * i % 400, f"a{i} b c d e f g{i % 9} " * (i % 5)) for i in range(400)] + [(3, "again"), (None, "no id")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+        keyed = docs.selectExpr("struct(doc_id is not null as known, coalesce(doc_id, 0) as value) as id", "xxhash64(text) as h", "text")
+        got = {(tuple(r["id"]), r["h"]): (tuple(r["next_id"]), r["next_h"], r["n"]) for r in sketches.followers(keyed).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    order = sorted((tuple(r["id"]), r["h"], len(r["text"])) for r in keyed.collect())
+    assert got == {(a[0], a[1]): (b[0], b[1], a[2]) for a, b in zip(order, order[1:] + order[:1])}
+    made = set(folder.glob("*")) - before
+    assert sum(len(list(d.glob("part-*"))) for d in made) <= 3
