@@ -101,3 +101,22 @@ def test_gated_pages_do_not_reach_python(spark):
     assert parsed < n and injected["n_parsed"] > parsed
     plan = X.page_hits(raw)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_a_task_holds_one_page_text_and_few_hits_at_once(spark):
+    # 40 MB in Arrow; a character beyond 16 bits makes each text four times as long in Python
+    pages = spark.range(0, 2000, 1, 1).select(F.col("id").alias("stories_id"), F.concat(F.repeat(F.lit("x"), 20_000), F.lit("\U0001f600")).alias("html"))
+
+    def make():
+        import tracemalloc
+        tracemalloc.start()
+
+        def work(html, keys):
+            kb = tracemalloc.get_traced_memory()[0] // 1000
+            hit = dict.fromkeys(("byline_value", "section_value", "section_rule", "error", "section_error"))
+            return [{"outlet": o, "byline_rule": kb, **hit} for o in keys if len(html) == 20_001]
+        return work
+
+    got = X._scan(pages, "html", F.array(F.lit("nyt")), X.HIT_TYPE, make)
+    n, most = got.select("stories_id", F.explode("hits.byline_rule").alias("kb")).agg(F.countDistinct("stories_id"), F.max("kb")).first()
+    assert n == 2000 and most < 100_000  # the batch as it came, not its 160 MB of texts
