@@ -16,6 +16,8 @@ from quillstat.session import checkpoint_dir
 #: batches are cut by bytes as well (see ``slices``).
 ROWS_AT_ONCE = 2048
 BYTES_AT_ONCE = 4 << 20
+#: For work that takes many times the bytes of its texts (every word as a string, figures of each n-gram or token).
+FEW_BYTES_AT_ONCE = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +72,11 @@ def quoted(columns: list[str]) -> list[str]:
 
 
 def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable],
-             keep_text: bool = False) -> DataFrame:
+             keep_text: bool = False, most: int = BYTES_AT_ONCE) -> DataFrame:
     """``df.select(columns)`` through ``mapInArrow``. ``make()`` runs once per task and returns
     a function from a list of texts (null as None) to a dict of new column name -> list or
     Arrow array; the other selected columns (with ``keep_text`` the text too) pass unchanged.
+    It gets texts of at most ``most`` bytes at once (a longer one alone).
 
     ``schema`` is the DDL of the new columns."""
     from pyspark.sql.types import StructType
@@ -92,7 +95,7 @@ def map_text(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
 
         target = to_arrow_schema(out)
         work = make()
-        for part in slices(batches):
+        for part in slices(batches, most=most):
             made = work(part.column(at["text"]).to_pylist())
             arrays = [part.column(at[c]) for c in keep] + [made[n] for n in names]
             yield pa.RecordBatch.from_arrays(

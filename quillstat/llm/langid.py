@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstat.llm.common import map_text, quoted, slices, unused, written
+from quillstat.llm.common import FEW_BYTES_AT_ONCE, map_text, quoted, slices, unused, written
 
 ORDERS = (3, 4, 5)
 CELL_BITS = 21
@@ -34,8 +34,10 @@ PART_OF_LARGEST = 0.2
 #: Languages of one bitmask; more take further slices of the filter, up to so many languages.
 SLICE_LANGUAGES = 63
 MAX_LANGUAGES = 8 * SLICE_LANGUAGES
-#: N-gram counts a training task holds before it adds up equal ones, and emits at once.
-HELD = 4_000_000
+#: Distinct n-gram counts that a training task holds before it emits them, entries it gathers before it adds up
+#: equal ones (or as many as it holds, if more), and counts it emits at once.
+HELD = 1_000_000
+GATHER = 400_000
 EMIT = 200_000
 UNKNOWN = "und"
 FOLDS = 5
@@ -89,8 +91,10 @@ def letter_runs(text: str | None) -> list[str]:
 
 
 def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, where = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(where, counts, len(distinct)).astype(np.int64)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts.astype(np.int64)
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -107,8 +111,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k)), "h": pa.array(k.view(np.int64)),
                                                       "n": pa.array(counts[at:at + EMIT])})
 
-        size = 0
-        for part in slices(batches):
+        size = distinct = 0
+        for part in slices(batches, most=FEW_BYTES_AT_ONCE):
             langs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for lang in dict.fromkeys(langs):
                 words, _ = words_of([t for t, x in zip(texts, langs) if x == lang])
@@ -117,12 +121,13 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 if len(keys):
                     held.setdefault(lang, []).append(added_up(keys, tally.field("counts").to_numpy()[owners]))
                     size += len(held[lang][-1][0])
-            if size > HELD:
-                held = {lang: [added_up(*map(np.concatenate, zip(*parts)))] for lang, parts in held.items()}
-                size = sum(len(p[0][0]) for p in held.values())
-                if size > HELD // 2:
+            if size > distinct + max(distinct, GATHER):
+                for lang, parts in held.items():  # one language after the other: the parts of each go as it is added up
+                    held[lang] = [added_up(*map(np.concatenate, zip(*parts)))]
+                size = distinct = sum(len(p[0][0]) for p in held.values())
+                if distinct > HELD:
                     yield from out(held)
-                    held, size = {}, 0
+                    held, size, distinct = {}, 0, 0
         yield from out(held)
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, h long, n long")
@@ -142,7 +147,7 @@ class Model:
 
     def rates(self) -> np.ndarray:
         """False-positive rate of each language's bits."""
-        bits = [np.count_nonzero(self.cells[i // SLICE_LANGUAGES] >> np.uint64(i % SLICE_LANGUAGES) & np.uint64(1)) / CELLS
+        bits = [np.count_nonzero(self.cells[i // SLICE_LANGUAGES] & np.uint64(1 << i % SLICE_LANGUAGES)) / CELLS
                 for i in range(len(self.languages))]
         return np.array(bits) ** PROBES
 
@@ -223,7 +228,7 @@ def identify(docs: DataFrame, model: Model, columns: list[str], keep_text: bool
         predict = predictor(Model(*shared.value))
         return lambda texts: dict(zip(names, predict(texts)))
 
-    return map_text(docs, columns, f"{names[0]} string, {names[1]} double", make, keep_text)
+    return map_text(docs, columns, f"{names[0]} string, {names[1]} double", make, keep_text, FEW_BYTES_AT_ONCE)
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstat.llm.bpe import coder
-from quillstat.llm.common import slices, unused, written
+from quillstat.llm.common import FEW_BYTES_AT_ONCE, slices, unused, written
 
 #: Pieces of a packing group (on average): bounds a task's memory.
 GROUP_PIECES = 16_384
@@ -243,7 +243,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids:
 
     def run(batches):
         code = coder(vocabulary)
-        for part in slices(batches):
+        for part in slices(batches, most=FEW_BYTES_AT_ONCE):
             flat, sizes = code.encode(part.column(1).to_pylist())
             ends = np.cumsum(sizes)
             flat = np.insert(flat, ends, np.array([end_id], code.dtype)).astype("<u4")

@@ -3,11 +3,14 @@
 import random
 import re
 import time
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillstat.llm import langid, licenses, pieces, queries, sketches, token_files
+from quillstat.llm import common, langid, licenses, packing, pieces, queries, sketches, token_files
 
 WARRANTY = licenses.TEMPLATES[2][1]
 LONG = -(1 << 63)
@@ -142,3 +145,64 @@ def test_the_order_of_ids_is_written_in_as_many_files_as_the_texts_come_in(spark
     assert got == {(a[0], a[1]): (b[0], b[1], a[2]) for a, b in zip(order, order[1:] + order[:1])}
     made = set(folder.glob("*")) - before
     assert sum(len(list(d.glob("part-*"))) for d in made) <= 3
+
+
+class Task:
+    """Stands for a table: gives the function that ``mapInArrow`` would run in a Python task."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def peak_mb(run, batch):
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch])):
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_language_id_and_packing_tasks_hold_the_figures_of_few_texts():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 12))) for _ in range(2_000)]
+    rows = [" ".join(rng.choices(words, k=400)) for _ in range(1200)]  # 4 MB
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 600, "text": rows})
+    assert peak_mb(langid.gram_counts(Task()), batch) < 15  # 20 when it took 4 MB at once
+    coded = pa.RecordBatch.from_pydict({"doc_id": range(1200), "text": rows})
+    cut = packing.cut(Task(), queries.BYTE_BPE, 2, 1024)
+    list(cut(iter([coded])))  # the vocabulary is read once
+    assert peak_mb(cut, coded) < 30  # 46 when it took 4 MB at once
+
+
+def test_gram_counts_are_whole_however_often_they_are_added_up(monkeypatch):
+    rows = [f"alpha{'bcdefg'[i % 6] * (i % 4)} words übung {'xyz'[i % 3] * 5}" * (i % 5) for i in range(300)]
+    langs = [("en", "de", "fr")[i % 3] for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"lang": langs, "text": rows})
+    want = Counter()
+    for lang, text in zip(langs, rows):
+        for h in langid.grams(langid.letter_runs(text))[0].view(np.int64).tolist():
+            want[lang, h] += 1
+    for held, gather, at_once in ((1_000_000, 400_000, 1 << 20), (1_000_000, 10, 200), (40, 10, 200), (0, 0, 1)):
+        monkeypatch.setattr(langid, "HELD", held)
+        monkeypatch.setattr(langid, "GATHER", gather)
+        monkeypatch.setattr(langid, "FEW_BYTES_AT_ONCE", at_once)
+        got, n = Counter(), 0
+        for part in langid.gram_counts(Task())(iter([batch])):
+            n += part.num_rows
+            for r in part.to_pylist():
+                got[r["lang"], r["h"]] += r["n"]
+        assert got == want and (n > len(want)) == (held < 100)
+
+
+def test_texts_come_in_as_few_bytes_as_asked_for(spark):
+    docs = texts(spark, "a" * 60, None, "b" * 60, "", "c" * 500, "d").coalesce(1)
+    got = common.map_text(docs, ["doc_id", "text"], "n long, at_once long", lambda: lambda ts: {
+        "n": [len(t or "") for t in ts], "at_once": [sum(len(t or "") for t in ts)] * len(ts)}, most=100)
+    rows = sorted(tuple(r) for r in got.collect())
+    assert [r[:2] for r in rows] == [(0, 60), (1, 0), (2, 60), (3, 0), (4, 500), (5, 1)]
+    assert all(at_once <= 100 or at_once == n for _, n, at_once in rows)
